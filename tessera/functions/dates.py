@@ -118,3 +118,11 @@ def bucket_label(c: Column, granularity: str) -> Column:
 
 def is_datelike(dtype: DataType) -> bool:
     return isinstance(dtype, (DateType, TimestampType, TimestampNTZType))
+
+
+def iso_text(c: Column) -> Column:
+    """Timestamp as ISO-8601 text the way Python's ``isoformat`` writes it:
+    ``YYYY-MM-DDTHH:MM:SS``, plus ``.ffffff`` only when there are microseconds."""
+    base = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+    micros = F.date_format(c, "SSSSSS")
+    return F.when(micros == "000000", base).otherwise(F.concat(base, F.lit("."), micros))
