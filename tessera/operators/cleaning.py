@@ -24,7 +24,8 @@ from pyspark.sql.types import StringType
 from ..functions import dates
 
 ORDINAL = "_ordinal"
-META_PREFIX = "_"            # columns starting with "_" are bookkeeping here
+# bookkeeping columns that ride along with the data but are never cleaned
+BOOKKEEPING = ("_ordinal", "_source_file", "_reject", "_action")
 
 # Python's str.strip() whitespace set, written as a regex class
 # (Java's \s alone misses U+3000 ideographic space and friends), and the
@@ -38,8 +39,12 @@ COERCE_NULL_TOKENS = ("nan", "null", "none", "")
 _ids = itertools.count()
 
 
+def is_bookkeeping(c: str) -> bool:
+    return c in BOOKKEEPING or c.startswith("__")
+
+
 def business_columns(df: DataFrame) -> list[str]:
-    return [c for c in df.columns if not c.startswith(META_PREFIX)]
+    return [c for c in df.columns if not is_bookkeeping(c)]
 
 
 def q(c: str) -> Column:
@@ -153,7 +158,7 @@ def strip_whitespace(df: DataFrame, report: CleaningReport) -> DataFrame:
     """Trim every text cell (Unicode whitespace); ``nan``, ``null``,
     ``None`` and empty become NULL. Counts changed cells per column."""
     cols = [f.name for f in df.schema.fields
-            if isinstance(f.dataType, StringType) and not f.name.startswith(META_PREFIX)]
+            if isinstance(f.dataType, StringType) and not is_bookkeeping(f.name)]
     changed = {}
     exprs = {}
     for c in cols:
@@ -206,7 +211,7 @@ def normalize_dates(df: DataFrame, report: CleaningReport, compat: bool = False,
     with ``compat=True`` the original's absolute rule, more than half of
     min(20, non-null cells)."""
     cols = [f.name for f in df.schema.fields
-            if isinstance(f.dataType, StringType) and not f.name.startswith(META_PREFIX)]
+            if isinstance(f.dataType, StringType) and not is_bookkeeping(f.name)]
     chosen: dict[str, str] = {}
     if cols:
         aggs = []

@@ -19,7 +19,7 @@ from pyspark.sql.types import StringType
 from ..functions import dates
 from ..functions.hashing import content_hash
 from ..model import ColumnSpec, TableSpec
-from .cleaning import COERCE_NULL_TOKENS, ORDINAL, py_strip, q
+from .cleaning import COERCE_NULL_TOKENS, ORDINAL, is_bookkeeping, py_strip, q
 
 REJECT = "_reject"
 ACTION = "_action"
@@ -28,23 +28,29 @@ IMPORTED_AT = "imported_at"
 BROADCAST_ROWS = 2_000_000
 
 
-def _add_reason(df: DataFrame, cond: Column, reason: Column | str) -> DataFrame:
+def _reason(cond: Column, reason: Column | str) -> Column:
     reason = F.lit(reason) if isinstance(reason, str) else reason
+    return F.when(cond, reason)
+
+
+def _add_reason(df: DataFrame, cond: Column, reason: Column | str) -> DataFrame:
+    """Keep the first reason a row got. ``coalesce`` mentions the previous
+    reason once, so chained checks stay linear in size after Catalyst
+    inlines them (a when/otherwise would double it at every step)."""
     cur = F.col(REJECT) if REJECT in df.columns else F.lit(None).cast("string")
-    return df.withColumn(REJECT, F.when(cur.isNull() & cond, reason).otherwise(cur))
+    return df.withColumn(REJECT, F.coalesce(cur, _reason(cond, reason)))
 
 
 # ---------------------------------------------------------------------------
 # C12-C15
 # ---------------------------------------------------------------------------
 
-def coerce_column(raw: Column, raw_type, col: ColumnSpec) -> tuple[Column, Column]:
-    """(typed value, failure flag). Null tokens (any case) become NULL;
-    integers go through a double and truncate toward zero; dates try the four
-    import formats; a value that parses but does not fit the column (too big,
-    not a boolean, invalid JSON) is flagged, as the database refused it."""
-    text = raw if isinstance(raw_type, StringType) else raw.cast("string")
-    t = py_strip(text)
+def coerce_column(t: Column, raw: Column, raw_type, col: ColumnSpec) -> tuple[Column, Column]:
+    """(typed value, failure flag) from ``t``, the cell as trimmed text. Null
+    tokens (any case) become NULL; integers go through a double and truncate
+    toward zero; dates try the four import formats; a value that parses but
+    does not fit the column (too big, not a boolean, invalid JSON) is
+    flagged, as the database refused it."""
     is_null = t.isNull() | F.lower(t).isin(*COERCE_NULL_TOKENS)
     nothing = F.lit(False)
     kind = col.type
@@ -79,25 +85,29 @@ def coerce_column(raw: Column, raw_type, col: ColumnSpec) -> tuple[Column, Colum
 def coerce(df: DataFrame, spec: TableSpec) -> DataFrame:
     """C12 + C13 + C14: typed columns (only those present in the frame),
     strings cut to their declared length, and reject reasons for values
-    that do not fit and for NULLs in required columns."""
+    that do not fit and for NULLs in required columns. The trimmed text of
+    each cell is computed once in its own projection and then reused, which
+    keeps the generated code of the typing step small."""
     present = [c for c in spec.columns if c.name in df.columns]
     types = {f.name: f.dataType for f in df.schema.fields}
-    out = df
-    fails = []
+    staged = df.select("*", *[
+        py_strip(q(c.name) if isinstance(types[c.name], StringType)
+                 else q(c.name).cast("string")).alias(f"__t_{c.name}") for c in present])
+    typed, fails = {}, {}
     for c in present:
-        v, fail = coerce_column(q(c.name), types[c.name], c)
+        v, fail = coerce_column(F.col(f"`__t_{c.name}`"), q(c.name), types[c.name], c)
         if c.type == "String" and c.length:                       # C13
             v = F.substring(v, 1, c.length)
-        out = out.withColumn(f"__fail_{c.name}", fail).withColumn(c.name, v)
-        fails.append(c.name)
-    for c in fails:
-        out = _add_reason(out, F.col(f"`__fail_{c}`"), f"value does not fit column {c}")
-    for c in present:                                                # C14
-        if not c.nullable:
-            out = _add_reason(out, q(c.name).isNull(), f"required value missing: {c.name}")
-    if REJECT not in out.columns:
-        out = out.withColumn(REJECT, F.lit(None).cast("string"))
-    return out.drop(*[f"__fail_{c}" for c in fails])
+        typed[c.name], fails[c.name] = v, fail
+    out = staged.select(*[typed[n].alias(n) if n in typed else q(n) for n in df.columns],
+                        *[f.alias(f"__fail_{n}") for n, f in fails.items()])
+    reasons = [_reason(F.col(f"`__fail_{n}`"), f"value does not fit column {n}")
+               for n in fails]
+    reasons += [_reason(q(c.name).isNull(), f"required value missing: {c.name}")  # C14
+                for c in present if not c.nullable]
+    cur = [F.col(REJECT)] if REJECT in out.columns else []
+    out = out.withColumn(REJECT, F.coalesce(*cur, *reasons, F.lit(None).cast("string")))
+    return out.drop(*[f"__fail_{n}" for n in fails])
 
 
 def reject_null_keys(df: DataFrame, key: list[str]) -> DataFrame:
@@ -142,7 +152,7 @@ def classify(src: DataFrame, tgt: DataFrame, key: list[str]) -> DataFrame:
     in a file column) or skip (identical). One join on the key; the target
     side is cut to the key and the compared columns."""
     update_cols = [c for c in src.columns
-                   if c not in key and not c.startswith("_") and c in tgt.columns
+                   if c not in key and not is_bookkeeping(c) and c in tgt.columns
                    and c != IMPORTED_AT]
     types = {f.name: f.dataType for f in tgt.schema.fields}
     t = tgt.select(*[q(k) for k in key], *[q(c) for c in update_cols]) \
@@ -164,13 +174,15 @@ def merge(classified: DataFrame, tgt: DataFrame, key: list[str], spec: TableSpec
     anti-join against the (size-checked, broadcast) changed keys, so the
     target is read once and not shuffled."""
     now = now if now is not None else F.localtimestamp().cast("timestamp_ntz")
-    file_cols = [c for c in classified.columns if not c.startswith("_")]
+    file_cols = [c for c in classified.columns if not is_bookkeeping(c)]
     changed = classified.filter(F.col(ACTION).isin("insert", "update"))
-    keys = changed.select(*[q(k) for k in key]).distinct()
-    bk = F.broadcast(keys) if _small(keys) else keys
+    # one counting job sizes both broadcast candidates (keys are unique here)
+    small = _small(changed)
+    keys = changed.select(*[q(k) for k in key])
+    bk = F.broadcast(keys) if small else keys
     keep = tgt.join(bk, key, "left_anti")
     upd = changed.filter(F.col(ACTION) == "update").alias("u")
-    upd_b = F.broadcast(upd) if _small(upd) else upd
+    upd_b = F.broadcast(upd) if small else upd
     t = tgt.alias("t")
     cond = reduce(lambda a, b: a & b, [F.col(f"t.`{k}`") == F.col(f"u.`{k}`") for k in key])
     updated = t.join(upd_b, cond, "inner").select(*[
@@ -189,7 +201,7 @@ def fill_defaults(rows: DataFrame, tgt: DataFrame, spec: TableSpec | None,
     now = now if now is not None else F.localtimestamp().cast("timestamp_ntz")
     out = []
     for f in tgt.schema.fields:
-        if f.name in rows.columns and not f.name.startswith("_"):
+        if f.name in rows.columns and not is_bookkeeping(f.name):
             out.append(q(f.name).cast(f.dataType).alias(f.name))
         elif f.name == IMPORTED_AT:
             out.append(now.cast(f.dataType).alias(f.name))
