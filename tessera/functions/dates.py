@@ -24,9 +24,31 @@ TIMED_FORMATS = ("yyyy-M-d H:m:s", "yyyy/M/d H:m:s", "yyyy-M-d H:m")
 TRUNC_UNITS = ("year", "quarter", "month", "week", "day", "hour", "minute")
 
 
+# Shape of each accepted format, as strptime reads it (4-digit year, 1-2
+# digit fields). A cell is only handed to the parser when its shape fits:
+# a regex test is cheap, a failed parse attempt is not.
+_D = r"[0-9]{1,2}"
+SHAPES = {
+    "yyyy-M-d H:m:s": rf"^[0-9]{{4}}-{_D}-{_D} {_D}:{_D}:{_D}$",
+    "yyyy-M-d": rf"^[0-9]{{4}}-{_D}-{_D}$",
+    "yyyy/M/d H:m:s": rf"^[0-9]{{4}}/{_D}/{_D} {_D}:{_D}:{_D}$",
+    "yyyy/M/d": rf"^[0-9]{{4}}/{_D}/{_D}$",
+    "yyyy-M-d H:m": rf"^[0-9]{{4}}-{_D}-{_D} {_D}:{_D}$",
+    "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]": r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]{1,6})?$",
+    "yyyy-MM-dd HH:mm:ss[.SSSSSS]": r"^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]{1,6})?$",
+    "yyyy-MM-dd'T'HH:mm": r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}$",
+    "yyyy-MM-dd HH:mm": r"^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}$",
+    "yyyy-MM-dd": r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$",
+}
+
+
 def parse_with(c: Column, fmt: str) -> Column:
     """Strict parse of a string with one pattern, NULL on failure."""
-    return F.try_to_timestamp(c, F.lit(fmt)).cast("timestamp_ntz")
+    parsed = F.try_to_timestamp(c, F.lit(fmt)).cast("timestamp_ntz")
+    shape = SHAPES.get(fmt)
+    if shape is None:
+        return parsed
+    return F.when((F.octet_length(c) <= 32) & c.rlike(shape), parsed)
 
 
 def parse_multi(c: Column, formats=COERCE_FORMATS) -> Column:

@@ -6,54 +6,26 @@ to one task: a category holding a third of the data would land on one core.
 
 1. range-partitions on (group, order keys), so a hot group is cut into many
    ordered slices, and sorts each slice;
-2. numbers the rows of each slice locally (``mapInPandas`` over the sorted
-   partition, Arrow batches, one pass);
-3. counts rows per (slice, group) - a frame of at most partitions x groups
-   rows - and turns the counts into running offsets per group;
-4. adds the offset back: ``pos = offset + local``.
+2. numbers the rows of each slice with ``monotonically_increasing_id``,
+   computed right after the sort in the same task, so ids follow the sorted
+   order (partition index in the high bits, row number in the low bits);
+3. takes, per (slice, group), the first id and the row count - a frame of at
+   most slices x groups rows - and turns the counts into running offsets;
+4. adds them back: ``pos = offset + (id - first id)``.
 
 The result is the exact 0-based position of every row in its group plus the
-group size ``n``, computed with two shuffles of the data and one of the small
-count frame, and no task ever holds more than one slice.
+group size ``n``; everything stays in the JVM and no task holds more than one
+slice. Rows that tie on all order keys may swap places between runs, so give
+a total order when the rows differ elsewhere.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-POS, SIZE, _PID, _LOCAL = "__pos", "__n", "__pid", "__local"
-
-
-def _local_numbers(group_cols):
-    """Per sorted partition: running number within each group. Rows of a
-    group are contiguous, so only the first group of a batch can continue a
-    count from the previous batch."""
-    def run(batches):
-        import numpy as np
-        from pyspark import TaskContext
-        pid = TaskContext.get().partitionId()
-        last_key, last_next = None, 0
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            if group_cols:
-                local = pdf.groupby(group_cols, sort=False, dropna=False).cumcount().to_numpy()
-                if last_key is not None:
-                    same = np.ones(len(pdf), dtype=bool)
-                    for c, v in zip(group_cols, last_key):
-                        same &= (pdf[c] == v).to_numpy()
-                    local = local + np.where(same, last_next, 0)
-                last_key = tuple(pdf[c].iloc[-1] for c in group_cols)
-            else:
-                local = np.arange(len(pdf)) + last_next
-                last_key = ()
-            last_next = int(local[-1]) + 1
-            pdf[_PID] = pid
-            pdf[_LOCAL] = local.astype("int64")
-            yield pdf
-    return run
+POS, SIZE = "__pos", "__n"
+_ID, _PID = "__id", "__pid"
 
 
 def positions(df: DataFrame, group_cols: list[str], order: list[Column],
@@ -63,17 +35,17 @@ def positions(df: DataFrame, group_cols: list[str], order: list[Column],
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(c) for c in group_cols] + list(order)
-    sorted_df = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-    schema = StructType(df.schema.fields + [StructField(_PID, IntegerType(), False),
-                                            StructField(_LOCAL, LongType(), False)])
-    numbered = sorted_df.mapInPandas(_local_numbers(group_cols), schema)
-    counts = numbered.groupBy(_PID, *group_cols).agg(F.count(F.lit(1)).alias("__cnt"))
+    numbered = (df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+                  .withColumn(_ID, F.monotonically_increasing_id())
+                  .withColumn(_PID, F.shiftright(F.col(_ID), 33)))
+    firsts = numbered.groupBy(_PID, *group_cols).agg(
+        F.min(_ID).alias("__first"), F.count(F.lit(1)).alias("__cnt"))
     w_before = (Window.partitionBy(*group_cols).orderBy(_PID)
                 .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = (counts
+    offsets = (firsts
                .withColumn("__off", F.coalesce(F.sum("__cnt").over(w_before), F.lit(0)))
                .withColumn(SIZE, F.sum("__cnt").over(Window.partitionBy(*group_cols)))
                .drop("__cnt"))
     out = numbered.join(offsets, on=[_PID, *group_cols], how="inner")
-    return (out.withColumn(POS, (F.col("__off") + F.col(_LOCAL)).cast("long"))
-               .drop("__off", _LOCAL, _PID))
+    return (out.withColumn(POS, (F.col("__off") + F.col(_ID) - F.col("__first")).cast("long"))
+               .drop("__off", "__first", _ID, _PID))

@@ -27,12 +27,14 @@ ORDINAL = "_ordinal"
 # bookkeeping columns that ride along with the data but are never cleaned
 BOOKKEEPING = ("_ordinal", "_source_file", "_reject", "_action")
 
-# Python's str.strip() whitespace set, written as a regex class
-# (Java's \s alone misses U+3000 ideographic space and friends), and the
-# exact null tokens of the strip step.
+# Python's str.strip() whitespace set (Java's \s alone misses
+# U+3000 ideographic space and friends), as a character list for trim and
+# as a regex class, and the exact null tokens of the strip step.
+WS_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+            + "".join(chr(c) for c in range(0x2000, 0x200B))
+            + "\u2028\u2029\u202f\u205f\u3000")
 WS = (r"[\t\n\x0B\f\r \x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
       r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
-STRIP_PATTERN = f"^{WS}+|{WS}+$"
 NULL_TOKENS = ("nan", "null", "None", "")
 # Import coercion null tokens (compared case-insensitively after trimming)
 COERCE_NULL_TOKENS = ("nan", "null", "none", "")
@@ -52,7 +54,9 @@ def q(c: str) -> Column:
 
 
 def py_strip(c: Column) -> Column:
-    return F.regexp_replace(c, STRIP_PATTERN, "")
+    """Python's ``str.strip()``: only the ends are looked at (no regex scan
+    over long texts)."""
+    return F.trim(c, F.lit(WS_CHARS))
 
 
 # ---------------------------------------------------------------------------
@@ -183,20 +187,49 @@ def drop_null_rows(df: DataFrame, report: CleaningReport) -> DataFrame:
     return out
 
 
-def drop_null_columns(df: DataFrame, report: CleaningReport | None = None) -> tuple[DataFrame, int]:
+def column_stats(df: DataFrame, formats=dates.CLEAN_FORMATS) -> dict:
+    """One aggregation pass for C3 and C4: non-null cells per business
+    column, and for text columns the cells each date format parses.
+    ``{col: {"n": int, fmt: int, ...}}``."""
+    cols = business_columns(df)
+    text = {f.name for f in df.schema.fields if isinstance(f.dataType, StringType)}
+    aggs, names = [], []
+    for i, c in enumerate(cols):
+        aggs.append(F.count(q(c)).alias(f"n{i}"))
+        if c in text:
+            for j, fmt in enumerate(formats):
+                aggs.append(F.count(dates.parse_with(q(c), fmt)).alias(f"p{i}_{j}"))
+    if not aggs:
+        return {}
+    row = df.agg(*aggs).first()
+    out = {}
+    for i, c in enumerate(cols):
+        out[c] = {"n": row[f"n{i}"]}
+        if c in text:
+            for j, fmt in enumerate(formats):
+                out[c][fmt] = row[f"p{i}_{j}"]
+    return out
+
+
+def drop_null_columns(df: DataFrame, report: CleaningReport | None = None,
+                      stats: dict | None = None) -> tuple[DataFrame, int]:
     """Drop columns without any value (one aggregation pass)."""
     cols = business_columns(df)
     if not cols:
         return df, 0
-    counts = df.agg(*[F.count(q(c)).alias(f"n{i}") for i, c in enumerate(cols)]).first()
-    empty = [c for i, c in enumerate(cols) if counts[f"n{i}"] == 0]
+    if stats is None:
+        counts = df.agg(*[F.count(q(c)).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+        empty = [c for i, c in enumerate(cols) if counts[f"n{i}"] == 0]
+    else:
+        empty = [c for c in cols if stats[c]["n"] == 0]
     return (df.drop(*empty) if empty else df), len(empty)
 
 
-def handle_missing_values(df: DataFrame, report: CleaningReport) -> DataFrame:
+def handle_missing_values(df: DataFrame, report: CleaningReport,
+                          stats: dict | None = None) -> DataFrame:
     """C2 + C3 as one report step (like the original)."""
     df = drop_null_rows(df, report)
-    df, n_cols = drop_null_columns(df)
+    df, n_cols = drop_null_columns(df, stats=stats)
     warn = [f"{n_cols} empty columns dropped"] if n_cols else []
     if n_cols:
         report.column_warnings.setdefault("_system", []).append(warn[0])
@@ -204,7 +237,8 @@ def handle_missing_values(df: DataFrame, report: CleaningReport) -> DataFrame:
 
 
 def normalize_dates(df: DataFrame, report: CleaningReport, compat: bool = False,
-                    min_share: float = 0.5, formats=dates.CLEAN_FORMATS) -> DataFrame:
+                    min_share: float = 0.5, formats=dates.CLEAN_FORMATS,
+                    stats: dict | None = None) -> DataFrame:
     """C4: per text column try the formats in order; the first whose parsed
     count passes the threshold converts the column (cells that do not parse
     become NULL). Threshold: more than ``min_share`` of the non-null cells;
@@ -214,19 +248,15 @@ def normalize_dates(df: DataFrame, report: CleaningReport, compat: bool = False,
             if isinstance(f.dataType, StringType) and not is_bookkeeping(f.name)]
     chosen: dict[str, str] = {}
     if cols:
-        aggs = []
-        for i, c in enumerate(cols):
-            aggs.append(F.count(q(c)).alias(f"n{i}"))
-            for j, fmt in enumerate(formats):
-                aggs.append(F.count(dates.parse_with(q(c), fmt)).alias(f"p{i}_{j}"))
-        stats = df.agg(*aggs).first()
-        for i, c in enumerate(cols):
-            n = stats[f"n{i}"]
+        if stats is None or any(fmt not in stats.get(c, {}) for c in cols for fmt in formats):
+            stats = column_stats(df.select(*[q(c) for c in cols]), formats)
+        for c in cols:
+            n = stats[c]["n"]
             if not n:
                 continue
             limit = 0.5 * min(20, n) if compat else min_share * n
-            for j, fmt in enumerate(formats):
-                if stats[f"p{i}_{j}"] > limit:
+            for fmt in formats:
+                if stats[c][fmt] > limit:
                     chosen[c] = fmt
                     break
     out = df.select(*[dates.parse_with(q(c), chosen[c]).alias(c) if c in chosen else q(c)
@@ -279,8 +309,11 @@ def clean(df: DataFrame, key: list[str] | None = None, dedup: bool = True,
     if report._last is None:
         df = report.start(df)
     df = strip_whitespace(df, report)
-    df = handle_missing_values(df, report)
-    df = normalize_dates(df, report, compat=compat_dates)
+    # rows dropped by C2 hold no values, so the statistics of C3 and C4 can
+    # be taken in one pass before it
+    stats = column_stats(df)
+    df = handle_missing_values(df, report, stats)
+    df = normalize_dates(df, report, compat=compat_dates, stats=stats)
     if key:
         df = dedup_by_key(df, key, report)
     elif dedup:
