@@ -76,7 +76,11 @@ class _Step:
 
 
 class CleaningReport:
-    """Per step: rows before / after / dropped / modified and warnings."""
+    """Per step: rows before / after / dropped / modified and warnings.
+
+    Read it after one action that runs the cleaned frame once (a write, a
+    count, a checkpoint). A global sort on top of the frame runs its input
+    twice in one query (sampling + sorting) and would double the counts."""
 
     def __init__(self):
         self.steps: list[_Step] = []

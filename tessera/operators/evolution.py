@@ -142,7 +142,7 @@ def set_key(df: DataFrame, spec: TableSpec, key: list[str] | None, dedup: bool =
         if dup is not None:
             raise EvolutionError(f"duplicate key value {tuple(dup)}")
         return (df.drop("content_hash") if "content_hash" in df.columns else df), new
-    if dedup:
+    if dedup and not new.key():          # a primary key stays the natural key
         business = [c for c in df.columns if c not in BOOKKEEPING_COLUMNS]
         return with_content_hash(df.select(*[q(c) for c in business]), new) \
             .select(*df.columns if "content_hash" in df.columns else
