@@ -147,16 +147,23 @@ def _small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-def classify(src: DataFrame, tgt: DataFrame, key: list[str]) -> DataFrame:
+def classify(src: DataFrame, tgt: DataFrame, key: list[str], src_small: bool | None = None
+             ) -> DataFrame:
     """``_action`` = insert (no stored row), update (stored row differs
     in a file column) or skip (identical). One join on the key; the target
-    side is cut to the key and the compared columns."""
+    side is cut to the key and the compared columns, and first reduced to
+    the file's keys by a semi-join that broadcasts the (size-checked) key
+    set, so a big target is scanned map-side instead of shuffled whole."""
     update_cols = [c for c in src.columns
                    if c not in key and not is_bookkeeping(c) and c in tgt.columns
                    and c != IMPORTED_AT]
     types = {f.name: f.dataType for f in tgt.schema.fields}
-    t = tgt.select(*[q(k) for k in key], *[q(c) for c in update_cols]) \
-           .withColumn("__hit", F.lit(True)).alias("t")
+    t = tgt.select(*[q(k) for k in key], *[q(c) for c in update_cols])
+    if src_small is None:
+        src_small = _small(src)
+    if src_small:
+        t = t.join(F.broadcast(src.select(*[q(k) for k in key])), key, "left_semi")
+    t = t.withColumn("__hit", F.lit(True)).alias("t")
     s = src.alias("s")
     cond = reduce(lambda a, b: a & b, [F.col(f"s.`{k}`") == F.col(f"t.`{k}`") for k in key])
     joined = s.join(t, cond, "left")
