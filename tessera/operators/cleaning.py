@@ -309,7 +309,9 @@ def clean(df: DataFrame, key: list[str] | None = None, dedup: bool = True,
           ) -> tuple[DataFrame, CleaningReport]:
     """The common steps in order: C1, C2+C3, C4, then C5 (keyless, dedup on)
     or C6 (keyed), then the validation line."""
+    from ..session import balance
     report = report or CleaningReport()
+    df = balance(df)
     if report._last is None:
         df = report.start(df)
     df = strip_whitespace(df, report)

@@ -80,5 +80,21 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
+def balance(df: DataFrame, min_partitions: int | None = None,
+            key: str | None = "_ordinal") -> DataFrame:
+    """Spread a frame that arrives in too few partitions (a multi-line CSV
+    file or a one-row-group parquet file cannot be split) over the cluster
+    before row-heavy work. Hashing the unique ingest ordinal spreads rows
+    evenly and puts a retried task's rows in the same place; without an
+    ordinal, round-robin (which sorts first to stay deterministic)."""
+    spark = df.sparkSession
+    target = min_partitions or spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    if key and key in df.columns:
+        return df.repartition(target, key)
+    return df.repartition(target)
+
+
 def local_master() -> str:
     return f"local[{os.environ.get('BENCH_CPUS', '8')}]"
