@@ -283,6 +283,9 @@ def histogram(df: DataFrame, cols: list[str], bins: int = HIST_DEFAULT_BINS) ->
 # ---------------------------------------------------------------------------
 
 def _box_values(df: DataFrame, value: str, cat: str | None) -> tuple[DataFrame, list | None]:
+    """The narrow (category, value) frame. It is re-read by the top-k, the
+    range sampling, the positions and the fences; column pruning keeps each
+    re-read to two columns, which measured cheaper than materialising it."""
     v = F.when(q(value).isNotNull(), number_or_skip(q(value), _type(df, value)))
     base = df.select((category(q(cat)) if cat else F.lit(ALL)).alias("category"),
                      v.alias("value")).filter(F.col("value").isNotNull() & ~F.isnan("value"))
@@ -319,8 +322,10 @@ def boxplot(df: DataFrame, value: str, cat: str | None = None) -> DataFrame:
     """Per category count, q1, median, q3 and whiskers (extreme values
     inside q1 - 1.5 IQR .. q3 + 1.5 IQR; q1/q3 when none). Top 10 categories
     by count, or one group 全部."""
+    from ..session import cut_lineage
     vals, _ = _box_values(df, value, cat)
-    stats = _quartiles(vals)
+    # <= 10 rows read twice: materialised so the quartile job runs once
+    stats = cut_lineage(_quartiles(vals))
     fenced = _with_fences(vals, stats)
     inl = fenced.filter(~F.col("__out")).groupBy("category").agg(
         F.min("value").alias("__lo"), F.max("value").alias("__hi"))
@@ -341,8 +346,9 @@ def _with_fences(vals: DataFrame, stats: DataFrame) -> DataFrame:
 
 def boxplot_outliers(df: DataFrame, value: str, cat: str | None = None) -> DataFrame:
     """The values outside the fences, as a long (category, value) frame."""
+    from ..session import cut_lineage
     vals, _ = _box_values(df, value, cat)
-    stats = _quartiles(vals)
+    stats = cut_lineage(_quartiles(vals))
     return _with_fences(vals, stats).filter("__out").select("category", "value")
 
 

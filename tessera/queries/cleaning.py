@@ -199,13 +199,36 @@ def c_coerce(spark, d):
     return out.withColumn("o_totalprice", F.col("o_totalprice").cast("double"))
 
 
-@reg.add("s_infer", """
-SELECT * FROM (VALUES ('o_orderkey', 'Integer', NULL), ('o_custkey', 'Integer', NULL),
-  ('o_orderstatus', 'String', 50), ('o_totalprice', 'Numeric', NULL),
-  ('o_orderdate', 'DateTime', NULL), ('o_orderpriority', 'String', 50)) v(name, type, length)
-WHERE (SELECT COUNT(*) FROM orders) > 0
-  AND (SELECT bool_and(regexp_full_match(CAST(o_orderkey AS VARCHAR), '-?[0-9]+')) FROM orders)
-  AND (SELECT MAX(length(o_orderpriority)) * 2 <= 50 FROM orders)""")
+def _infer_sql(cols):
+    """Oracle for S7 on text copies of orders: the same rules written in SQL
+    (int pattern and range, decimal pattern, the four date shapes, lengths)."""
+    parts = []
+    for c in cols:
+        v = f"NULLIF(trim(CAST({c} AS VARCHAR)), '')"
+        dt_any = (f"regexp_full_match({v}, '[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}} [0-9]{{1,2}}:[0-9]{{1,2}}:[0-9]{{1,2}}')"
+                  f" OR regexp_full_match({v}, '[0-9]{{4}}/[0-9]{{1,2}}/[0-9]{{1,2}} [0-9]{{1,2}}:[0-9]{{1,2}}:[0-9]{{1,2}}')")
+        d_any = (f"regexp_full_match({v}, '[0-9]{{4}}-[0-9]{{1,2}}-[0-9]{{1,2}}')"
+                 f" OR regexp_full_match({v}, '[0-9]{{4}}/[0-9]{{1,2}}/[0-9]{{1,2}}')")
+        parts.append(f"""SELECT '{c}' AS name,
+  CASE WHEN COUNT({v}) = 0 THEN 'String'
+       WHEN bool_and(regexp_full_match({v}, '-?[0-9]+')) THEN
+         CASE WHEN MAX(abs(TRY_CAST({v} AS HUGEINT))) > 2147483647 THEN 'BigInteger' ELSE 'Integer' END
+       WHEN bool_and(regexp_full_match({v}, '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?')) THEN 'Numeric'
+       WHEN bool_and({dt_any} OR {d_any}) THEN CASE WHEN bool_or({dt_any}) THEN 'DateTime' ELSE 'Date' END
+       WHEN MAX(length({v})) <= 200 THEN 'String' ELSE 'Text' END AS type,
+  CASE WHEN COUNT({v}) = 0 THEN 255
+       WHEN bool_and(regexp_full_match({v}, '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?'))
+         OR bool_and({dt_any} OR {d_any}) THEN NULL
+       WHEN MAX(length({v})) <= 200 THEN LEAST(255, GREATEST(2 * MAX(length({v})), 50)) END AS length
+FROM orders""")
+    return "\nUNION ALL ".join(parts)
+
+
+ORDER_COLS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate",
+              "o_orderpriority")
+
+
+@reg.add("s_infer", _infer_sql(ORDER_COLS))
 def s_infer(spark, d):
     o = catalog(spark, d).table("orders")
     headers = o.columns
