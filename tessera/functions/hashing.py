@@ -17,9 +17,19 @@ from pyspark.sql.types import (BooleanType, DataType, DateType, DecimalType, Dou
 from .dates import iso_text
 
 
+# control characters without a short escape whose \u escape has a hex letter;
+# Python writes them in lower case, the JSON writer in upper case
+_HEX_LETTER_ESCAPES = [f"\\u{i:04X}" for i in range(0x20)
+                       if any(ch in "ABCDEF" for ch in f"{i:04X}") and i not in (0x0A, 0x0C, 0x0D)]
+
+
 def json_string(c: Column) -> Column:
-    """A JSON string literal (quotes and escapes) for text, via ``to_json``."""
-    return F.regexp_extract(F.to_json(F.struct(c.alias("v"))), r'^\{"v":(.*)\}$', 1)
+    """A JSON string literal (quotes and escapes) for text, via ``to_json``,
+    written exactly as Python's ``json.dumps(..., ensure_ascii=False)``."""
+    out = F.regexp_extract(F.to_json(F.struct(c.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
+    for esc in _HEX_LETTER_ESCAPES:
+        out = F.replace(out, F.lit(esc), F.lit(esc.lower()))
+    return out
 
 
 def py_float_text(c: Column) -> Column:
