@@ -287,7 +287,11 @@ def _box_values(df: DataFrame, value: str, cat: str | None) -> tuple[DataFrame,
     range sampling, the positions and the fences; column pruning keeps each
     re-read to two columns, which measured cheaper than materialising it."""
     v = F.when(q(value).isNotNull(), number_or_skip(q(value), _type(df, value)))
-    base = df.select((category(q(cat)) if cat else F.lit(ALL)).alias("category"),
+    # the single group's label depends on the value column, so the joins
+    # with the statistics keep a real equi-join key instead of a constant
+    # (a constant key would plan as a nested-loop join)
+    label = category(q(cat)) if cat else F.when(v.isNotNull(), F.lit(ALL))
+    base = df.select(label.alias("category"),
                      v.alias("value")).filter(F.col("value").isNotNull() & ~F.isnan("value"))
     if not cat:
         return base, None
