@@ -52,8 +52,10 @@ def source_text(spark, d, with_priority=True):
 
 
 def typed_source(spark, d, with_priority=True):
+    """The cleaned, typed file, materialised once as the import plan does
+    (its consumers - size check, classify, merge, reject log - reuse it)."""
     df, _ = C.clean(source_text(spark, d, with_priority), key=["o_orderkey"])
-    return U.reject_null_keys(U.coerce(df, SPEC), ["o_orderkey"])
+    return cut_lineage(U.reject_null_keys(U.coerce(df, SPEC), ["o_orderkey"]))
 
 
 SRC_SQL = """s AS (SELECT o_orderkey, o_custkey,
@@ -148,7 +150,8 @@ def u_hash(spark, d):
 @reg.add("u_insert_new", """
 SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-20'""")
 def u_insert_new(spark, d):
-    h = hashed_events(spark, d)
+    # hashed once and reused by every branch, as the import plan does
+    h = cut_lineage(hashed_events(spark, d))
     tgt = h.filter(F.col("ts") < F.lit("2024-01-20").cast("timestamp_ntz"))
     src = h.filter(F.col("ts") >= F.lit("2024-01-15").cast("timestamp_ntz"))
     return U.insert_new(src, tgt).select("event_id")
