@@ -96,19 +96,30 @@ def read_delimited(spark: SparkSession, paths, encoding: str | None = None,
         groups = {}
         for p, enc in found.items():
             groups.setdefault(enc, []).append(p)
+    # the first record of the first file is the header: one small read, so
+    # the scan below is exactly as wide as the header plus the extra cells
+    first_enc, first_files = next(iter(groups.items()))
+    header_cells = _first_record(spark, first_files[0], JAVA_CHARSETS.get(first_enc, first_enc))
+    n = len(header_cells) + max_extra
     frames = []
     for enc, files in groups.items():
-        frames.append(_scan(spark, files, JAVA_CHARSETS.get(enc, enc), max_extra))
+        frames.append(_scan(spark, files, JAVA_CHARSETS.get(enc, enc), n))
     raw = frames[0]
     for f in frames[1:]:
         raw = raw.unionByName(f)
-    return _split_header(raw, max_extra, header)
+    return _split_header(raw, header_cells if header else None)
 
 
-def _scan(spark, files, charset, max_extra) -> DataFrame:
-    # The header width is unknown until read: scan with a generous width.
-    # Width = 1 + max header/extra guess; surplus all-NULL columns are cut.
-    n = 64 + max_extra
+def _first_record(spark, path, charset) -> list:
+    rows = (spark.read.option("multiLine", True).option("encoding", charset)
+            .csv(path).limit(1).collect())
+    cells = list(rows[0]) if rows else []
+    while cells and cells[-1] is None:
+        cells.pop()
+    return [(c or "").replace("\t", "") for c in cells]
+
+
+def _scan(spark, files, charset, n) -> DataFrame:
     schema = StructType([StructField(f"_c{i}", StringType()) for i in range(n)])
     df = (spark.read.schema(schema).option("multiLine", True).option("encoding", charset)
           .option("mode", "PERMISSIVE").csv(files))
@@ -118,17 +129,13 @@ def _scan(spark, files, charset, max_extra) -> DataFrame:
         F.monotonically_increasing_id().alias(ORDINAL))
 
 
-def _split_header(raw: DataFrame, max_extra: int, header: bool) -> RawFrame:
+def _split_header(raw: DataFrame, header_cells: list | None) -> RawFrame:
     n = len([c for c in raw.columns if c.startswith("_c")])
-    if header:
-        # the first row of every file is its header; the files of one import
-        # share the header, so the earliest one is read (one row)
+    if header_cells is not None:
+        # the first row of every file is its header (one row per file, so
+        # the broadcast below is bounded by the number of files)
         first = raw.groupBy(SOURCE_FILE).agg(F.min(ORDINAL).alias("__first"))
-        head_row = raw.orderBy(ORDINAL).limit(1).collect()
-        hdr_cells = [head_row[0][f"_c{i}"] if head_row else None for i in range(n)]
-        while hdr_cells and hdr_cells[-1] is None:
-            hdr_cells.pop()
-        headers = [(h or "").strip().lstrip("﻿") for h in hdr_cells]
+        headers = [h.strip().lstrip("\ufeff") for h in header_cells]
         body = raw.join(F.broadcast(first), [SOURCE_FILE], "left") \
                   .filter(F.col(ORDINAL) != F.col("__first")).drop("__first")
     else:
@@ -137,14 +144,13 @@ def _split_header(raw: DataFrame, max_extra: int, header: bool) -> RawFrame:
     cells = [F.coalesce(F.length(F.trim(F.col(f"_c{i}"))), F.lit(0)) for i in range(n)]
     body = body.filter(F.greatest(*cells) > 0)
     # actual width: header, or the widest row
-    widest = body.agg(*[F.max(F.when(F.col(f"_c{i}").isNotNull(), F.lit(i)))
-                        .alias(f"w{i}") for i in range(len(headers), n)]).first() \
-        if n > len(headers) else None
     width = len(headers)
-    if widest is not None:
-        used = [v for v in widest.asDict().values() if v is not None]
-        if used:
-            width = max(width, max(used) + 1)
+    if n > len(headers):
+        widest = body.agg(F.max(F.greatest(*[F.when(F.col(f"_c{i}").isNotNull(), F.lit(i))
+                                             for i in range(len(headers), n)]))
+                          .alias("w")).first()["w"]
+        if widest is not None:
+            width = max(width, widest + 1)
     if width >= n:
         raise ValueError(f"rows wider than {n} cells; raise max_extra")
     body = body.select(*[F.col(f"_c{i}") for i in range(width)], SOURCE_FILE, ORDINAL)
