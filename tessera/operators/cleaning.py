@@ -194,24 +194,31 @@ def drop_null_rows(df: DataFrame, report: CleaningReport) -> DataFrame:
 def column_stats(df: DataFrame, formats=dates.CLEAN_FORMATS) -> dict:
     """One aggregation pass for C3 and C4: non-null cells per business
     column, and for text columns the cells each date format parses.
-    ``{col: {"n": int, fmt: int, ...}}``."""
+    ``{col: {"n": int, fmt: int, ...}}``. Columns are stacked into
+    (column, value) rows, so the aggregate has the same handful of
+    expressions however wide the file is (partial aggregation leaves one
+    row per column and task before the shuffle)."""
     cols = business_columns(df)
-    text = {f.name for f in df.schema.fields if isinstance(f.dataType, StringType)}
-    aggs, names = [], []
-    for i, c in enumerate(cols):
-        aggs.append(F.count(q(c)).alias(f"n{i}"))
-        if c in text:
-            for j, fmt in enumerate(formats):
-                aggs.append(F.count(dates.parse_with(q(c), fmt)).alias(f"p{i}_{j}"))
-    if not aggs:
+    if not cols:
         return {}
-    row = df.agg(*aggs).first()
+    text = {f.name for f in df.schema.fields if isinstance(f.dataType, StringType)}
+    pairs = F.explode(F.array(*[
+        F.struct(F.lit(c).alias("k"), F.lit(c in text).alias("t"),
+                 q(c).cast("string").alias("v")) for c in cols]))
+    stacked = df.select(pairs.alias("p")).select("p.k", "p.t", "p.v")
+    v, is_text = F.col("v"), F.col("t")
+    agg = stacked.groupBy("k").agg(
+        F.count(v).alias("n"),
+        *[F.count(F.when(is_text, dates.parse_with(v, fmt))).alias(f"p{j}")
+          for j, fmt in enumerate(formats)])
+    got = {r["k"]: r for r in agg.collect()}
     out = {}
-    for i, c in enumerate(cols):
-        out[c] = {"n": row[f"n{i}"]}
+    for c in cols:
+        r = got.get(c)
+        out[c] = {"n": r["n"] if r else 0}
         if c in text:
             for j, fmt in enumerate(formats):
-                out[c][fmt] = row[f"p{i}_{j}"]
+                out[c][fmt] = r[f"p{j}"] if r else 0
     return out
 
 
