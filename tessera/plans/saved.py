@@ -29,9 +29,10 @@ class SavedViewError(ValueError):
 class ViewStore:
     """Views kept in a parquet folder; every save writes a new version."""
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, new: bool = False):
+        """``new=True`` starts an empty store at a fresh path (no read)."""
         self.spark, self.path = spark, path
-        self._df: DataFrame | None = None
+        self._df: DataFrame | None = spark.createDataFrame([], VIEWS_SCHEMA) if new else None
 
     def frame(self) -> DataFrame:
         if self._df is None:

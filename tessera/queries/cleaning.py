@@ -39,7 +39,7 @@ def c_strip(spark, d):
     df = docs(spark, d).select("doc_id", "text", "lang")
     out = C.strip_whitespace(df, C.CleaningReport())
     return out.select("doc_id", F.sha2("text", 256).alias("text_hash"),
-                      F.length("text").alias("n"), "lang")
+                      F.length("text").cast("long").alias("n"), "lang")
 
 
 _CLEAN_BASE = f"""
@@ -235,7 +235,7 @@ def s_infer(spark, d):
     txt = o.select(*[F.col(c).cast("string").alias(f"_c{i}") for i, c in enumerate(headers)])
     specs = infer_schema(txt, headers)
     return spark.createDataFrame([(s.name, s.type, s.length) for s in specs],
-                                 "name string, type string, length int")
+                                 "name string, type string, length long")
 
 
 @reg.add("s_read_csv", """

@@ -88,6 +88,6 @@ WHERE l_shipdate >= TIMESTAMP '1996-01-01' AND l_shipdate < TIMESTAMP '1999-01-0
 GROUP BY 1, 2""")
 def v_saved(spark, d):
     """Save the flagship config by name, load it back, run it."""
-    store = ViewStore(spark, scratch_path(spark, "views"))
+    store = ViewStore(spark, scratch_path(spark, "views"), new=True)
     store.save("monthly revenue", FLAGSHIP, "lineitem x orders by month")
     return rounded(store.run(catalog(spark, d), "monthly revenue"))
