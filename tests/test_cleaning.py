@@ -102,3 +102,16 @@ def test_rule_registry(spark):
     df = frame(spark, [("x",)], ["a"])
     out = C.apply_rules(df, "t_registry_demo", C.CleaningReport())
     assert out.first()["a"] == "X"
+
+
+def test_date_parsing_ignores_session_time_zone(spark):
+    from tessera.functions import dates
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Los_Angeles")
+    try:
+        df = spark.createDataFrame([("2024-03-10 02:30:00",), ("2024-02-30",), ("2024/1/5",)],
+                                   "s string")
+        got = [r[0] for r in df.select(dates.parse_multi(F.col("s"))).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert got == [dt.datetime(2024, 3, 10, 2, 30), None, dt.datetime(2024, 1, 5)]
