@@ -42,43 +42,28 @@ SHAPES = {
 }
 
 
-# What each accepted format carries after the date: nothing, hour+minute,
-# hour+minute+second, or those plus an optional fraction of a second.
-_PARTS = {
-    "yyyy-M-d H:m:s": "hms", "yyyy-M-d": "date", "yyyy/M/d H:m:s": "hms",
-    "yyyy/M/d": "date", "yyyy-M-d H:m": "hm",
-    "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]": "hmsf", "yyyy-MM-dd HH:mm:ss[.SSSSSS]": "hmsf",
-    "yyyy-MM-dd'T'HH:mm": "hm", "yyyy-MM-dd HH:mm": "hm", "yyyy-MM-dd": "date",
-}
+_EPOCH = "1970-01-01 00:00:00"
 
 
 def parse_with(c: Column, fmt: str) -> Column:
     """Strict parse of a string with one pattern, NULL on failure.
 
-    A cell whose shape fits is split on its separators and the timestamp is
-    built from the parts with ``try_make_timestamp_ntz``: no session time
-    zone is involved (a wall-clock time inside a daylight-saving gap stays
-    as written) and impossible dates (month 13, 30 February, second 60)
+    Only cells whose shape fits the pattern reach the parser (a failed parse
+    is far dearer than a regex test). The text is read with an explicit
+    ``+0000`` offset, so the instant equals the wall-clock time read as UTC,
+    and its epoch microseconds are added to the zoneless epoch: the session
+    time zone never enters (a wall-clock time inside a daylight-saving gap
+    stays as written). Impossible dates (month 13, 30 February, second 60)
     give NULL, as ``strptime`` rejects them."""
-    shape, kind = SHAPES.get(fmt), _PARTS.get(fmt)
-    if shape is None or kind is None:
-        return F.try_to_timestamp(c, F.lit(fmt)).cast("timestamp_ntz")
-    parts = F.split(c, r"[-/ :T.]")
-
-    def part(i):
-        return F.try_element_at(parts, F.lit(i + 1)).try_cast("int")
-
-    zero = F.lit(0)
-    hour, minute = (part(3), part(4)) if kind != "date" else (zero, zero)
-    if kind in ("hms", "hmsf"):
-        frac = F.coalesce(F.try_element_at(parts, F.lit(7)), F.lit("0")) if kind == "hmsf" \
-            else F.lit("0")
-        sec = F.concat(F.try_element_at(parts, F.lit(6)), F.lit("."), frac).try_cast("decimal(8,6)")
-    else:
-        sec = F.lit(0).cast("decimal(8,6)")
-    built = F.try_make_timestamp_ntz(part(0), part(1), part(2), hour, minute, sec)
-    fits = (F.octet_length(c) <= 32) & c.rlike(shape)
-    return F.when(fits & (part(0) >= 1) & (sec < 60), built)
+    instant = F.try_to_timestamp(F.concat(c, F.lit("+0000")), F.lit(fmt + "Z"))
+    seconds = (F.unix_micros(instant) / F.lit(1_000_000)).cast("decimal(18,6)")
+    wall = F.lit(_EPOCH).cast("timestamp_ntz") + F.make_dt_interval(
+        F.lit(0), F.lit(0), F.lit(0), seconds)
+    shape = SHAPES.get(fmt)
+    if shape is None:
+        return wall
+    fits = (F.octet_length(c) <= 32) & c.rlike(shape) & (F.substring(c, 1, 4) != "0000")
+    return F.when(fits, wall)
 
 
 def parse_multi(c: Column, formats=COERCE_FORMATS) -> Column:
