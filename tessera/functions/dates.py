@@ -56,9 +56,8 @@ def parse_with(c: Column, fmt: str) -> Column:
     stays as written). Impossible dates (month 13, 30 February, second 60)
     give NULL, as ``strptime`` rejects them."""
     instant = F.try_to_timestamp(F.concat(c, F.lit("+0000")), F.lit(fmt + "Z"))
-    seconds = (F.unix_micros(instant) / F.lit(1_000_000)).cast("decimal(18,6)")
-    wall = F.lit(_EPOCH).cast("timestamp_ntz") + F.make_dt_interval(
-        F.lit(0), F.lit(0), F.lit(0), seconds)
+    wall = F.timestamp_add("MICROSECOND", F.unix_micros(instant),
+                           F.lit(_EPOCH).cast("timestamp_ntz"))
     shape = SHAPES.get(fmt)
     if shape is None:
         return wall
