@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import exact
+from tessera.llm import bpe, exact
 from tessera.llm.common import table
 
 items: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -30,3 +31,13 @@ FROM t WINDOW w AS (PARTITION BY norm)
 """)
 def op5_exact_dedup(spark, sf_dir):
     return exact.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+@register()
+def op6_byte_bpe(spark, sf_dir):
+    return bpe.encode(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN,
+                      finish=bpe.digest_rows,
+                      schema="n_tokens long, ids_sha256 string, decoded_sha256 string")
