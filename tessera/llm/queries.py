@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, exact
+from tessera.llm import bpe, exact, warc
 from tessera.llm.common import table
 
 items: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -41,3 +41,20 @@ def op6_byte_bpe(spark, sf_dir):
     return bpe.encode(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN,
                       finish=bpe.digest_rows,
                       schema="n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+@register("""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, strlen(h) AS n, h, max(page_id) OVER (PARTITION BY h) AS first_id,
+             list_transform(range(0, 160),
+                 lambda i: ((('0x' || sha1(h)[(i // 4) + 1])::INTEGER >> (3 - i % 4)) & 1)) AS bits FROM p)
+SELECT page_id, n AS payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda k:
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[(bits[5*k+1] * 16 + bits[5*k+2] * 8 + bits[5*k+3] * 4
+                                               + bits[5*k+4] * 2 + bits[5*k+5] + 1)::INTEGER]), '') AS payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM d
+""")
+def op10_warc(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages"))
