@@ -13,8 +13,7 @@
    hash being free of collisions.
 
 A hot group (one text in a third of all rows) is folded by partial aggregation
-before the shuffle; the join back to the documents is an equi-join between two
-exchanges, which adaptive execution splits.
+before the shuffle; in the join back to the documents its rows are salted.
 
 Defined results. Null text counts as empty; empty texts are one group. A null
 id never wins over an id; in a group of null ids only, ``keep_id`` is null and
@@ -33,6 +32,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import ascii_lower, staged
 
 MIN_CHUNK, MAX_CHUNK = 256, 4096
+SALTS = 16
 CUT = rf"(?s).{{{MIN_CHUNK},{MAX_CHUNK - 1}}}?\s(?=[b-d])|.{{1,{MAX_CHUNK}}}"
 
 
@@ -78,7 +78,10 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     groups = (rows.groupBy("recipe")
               .agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
               .filter("group_size > 1"))
-    joined = rows.join(groups, "recipe", "left")
+    # Salted: a hot recipe is spread over SALTS tasks, each with its own copy of the group's row.
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("id", "text_sha256"), F.lit(SALTS)))
+    groups = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+    joined = salted.join(groups, ["recipe", "salt"], "left")
     return joined.select(
         F.col("id").alias(id_col),
         F.when(F.col("group_size").isNull(), F.col("id")).otherwise(F.col("keep_id")).alias("keep_id"),
