@@ -79,8 +79,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
               .agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
               .filter("group_size > 1"))
     # Salted: a hot recipe is spread over SALTS tasks, each with its own copy of the group's row.
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("id", "text_sha256"), F.lit(SALTS)))
-    groups = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    groups = groups.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     joined = salted.join(groups, ["recipe", "salt"], "left")
     return joined.select(
         F.col("id").alias(id_col),
