@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, exact, warc
+from tessera.llm import bpe, decontam, exact, warc
 from tessera.llm.common import table
 
 items: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -36,6 +36,31 @@ def op5_exact_dedup(spark, sf_dir):
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+@register("""
+WITH w AS (SELECT doc_id, list_filter(regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS words FROM documents),
+b AS (SELECT item_id, list_filter(regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS words FROM benchmark),
+win AS (SELECT DISTINCT item_id, least(10, len(words)) AS n,
+               array_to_string(words[i:i + least(10, len(words)) - 1], ' ') AS gram
+        FROM b, unnest(range(1, greatest(len(words) - 9, 1) + 1)) AS u(i) WHERE len(words) > 0),
+sizes AS (SELECT DISTINCT n FROM win),
+grams AS (SELECT doc_id, i, n, array_to_string(words[i:i + n - 1], ' ') AS gram
+          FROM w, sizes, unnest(range(1, len(words) - n + 2)) AS u(i)),
+hit AS (SELECT DISTINCT doc_id, i, n, item_id FROM grams JOIN win USING (n, gram)),
+n_hit AS (SELECT doc_id, count(DISTINCT i + k) AS n_hit FROM hit, unnest(range(0, n)) AS u(k) GROUP BY doc_id),
+found AS (SELECT doc_id, count(DISTINCT item_id) AS n_items,
+                 string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM hit GROUP BY doc_id)
+SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN n_hit USING (doc_id) LEFT JOIN found USING (doc_id)
+""")
+def op3_decontamination(spark, sf_dir):
+    return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @register()
 def op6_byte_bpe(spark, sf_dir):
     return bpe.encode(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN,
