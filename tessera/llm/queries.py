@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, decontam, exact, warc
+from tessera.llm import bpe, decontam, exact, lang_id, warc
 from tessera.llm.common import table
 
 items: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -23,6 +23,15 @@ def register(sql: str | None = None):
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+@register()
+def op1_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held_out = lang_id.fold("doc_id", 3) == 1
+    model = lang_id.fit(docs.filter(~held_out))
+    return lang_id.predict(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
 @register(f"""
 WITH t AS (SELECT doc_id, {LOWER} AS norm FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,

@@ -1,0 +1,95 @@
+import math
+from collections import Counter
+
+import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from tessera.llm import lang_id
+from tessera.llm.common import table
+
+SF = "/root/testdata/sf0.01"
+
+
+def brute_bits(train, text):
+    """PPM method C with exclusion over plain dictionaries."""
+    counts = [Counter() for _ in range(lang_id.DEPTH + 1)]
+    for t in train:
+        s = lang_id.symbols(t).tolist()
+        for i in range(lang_id.DEPTH, len(s)):
+            for d in range(lang_id.DEPTH + 1):
+                counts[d][tuple(s[i - d:i + 1])] += 1
+    tails = [{} for _ in counts]
+    for d, c in enumerate(counts):
+        for g, n in c.items():
+            tails[d].setdefault(g[:-1], {})[g[-1]] = n
+
+    def prob(ctx, x):
+        if ctx is None:
+            return 1 / lang_id.SYMBOLS
+        shorter = ctx[1:] if ctx else None
+        seen = tails[len(ctx)].get(ctx)
+        if seen is None:
+            return prob(shorter, x)
+        total = sum(seen.values()) + len(seen)
+        if x in seen:
+            return seen[x] / total
+        left = 1 - sum(prob(shorter, y) for y in seen)
+        return len(seen) / total * prob(shorter, x) / left
+
+    s = lang_id.symbols(text).tolist()
+    return sum(-math.log2(prob(tuple(s[i - lang_id.DEPTH:i]), s[i])) for i in range(lang_id.DEPTH, len(s)))
+
+
+def model_of(train):
+    rows = [(lang, g, n) for lang, ts in train.items() for g, n in
+            Counter(np.concatenate([lang_id.grams(lang_id.symbols(t), lang_id.DEPTH + 1) for t in ts]).tolist()).items()]
+    return lang_id.Model(pd.DataFrame(rows, columns=["lang", "gram", "n"]))
+
+
+def test_code_lengths_are_exact():
+    train = {"a": ["abab ba, abba", "Été ab"], "b": ["xyz zyx", "a x"]}
+    model = model_of(train)
+    table_ = model.table()
+    for text in ("abba", "xyz! ab", "été", "q", "", "x" * 50, "日本"):
+        got = model.lengths(text, table_)
+        assert got == pytest.approx([brute_bits(train[k], text) for k in ("a", "b")], rel=1e-5)
+
+
+def test_probabilities_sum_to_one():
+    model = model_of({"a": ["hello there world"], "b": ["guten tag"]})
+    sums = (2.0 ** -model.bits.astype(float)).reshape(-1, lang_id.SYMBOLS, 2).sum(axis=1)
+    assert np.allclose(sums, 1, atol=1e-5)
+
+
+def test_slices_do_not_change_lengths(monkeypatch):
+    model = model_of({"a": ["hello there world"], "b": ["guten tag"]})
+    text = "hello there, guten tag. " * 40
+    want = model.lengths(text, model.table())
+    monkeypatch.setattr(lang_id, "SLICE", 7)
+    assert model.lengths(text, model.table()) == pytest.approx(want)
+
+
+def test_held_out_accuracy(spark):
+    docs = table(spark, SF, "documents")
+    held = lang_id.fold("doc_id", 3) == 1
+    got = lang_id.predict(docs.filter(held), lang_id.fit(docs.filter(~held))).join(docs, "doc_id")
+    right, n = got.select(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")), F.count("*")).first()
+    assert n > 300 and right > 0.98
+
+
+def test_cases(docs, frame):
+    train = frame([("the house and the garden", "en"), ("das haus und der garten", "de"), (None, "en"), ("x", None)],
+                  "text string, lang string")
+    model = lang_id.fit(train)
+    df = docs([(1, None), (2, ""), (3, "12 -- !"), (4, "the garden"), (None, "der garten " * 30_000), (4, "the garden")])
+    df = df.withColumn("score", F.lit("mine"))
+    got = sorted(((r.doc_id, r.lang_pred, r.score > 0) for r in lang_id.predict(df, model).collect()), key=str)
+    assert got == sorted([(1, "und", False), (2, "und", False), (3, "und", False), (4, "en", True), (4, "en", True),
+                          (None, "de", True)], key=str)
+    kept = lang_id.identified(df, model)
+    assert kept.columns == df.columns and kept.count() == 3
+    assert lang_id.predict(docs([]), model).count() == 0
+    nothing = lang_id.fit(train.filter("false"))
+    assert {r.lang_pred for r in lang_id.predict(df, nothing).collect()} == {"und"}
