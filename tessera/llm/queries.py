@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, decontam, exact, lang_id, warc
+from tessera.llm import bpe, decontam, exact, lang_id, minhash, warc
 from tessera.llm.common import table
 
 items: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -32,6 +32,27 @@ def op1_language_id(spark, sf_dir):
         "doc_id", held_out.alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
+@register(r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+s AS (SELECT DISTINCT doc_id, hash(array_to_string(words[i:i + 3], ' ')) AS g
+      FROM w, unnest(range(1, greatest(len(words) - 2, 2))) AS u(i) WHERE len(words) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s AS a JOIN s AS b USING (g)
+           WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+link AS MATERIALIZED (SELECT a, b FROM common JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b
+         WHERE 100 * c >= 80 * (x.n + y.n - c)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents
+          UNION SELECT reach.a, link.b FROM reach JOIN link ON link.a = reach.b),
+comp AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM comp LEFT JOIN n USING (doc_id)
+""")
+def op2_minhash_dedup(spark, sf_dir):
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=4)
+
+
 @register(f"""
 WITH t AS (SELECT doc_id, {LOWER} AS norm FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
