@@ -1,8 +1,9 @@
 """WARC archives written by Spark and read back by a salvage reader (operator 10).
 
-Writing. Each row is one record of an uncompressed WARC/1.1 file. Records are
-built by SQL functions and written through Spark's text writer, so archives go
-to any store Spark writes to and a lost executor's files never appear. Equal
+Writing. Each row is one record of a WARC/1.1 file. Records are built by SQL
+functions and written through Spark's text writer (each file one gzip member, or
+plain), so archives go to any store Spark writes to and files of a lost
+executor never appear. Equal
 payloads (equal SHA-1 *and* SHA-256) are written once, as the response of the
 row with the largest id; the others are ``revisit`` records that refer to it.
 Only the digests are grouped; a hot payload folds in partial aggregation.
@@ -38,6 +39,7 @@ RECORDS = 2000                  # records per archive
 EPOCH = "1970-01-01T00:00:00Z"  # capture time of rows that have none
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 GZIP = b"\x1f\x8b\x08"
+STEP = 1 << 16                  # bytes unpacked at a time
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -48,7 +50,7 @@ def base32_of_hex(sha1_hex: Column) -> Column:
 
 
 def write(pages: DataFrame, path: str, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html",
-          min_bytes: int = 0, records_per_archive: int = RECORDS) -> None:
+          min_bytes: int = 0, records_per_archive: int = RECORDS, compression: str = "gzip") -> None:
     """Write one record per row to archives below ``path``; payloads of fewer
     than ``min_bytes`` bytes are never revisited."""
     payload = F.coalesce(F.col(payload_col), F.lit(""))
@@ -77,29 +79,44 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", uri_col: str = "
         field("Content-Length", F.when(revisit, F.lit(0)).otherwise(F.col("n_bytes"))), F.lit(crlf))
     block = F.when(revisit, F.lit("")).otherwise(F.col("payload"))
     (rows.select(F.concat(head, block, F.lit(crlf)).alias("value")).write
-     .option("lineSep", crlf).option("maxRecordsPerFile", records_per_archive).text(path))
+     .option("lineSep", crlf).option("maxRecordsPerFile", records_per_archive)
+     .option("compression", compression).text(path))
 
 
-def _members(data: bytes, name: str, gaps: list) -> Iterator[tuple[int, bytes]]:
-    """(offset, bytes) of every gzip member that unpacks whole."""
+def _log(gaps: list, name: str, at: int, length: int, why: str) -> None:
+    """Note skipped bytes; what follows a gap without a break belongs to it."""
+    if gaps and gaps[-1][1] + gaps[-1][2] == at:
+        gaps[-1] = (name, gaps[-1][1], gaps[-1][2] + length, gaps[-1][3])
+    else:
+        gaps.append((name, at, length, why))
+
+
+def _members(data: bytes, name: str, gaps: list) -> Iterator[tuple[int, bytes, bool]]:
+    """(offset, bytes, whole) of every gzip member; of a damaged one, the bytes before the damage."""
     at = 0
     while at < len(data):
-        good, why = None, "no gzip member"
-        if data.startswith(GZIP, at):
-            unpack = zlib.decompressobj(31)
-            try:
-                out = unpack.decompress(memoryview(data)[at:])
-                good, why = (out if unpack.eof else None), "gzip member cut short"
-            except zlib.error as e:
-                why = f"gzip member damaged: {e}"
-        if good is not None:
-            yield at, good
-            at = len(data) - len(unpack.unused_data)
+        if not data.startswith(GZIP, at):
+            nxt = data.find(GZIP, at)
+            nxt = len(data) if nxt < 0 else nxt
+            _log(gaps, name, at, nxt - at, "no gzip member")
+            at = nxt
             continue
-        nxt = data.find(GZIP, at + 1)
-        nxt = len(data) if nxt < 0 else nxt
-        gaps.append((name, at, nxt - at, why))
-        at = nxt
+        unpack, out, why = zlib.decompressobj(31), [], "gzip member cut short"
+        try:
+            for k in range(at, len(data), STEP):
+                out.append(unpack.decompress(data[k:k + STEP]))
+                if unpack.eof:
+                    break
+        except zlib.error as e:
+            why = f"gzip member damaged: {e}"
+        yield at, b"".join(out), unpack.eof
+        if unpack.eof:
+            at = min(k + STEP, len(data)) - len(unpack.unused_data)
+        else:
+            nxt = data.find(GZIP, at + 1)
+            nxt = len(data) if nxt < 0 else nxt
+            _log(gaps, name, at, nxt - at, why)
+            at = nxt
 
 
 def _record(data: bytes, at: int) -> tuple[dict, bytes, int] | str:
@@ -131,21 +148,21 @@ def _record(data: bytes, at: int) -> tuple[dict, bytes, int] | str:
 
 def salvage(data: bytes, name: str) -> tuple[list[tuple[int, dict, bytes]], list[tuple[str, int, int, str]]]:
     """All valid records of an archive as (offset, header, block), and the gaps
-    as (file, offset, length, reason). Offsets of records inside gzip members
-    are those of the member."""
+    as (file, offset, length, reason). Offsets of records in a gzip member are
+    the member's; of a damaged member the records before the damage are kept."""
     records, gaps = [], []
-    members = _members(data, name, gaps) if data.startswith(GZIP) else iter([(0, data)])
-    for base, plain in members:
-        packed, at = plain is not data, 0
+    packed = data.startswith(GZIP)
+    for base, plain, whole in _members(data, name, gaps) if packed else [(0, data, True)]:
+        at = 0
         while at < len(plain):
             got = _record(plain, at)
             if isinstance(got, str):
                 nxt = VERSION.search(plain, at + 1)
                 nxt = nxt.start() if nxt else len(plain)
-                if gaps and not packed and gaps[-1][1] + gaps[-1][2] == at:
-                    gaps[-1] = (name, gaps[-1][1], nxt - gaps[-1][1], gaps[-1][3])
-                else:
-                    gaps.append((name, base + (0 if packed else at), nxt - at, got))
+                if not packed:
+                    _log(gaps, name, at, nxt - at, got)
+                elif whole:
+                    gaps.append((name, base, nxt - at, f"inside the member, at {at}: {got}"))
                 at = nxt
             else:
                 records.append((base + (0 if packed else at), got[0], got[1]))

@@ -2,6 +2,8 @@ import base64
 import gzip
 import hashlib
 
+import pytest
+
 from tessera.llm import warc
 
 
@@ -40,20 +42,32 @@ def test_gzip_damage_loses_only_its_member():
     broken[len(broken) // 2] ^= 0xFF
     data = members[0] + bytes(broken) + b"\0\0" + members[2] + members[3][:-9]
     records, gaps = warc.salvage(data, "a")
-    assert ids(records) == [0, 2]
+    assert ids(records) == [0, 2, 3]     # of the last only the trailer is lost: its record is whole and checked
+    assert records[1][0] == len(members[0]) + len(broken) + 2
     assert [g[1] for g in gaps][0] == len(members[0])
     assert sum(g[2] for g in gaps) == len(data) - len(members[0]) - len(members[2])
 
 
+def test_damaged_member_keeps_what_precedes():
+    import random
+    rnd = random.Random(1)
+    data = gzip.compress(b"".join(record(i, rnd.randbytes(3000)) for i in range(200)))
+    cut = data[:len(data) // 2]
+    records, gaps = warc.salvage(cut + gzip.compress(record(999)), "a")
+    assert 60 < len(records) < 110 and ids(records)[:-1] == list(range(len(records) - 1)) and ids(records)[-1] == 999
+    assert gaps == [("a", 0, len(cut), gaps[0][3])]
+
+
 def test_empty_archive():
     assert warc.salvage(b"", "a") == ([], [])
 
 
-def test_round_trip_cases(spark, frame):
+@pytest.mark.parametrize("compression", ["gzip", "none"])
+def test_round_trip_cases(spark, frame, compression):
     rows = [(1, "u1", "<p>a</p>"), (2, None, "<p>a</p>"), (3, "u\r\n3", None), (4, "u4", ""), (None, "u5", "é\r\nx"),
             (6, "u6", "WARC/1.1\r\n\r\n"), (6, "u6", "WARC/1.1\r\n\r\n"), (7, "u7", "z" * 100_000)]
     df = frame([(*r, 0) for r in rows], "page_id long, url string, html string, payload int")
-    got = warc.round_trip(df, records_per_archive=3)
+    got = warc.round_trip(df, records_per_archive=3, compression=compression)
     out = sorted(map(tuple, got.collect()), key=str)
     want = []
     for i, _, h in rows:
