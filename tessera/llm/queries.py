@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, decontam, exact, html_tree, lang_id, minhash, warc
+from tessera.llm import bpe, decontam, exact, html_tree, lang_id, minhash, repeats, warc
 from tessera.llm.common import table
 
 items: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -104,6 +104,11 @@ def op8_html_text(spark, sf_dir):
     return html_tree.main_text(pages, html_tree.fit(pages), keep=("url",))
 
 
+@register()
+def op9_suffix_dedup(spark, sf_dir):
+    return repeats.without_repeats(table(spark, sf_dir, "documents"))
+
+
 @register("""
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 d AS (SELECT page_id, strlen(h) AS n, h, max(page_id) OVER (PARTITION BY h) AS first_id,
