@@ -12,8 +12,10 @@
    100 * |a and b| >= threshold * |a or b| on the full sets.
 4. Components are found by alternating large-star and small-star. Buckets whose
    nodes are all in one component are settled: no further link can change the
-   result. In the others each pair across components is verified in round two.
-   So a large group of near copies costs its stars and not its square.
+   result. In the others, nodes are paired along ``CHAINS`` random orders, which
+   joins up large groups of near copies at the cost of their size; then each pair
+   left across components is verified. Pairs too unlike in set size, or in one
+   bit of each minimum, are not made at all.
 
 Texts are moved once, by row, to build the sets of nodes that have a candidate.
 Buckets and nodes are joined between exchanges that adaptive execution splits.
@@ -34,7 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import staged
@@ -44,6 +46,9 @@ WORDS = 5
 THRESHOLD = 80              # hundredths
 BANDS, ROWS = 40, 5
 AGREE = 0.2                 # a pair may fall this far below the threshold by its signature
+CHAINS = 4                  # rounds of random chains before all pairs across components
+CHAIN = 256                 # nodes of a bucket that one task orders, about
+BITS = 50                   # of BANDS * ROWS low bits, this many may differ: at 0.8, 20 do, and 50 in 1e-9 of pairs
 SLICE = 1 << 13             # shingles hashed at a time
 MEMO = 1 << 20
 _rnd = np.random.default_rng(20240229)
@@ -97,6 +102,12 @@ def bands(sig: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def sketch(sig: np.ndarray) -> np.ndarray:
+    """The lowest bit of each minimum, as four longs."""
+    bits = np.packbits((sig & 1).astype(np.uint8))
+    return np.concatenate((bits, np.zeros(32 - len(bits), np.uint8))).view(np.int64)
+
+
 def similar(a: np.ndarray, b: np.ndarray, threshold: int) -> bool:
     common = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * common >= threshold * (len(a) + len(b) - common)
@@ -111,13 +122,16 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
         with np.errstate(over="ignore"):
             for b in batches:
                 sets = [shingles(t, memo, k) for t in b["text"]]
+                sigs = [signature(s) if len(s) else None for s in sets]
                 yield pd.DataFrame({
                     "id": b["id"].array, "text_key": b["text_key"], "n": [len(s) for s in sets],
                     "set_key": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets],
-                    "buckets": [bands(signature(s)) if len(s) else None for s in sets]})
+                    "buckets": [None if s is None else bands(s) for s in sigs],
+                    "sketch": [None if s is None else sketch(s) for s in sigs]})
 
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_key"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(build, f"id {key_type}, text_key long, n long, set_key binary, buckets array<long>")
+    return rows.mapInPandas(build, f"id {key_type}, text_key long, n long, set_key binary, buckets array<long>, "
+                                 "sketch array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
@@ -156,11 +170,17 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS,
                     threshold: int = THRESHOLD) -> DataFrame:
     """One row per document: ``id_col``, n_shingles, component_id, kept."""
+    return _judged(docs, id_col, text_col, words, threshold).select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "kept")
+
+
+def _judged(docs: DataFrame, id_col: str, text_col: str, words: int, threshold: int) -> DataFrame:
+    """id, text_key, n, component_id and kept of every row."""
     rows = staged(_rows(docs, id_col, text_col, words), "minhash-rows")
     rep = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_key")).alias("rep")
-    nodes = staged(rows.filter("n > 0").groupBy("set_key").agg(rep, F.first("buckets").alias("buckets"))
-                   .select("set_key", F.col("rep.id").alias("rep_id"), F.col("rep.text_key").alias("text_key"), "buckets",
-                           F.monotonically_increasing_id().alias("node")), "minhash-nodes")
+    nodes = staged(rows.filter("n > 0").groupBy("set_key").agg(rep, *[F.first(c).alias(c) for c in ("n", "buckets", "sketch")])
+                   .select("set_key", F.col("rep.id").alias("rep_id"), F.col("rep.text_key").alias("text_key"), "n",
+                           "buckets", "sketch", F.monotonically_increasing_id().alias("node")), "minhash-nodes")
     entries = nodes.select("node", F.explode("buckets").alias("bucket"))
     # Round one: buckets of two nodes or more, and a star in each.
     leaders = staged(entries.groupBy("bucket").agg(F.min("node").alias("u"), F.count("*").alias("n"))
@@ -171,17 +191,48 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = staged(_sets(docs, nodes.join(ends, "node"), id_col, text_col, words), "minhash-sets")
     links = staged(_verified(stars, sets, threshold), "minhash-links")
     roots = staged(connected_components(links), "minhash-roots")
-    # Round two: buckets that more than one component meets in.
-    placed = shared.join(roots.withColumnRenamed("node", "v"), "v", "left").select(
-        "bucket", "v", F.coalesce("root", "v").alias("root"))
-    open_ = placed.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("bucket")
-    left = staged(placed.join(open_, "bucket", "left_semi"), "minhash-open")
-    one = left.select("bucket", F.col("v").alias("u"), F.col("root").alias("root_u"))
-    pairs = (one.join(left, "bucket").filter("root_u < root").select("u", "v").distinct()
-             .join(stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v"))), ["u", "v"], "left_anti"))
-    more = staged(_verified(pairs, sets, threshold), "minhash-more")
-    if not more.isEmpty():
-        roots = staged(connected_components(links.unionByName(more)), "minhash-roots")
+    marks = nodes.select(F.col("node").alias("v"), "n", "sketch")
+
+    def open_entries() -> DataFrame:
+        """Entries of the buckets that more than one component meets in."""
+        placed = shared.join(roots.withColumnRenamed("node", "v"), "v", "left").select(
+            "bucket", "v", F.coalesce("root", "v").alias("root"))
+        many = placed.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b")
+        return staged(placed.join(many.select("bucket"), "bucket", "left_semi").join(marks, "v"), "minhash-open")
+
+    def alike(a: str, b: str) -> Column:
+        """What every pair that reaches the threshold fulfils."""
+        n, m = F.col(f"{a}n"), F.col(f"{b}n")
+        apart = sum((F.bit_count(F.col(f"{a}sketch")[i].bitwiseXOR(F.col(f"{b}sketch")[i])) for i in range(4)), F.lit(0))
+        return ((100 * F.least(n, m) >= threshold * F.greatest(n, m)) & (apart <= BITS)
+                & (F.col(f"{a}root") != F.col(f"{b}root")))
+
+    def joined(pairs: DataFrame) -> bool:
+        """Whether any of the pairs is a link; if so, the components grow."""
+        nonlocal links, roots
+        more = staged(_verified(pairs.distinct(), sets, threshold), "minhash-more")
+        if more.isEmpty():
+            return False
+        links = links.unionByName(more)
+        roots = staged(connected_components(links), "minhash-roots")
+        return True
+
+    for turn in range(CHAINS):
+        entries = open_entries()
+        order = F.xxhash64("v", F.lit(turn))
+        chained = (entries.join(entries.groupBy("bucket").agg(F.count("*").alias("size")), "bucket")
+                   .withColumn("order", order)
+                   .withColumn("part", F.pmod(F.xxhash64("order"), 1 + F.floor(F.col("size") / F.lit(CHAIN)))))
+        along = Window.partitionBy("bucket", "part").orderBy("order", "v")
+        last = F.lag(F.struct("v", "root", "n", "sketch")).over(along)
+        pairs = (chained.select("v", "root", "n", "sketch", last.alias("p"))
+                 .filter(F.col("p").isNotNull() & alike("p.", "")).select(F.col("p.v").alias("u"), "v"))
+        if not joined(pairs):
+            break
+    right = open_entries()
+    left = right.select("bucket", *[F.col(c).alias(f"u_{c}") for c in ("v", "root", "n", "sketch")])
+    joined(left.join(right, (left["bucket"] == right["bucket"]) & (F.col("u_v") < F.col("v")) & alike("u_", ""))
+           .select(F.col("u_v").alias("u"), "v"))
     # Back to the documents: the smallest id of each component.
     placed = nodes.select("set_key", "node", "rep_id").join(roots, "node", "left").select(
         "set_key", "rep_id", F.coalesce("root", "node").alias("root"))
@@ -189,7 +240,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = staged(placed.join(smallest, "root").select("set_key", "component_id"), "minhash-named")
     out = rows.join(named, "set_key", "left")
     component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"),
+    return out.select("id", "text_key", "n", component.alias("component_id"),
                       F.col("id").eqNullSafe(component).alias("kept"))
 
 
@@ -197,11 +248,13 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
           threshold: int = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that stay: one of each group of near copies, the one
     with the smallest id; of rows that repeat it, one."""
-    out = near_duplicates(docs, id_col, text_col, words, threshold)
-    verdict = (out.groupBy(F.col(id_col).alias("_v_id"))
-               .agg(F.max((~F.col("kept")).cast("int")).alias("_v_dropped"), F.count("*").alias("_v_rows"))
-               .filter("_v_dropped = 1 or _v_rows > 1"))
-    judged = docs.join(verdict, F.col(id_col).eqNullSafe(F.col("_v_id")), "left")
+    out = _judged(docs, id_col, text_col, words, threshold)
+    # Only rows to drop and repeated rows, one each; partial aggregation folds hot groups.
+    verdict = (out.groupBy(F.col("id").alias("_v_id"), F.col("text_key").alias("_v_key"))
+               .agg(F.first("kept").alias("_v_kept"), F.count("*").alias("_v_rows"))
+               .filter("not _v_kept or _v_rows > 1"))
+    judged = docs.withColumn("_t_key", F.xxhash64(text_col)).join(
+        verdict, F.col(id_col).eqNullSafe(F.col("_v_id")) & (F.col("_t_key") == F.col("_v_key")), "left")
     once = judged.filter("_v_rows is null")
-    repeated = judged.filter("_v_dropped = 0").dropDuplicates([id_col, text_col])
+    repeated = judged.filter("_v_kept").dropDuplicates([id_col, text_col])
     return once.unionByName(repeated).select(*docs.columns)
