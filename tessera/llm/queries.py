@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, decontam, exact, html_tree, lang_id, minhash, repeats, warc
+from tessera.llm import bpe, decontam, exact, html_tree, lang_id, minhash, repeats, toxicity, warc
 from tessera.llm.common import table
 
 items: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -53,6 +53,14 @@ def op2_minhash_dedup(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=4)
 
 
+@register()
+def op4_toxicity(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = lang_id.fold("doc_id", 4) == 2
+    scorer = toxicity.fit(docs, labels.filter(~held_out))
+    return toxicity.scored(docs, scorer).select("doc_id", held_out.alias("held_out"), "score", "predicted", "n_telling")
+
+
 @register(f"""
 WITH t AS (SELECT doc_id, {LOWER} AS norm FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
