@@ -267,11 +267,15 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id",
                   item_text_col: str = "text", min_words: int = MIN_WORDS, max_coverage: float = MAX_COVERAGE,
-                  block_words: int = BLOCK_WORDS) -> DataFrame:
+                  block_words: int = BLOCK_WORDS, length_col: str | None = None) -> DataFrame:
     """``docs`` without the spans of ``min_words`` or more test words (and whole
     shorter items), and without the documents of which such spans cover more
-    than ``max_coverage`` of the words. Documents without a hit are unchanged."""
+    than ``max_coverage`` of the words. Documents without a hit are unchanged;
+    of changed ones ``length_col`` takes the new number of characters."""
     got = _scanned(docs, items, text_col, item_col, item_text_col, min_words, block_words, cut=True)
     got = got.withColumn("_s", _summary("_hits"))
     kept = got.filter(F.col("_s.n_hit") <= F.col("_hits.n_words") * F.lit(max_coverage))
+    if length_col:
+        same = F.col("_clean").eqNullSafe(F.col(text_col))
+        kept = kept.withColumn(length_col, F.when(same, F.col(length_col)).otherwise(F.char_length("_clean").cast("long")))
     return kept.withColumn(text_col, F.col("_clean")).select(*docs.columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, decontam, exact, html_tree, lang_id, minhash, repeats, toxicity, warc
+from tessera.llm import bpe, decontam, exact, html_tree, lang_id, minhash, pii, repeats, toxicity, warc
 from tessera.llm.common import table
 
 items: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -106,6 +106,11 @@ def op6_byte_bpe(spark, sf_dir):
                       schema="n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+@register()
+def op7_pii_pseudonyms(spark, sf_dir):
+    return pii.pseudonyms(table(spark, sf_dir, "documents"), key=b"replace this key in earnest use")
+
+
 @register()
 def op8_html_text(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
