@@ -8,13 +8,22 @@ from pyspark.sql.types import (BooleanType, DataType, DecimalType, DoubleType, F
                                IntegralType, NumericType, StringType)
 
 
+# Text that is a number: no type suffix as in ``3F`` or ``12d``, which a cast would take.
+NUMBER = r"^[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|(?i:inf|infinity|nan))$"
+
+
+def text_to_double(t: Column) -> Column:
+    """Trimmed text as double; NULL where it is not a number."""
+    return F.when(t.rlike(NUMBER), t.try_cast("double"))
+
+
 def to_double(c: Column, dtype: DataType) -> Column:
     """Value as double when it is a number (numbers, booleans, numeric text);
     NULL otherwise. Dates and timestamps are not numbers here."""
     if isinstance(dtype, (NumericType, BooleanType)):
         return c.cast("double")
     if isinstance(dtype, StringType):
-        return c.try_cast("double")
+        return text_to_double(F.trim(c))
     return F.lit(None).cast("double")
 
 

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import (BooleanType, DataType, NumericType, StringType)
 
 from ..functions import dates
+from ..functions.numeric import text_to_double
 from ..functions.ranking import POS, SIZE, positions
 
 # Labels and limits of the original chart code.
@@ -58,7 +59,7 @@ def number_or_skip(c: Column, dtype: DataType) -> Column:
         return c.cast("double")
     if isinstance(dtype, StringType):
         t = F.trim(c)
-        return F.when(t == "", F.lit(0.0)).otherwise(t.try_cast("double"))
+        return F.when(t == "", F.lit(0.0)).otherwise(text_to_double(t))
     return F.lit(None).cast("double")
 
 
@@ -191,9 +192,9 @@ def pivot_series(df: DataFrame, x: str, ys: list[str], cat: str, cats: list[str]
     c = category(q(cat))
     key = x_text(q(x), _type(df, x)) if not isinstance(_type(df, x), StringType) else q(x)
     f = {"FIRST": lambda e: F.first(e, ignorenulls=True), "SUM": F.sum, "MAX": F.max,
-         "MIN": F.min, "AVG": F.avg}[method.upper()]
+         "MIN": F.min, "AVG": F.avg, "COUNT": F.count}[method.upper()]
     cells = [f(F.when(c == F.lit(k), q(y))).alias(f"{y}||{k}") for y in ys for k in cats]
-    return df.groupBy(key.alias(x)).agg(*cells)
+    return df.groupBy(key.alias(x)).agg(*cells).orderBy(q(x))
 
 
 def bar(df: DataFrame, x: str, ys: list[str], cat: str | None = None, method: str = "SUM",
@@ -205,7 +206,7 @@ def bar(df: DataFrame, x: str, ys: list[str], cat: str | None = None, method: st
     if is_time:
         return _time_series(rows, x, ys, cat, method, granularity or "day")
     if not cat:
-        return aggregate_categories(rows, x, ys, None, method)
+        return aggregate_categories(rows, x, ys, None, method).orderBy(q(x))
     limited, cats = limit_categories(rows, cat)
     agg = aggregate_categories(limited, x, ys, cat, method)
     return pivot_series(agg, x, ys, cat, cats)
@@ -222,7 +223,7 @@ def line(df: DataFrame, x: str, ys: list[str], cat: str | None = None, method: s
     if not cat:
         return raw_series(rows, x)
     limited, cats = limit_categories(rows, cat)
-    return pivot_series(limited, x, ys, cat, cats, method="MAX")
+    return pivot_series(limited, x, ys, cat, cats, method=method)
 
 
 def _time_series(rows, x, ys, cat, method, granularity):
@@ -275,7 +276,7 @@ def histogram(df: DataFrame, cols: list[str], bins: int = HIST_DEFAULT_BINS) ->
         F.col("bin"),
         (F.lit(lo) + F.col("bin").cast("double") * F.lit(width)).alias("bin_start"),
         (F.lit(lo) + (F.col("bin") + 1).cast("double") * F.lit(width)).alias("bin_end"),
-        *[F.coalesce(q(c), F.lit(0)).cast("long").alias(c) for c in cols])
+        *[F.coalesce(q(c), F.lit(0)).cast("long").alias(c) for c in cols]).orderBy("bin")
 
 
 # ---------------------------------------------------------------------------
@@ -284,8 +285,8 @@ def histogram(df: DataFrame, cols: list[str], bins: int = HIST_DEFAULT_BINS) ->
 
 def _box_values(df: DataFrame, value: str, cat: str | None) -> tuple[DataFrame, list | None]:
     """The narrow (category, value) frame. It is re-read by the top-k, the
-    range sampling, the positions and the fences; column pruning keeps each
-    re-read to two columns, which measured cheaper than materialising it."""
+    counts and the fences; column pruning keeps each re-read to two columns,
+    which measured cheaper than materialising it."""
     v = F.when(q(value).isNotNull(), number_or_skip(q(value), _type(df, value)))
     # the single group's label depends on the value column, so the joins
     # with the statistics keep a real equi-join key instead of a constant
@@ -302,24 +303,24 @@ def _box_values(df: DataFrame, value: str, cat: str | None) -> tuple[DataFrame,
 
 
 def _quartiles(vals: DataFrame) -> DataFrame:
-    """Exact linear-interpolation quartiles per category via distributed
-    positions: only the <= 6 rows around each quartile position are kept."""
-    ranked = positions(vals, ["category"], [F.col("value")])
-    qs = {"q1": 0.25, "median": 0.5, "q3": 0.75}
-    wanted = []
-    for name, p in qs.items():
-        pos = (F.col(SIZE) - 1).cast("double") * F.lit(p)
-        wanted.append((name, pos))
-    keep = reduce(lambda a, b: a | b, [
-        (F.col(POS) == F.floor(pos)) | (F.col(POS) == F.ceil(pos)) for _, pos in wanted])
-    picked = ranked.filter(keep)
+    """Exact linear-interpolation quartiles per category. Equal values are
+    counted first, so ties fold before the shuffle; the distinct ones get the
+    positions their copies take, and the few around each quartile are kept."""
+    distinct = vals.groupBy("category", "value").agg(F.count(F.lit(1)).alias("copies"))
+    ranked = positions(distinct, ["category"], [F.col("value")], weight="copies")
+
+    def holds(at: Column) -> Column:
+        return (F.col(POS) <= at) & (at < F.col(POS) + F.col("copies"))
+
+    at = {name: (F.col(SIZE) - 1).cast("double") * F.lit(p)
+          for name, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))}
+    near = ranked.filter(reduce(lambda a, b: a | b, [holds(f(x)) for x in at.values() for f in (F.floor, F.ceil)]))
     aggs = [F.first(SIZE).alias("count")]
-    for name, pos in wanted:
-        lo_v = F.max(F.when(F.col(POS) == F.floor(pos), F.col("value")))
-        hi_v = F.max(F.when(F.col(POS) == F.ceil(pos), F.col("value")))
-        frac = F.first(pos - F.floor(pos))
-        aggs.append((lo_v + (hi_v - lo_v) * frac).alias(name))
-    return picked.groupBy("category").agg(*aggs)
+    for name, x in at.items():
+        low = F.max(F.when(holds(F.floor(x)), F.col("value")))
+        high = F.max(F.when(holds(F.ceil(x)), F.col("value")))
+        aggs.append((low + (high - low) * F.first(x - F.floor(x))).alias(name))
+    return near.groupBy("category").agg(*aggs)
 
 
 def boxplot(df: DataFrame, value: str, cat: str | None = None) -> DataFrame:

@@ -24,8 +24,9 @@ from pyspark.sql.types import StringType
 from ..functions import dates
 
 ORDINAL = "_ordinal"
+RAW_CELLS = "_cells"            # cells that a row's record had in its file
 # bookkeeping columns that ride along with the data but are never cleaned
-BOOKKEEPING = ("_ordinal", "_source_file", "_reject", "_action")
+BOOKKEEPING = ("_ordinal", "_source_file", "_cells", "_reject", "_action")
 
 # Python's str.strip() whitespace set (Java's \s alone misses
 # U+3000 ideographic space and friends), as a character list for trim and
@@ -363,19 +364,22 @@ def apply_rules(df: DataFrame, table: str, report: CleaningReport) -> DataFrame:
 
 def drop_malformed(df: DataFrame, report: CleaningReport, key_pattern: str,
                    ratio: float = 0.6, columns: list[str] | None = None) -> DataFrame:
-    """Drop rows with few cells (non-empty cells <= max(2, floor(ratio x
-    ncols))) or whose first cell is not a valid key. Frames of one row or
-    less are left alone. Deviation: Spark's CSV reader cannot tell an empty
-    cell from a missing one, so empty cells count as absent."""
+    """Drop rows with few cells (at most max(2, floor(ratio x ncols))) or
+    whose first cell is not a valid key. A cell that is there but blank counts;
+    only cells that the record lacks do not, so the count is that of the scan
+    (``_cells``). Frames without it count their non-NULL cells. A frame of one
+    row or less is left alone, which is part of the plan and not a job."""
     cols = columns or business_columns(df)
-    if df.limit(2).count() <= 1:
-        return df
     threshold = max(2, int(len(cols) * ratio))
-    present = sum([q(c).isNotNull().cast("int") for c in cols], F.lit(0))
-    first = F.trim(q(cols[0]))
+    if RAW_CELLS in df.columns:
+        present = F.least(F.col(RAW_CELLS), F.lit(len(cols)))
+    else:
+        present = sum([q(c).isNotNull().cast("int") for c in cols], F.lit(0))
+    first = py_strip(q(cols[0]))
     bad_key = (first.isNull() | (first == "") | F.lower(first).isin("nan", "null", "none")
                | ~first.rlike(key_pattern))
-    out = df.filter(~((present <= threshold) | bad_key))
+    many = df.select(F.lit(1).alias("__one")).limit(2).agg(F.count("*") > 1).scalar()
+    out = df.filter(~many | ~((present <= threshold) | bad_key))
     return report.step(out, "drop_malformed_rows", None, "rejected")
 
 
@@ -392,7 +396,7 @@ def merge_overflow(df: DataFrame, report: CleaningReport, expected: int,
     exprs = {c: q(c) for c in cols}
     while len(cols) > expected:
         last, prev = cols.pop(), cols[-1]
-        has = exprs[last].isNotNull() & (F.trim(exprs[last]) != "")
+        has = exprs[last].isNotNull() & (py_strip(exprs[last]) != "")
         touched = touched | has
         exprs[prev] = F.when(has, F.concat(F.coalesce(exprs[prev], F.lit("")), F.lit(","),
                                            exprs[last])).otherwise(exprs[prev])

@@ -3,9 +3,8 @@
 Rows that cannot be written carry a reason in ``_reject`` instead of being
 dropped on the spot, so one plan yields both the good rows and the reject
 log. Matching a file against its target is one join on the key (the original
-looked keys up per 500-row batch); when the change set is small and its size
-is checked, the big target is never shuffled: joins against it broadcast the
-change set and scan the target map-side.
+looked keys up per 500-row batch); adaptive execution picks its form from the
+bytes of both sides.
 """
 
 from __future__ import annotations
@@ -18,14 +17,13 @@ from pyspark.sql.types import StringType
 
 from ..functions import dates
 from ..functions.hashing import content_hash
+from ..functions.numeric import text_to_double
 from ..model import ColumnSpec, TableSpec
 from .cleaning import COERCE_NULL_TOKENS, ORDINAL, is_bookkeeping, py_strip, q
 
 REJECT = "_reject"
 ACTION = "_action"
 IMPORTED_AT = "imported_at"
-# Change sets up to this many rows are broadcast into joins with the target.
-BROADCAST_ROWS = 2_000_000
 
 
 def _reason(cond: Column, reason: Column | str) -> Column:
@@ -55,12 +53,12 @@ def coerce_column(t: Column, raw: Column, raw_type, col: ColumnSpec) -> tuple[Co
     nothing = F.lit(False)
     kind = col.type
     if kind in ("Integer", "BigInteger"):
-        d = t.try_cast("double")
+        d = text_to_double(t)
         finite = d.isNotNull() & ~F.isnan(d) & (F.abs(d) != F.lit(float("inf")))
         v = F.when(finite, d.try_cast("bigint" if kind == "BigInteger" else "int"))
         fail = finite & v.isNull()
     elif kind == "Numeric":
-        d = t.try_cast("double")
+        d = text_to_double(t)
         v = d.try_cast(col.spark_type())
         fail = d.isNotNull() & v.isNull()
     elif kind in ("DateTime", "Date"):
@@ -141,64 +139,46 @@ def has_changes(update_cols: list[str], types: dict, src="s", tgt="t") -> Column
     return reduce(lambda a, b: a | b, diffs)
 
 
-def _small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Size check before broadcasting: the frame's row count, read from a
-    frame that is already materialised by the caller."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def classify(src: DataFrame, tgt: DataFrame, key: list[str], src_small: bool | None = None
-             ) -> DataFrame:
+def classify(src: DataFrame, tgt: DataFrame, key: list[str]) -> DataFrame:
     """``_action`` = insert (no stored row), update (stored row differs
-    in a file column) or skip (identical). One join on the key; the target
-    side is cut to the key and the compared columns, and first reduced to
-    the file's keys by a semi-join that broadcasts the (size-checked) key
-    set, so a big target is scanned map-side instead of shuffled whole."""
+    in a file column) or skip (identical). One join on the key with the target
+    cut to the key and the compared columns; how to join is left to adaptive
+    execution, which knows the bytes of both sides."""
     update_cols = [c for c in src.columns
                    if c not in key and not is_bookkeeping(c) and c in tgt.columns
                    and c != IMPORTED_AT]
     types = {f.name: f.dataType for f in tgt.schema.fields}
-    t = tgt.select(*[q(k) for k in key], *[q(c) for c in update_cols])
-    if src_small is None:
-        src_small = _small(src)
-    if src_small:
-        t = t.join(F.broadcast(src.select(*[q(k) for k in key])), key, "left_semi")
-    t = t.withColumn("__hit", F.lit(True)).alias("t")
+    t = tgt.select(*[q(k) for k in key], *[q(c) for c in update_cols], F.lit(True).alias("__hit")).alias("t")
     s = src.alias("s")
     cond = reduce(lambda a, b: a & b, [F.col(f"s.`{k}`") == F.col(f"t.`{k}`") for k in key])
-    joined = s.join(t, cond, "left")
     action = (F.when(F.col("t.__hit").isNull(), F.lit("insert"))
                .when(has_changes(update_cols, types), F.lit("update"))
                .otherwise(F.lit("skip")))
-    return joined.select(*[F.col(f"s.`{c}`") for c in src.columns], action.alias(ACTION))
+    return s.join(t, cond, "left").select(*[F.col(f"s.`{c}`") for c in src.columns], action.alias(ACTION))
 
 
 def merge(classified: DataFrame, tgt: DataFrame, key: list[str], spec: TableSpec | None = None,
           now: Column | None = None) -> DataFrame:
     """U4 (+U11): the new table. Updated rows take the file's columns and
     keep the others; inserted rows take defaults for columns the file lacks;
-    ``imported_at`` is refreshed on both. Untouched rows pass through an
-    anti-join against the (size-checked, broadcast) changed keys, so the
-    target is read once and not shuffled."""
+    ``imported_at`` is refreshed on both. The target is read once: one left
+    join with the updates, to which the inserts are appended."""
     now = now if now is not None else F.localtimestamp().cast("timestamp_ntz")
     file_cols = [c for c in classified.columns if not is_bookkeeping(c)]
-    changed = classified.filter(F.col(ACTION).isin("insert", "update"))
-    # one counting job sizes both broadcast candidates (keys are unique here)
-    small = _small(changed)
-    keys = changed.select(*[q(k) for k in key])
-    bk = F.broadcast(keys) if small else keys
-    keep = tgt.join(bk, key, "left_anti")
-    upd = changed.filter(F.col(ACTION) == "update").alias("u")
-    upd_b = F.broadcast(upd) if small else upd
-    t = tgt.alias("t")
+    upd = classified.filter(F.col(ACTION) == "update").withColumn("__hit", F.lit(True)).alias("u")
+    ins = fill_defaults(classified.filter(F.col(ACTION) == "insert"), tgt, spec, now)
     cond = reduce(lambda a, b: a & b, [F.col(f"t.`{k}`") == F.col(f"u.`{k}`") for k in key])
-    updated = t.join(upd_b, cond, "inner").select(*[
-        (F.col(f"u.`{c}`") if c in file_cols else
-         (now.alias(c) if c == IMPORTED_AT else F.col(f"t.`{c}`"))).alias(c)
-        for c in tgt.columns])
-    ins = changed.filter(F.col(ACTION) == "insert")
-    ins = fill_defaults(ins, tgt, spec, now)
-    return keep.unionByName(updated).unionByName(ins)
+
+    def new_value(f) -> Column:
+        old = F.col(f"t.`{f.name}`")
+        if f.name in file_cols:
+            return F.when(F.col("u.__hit"), F.col(f"u.`{f.name}`").cast(f.dataType)).otherwise(old)
+        if f.name == IMPORTED_AT:
+            return F.when(F.col("u.__hit"), now.cast(f.dataType)).otherwise(old)
+        return old
+
+    kept = tgt.alias("t").join(upd, cond, "left").select(*[new_value(f).alias(f.name) for f in tgt.schema.fields])
+    return kept.unionByName(ins)
 
 
 def fill_defaults(rows: DataFrame, tgt: DataFrame, spec: TableSpec | None,
@@ -238,15 +218,10 @@ def with_content_hash(df: DataFrame, spec: TableSpec) -> DataFrame:
 
 
 def insert_new(src: DataFrame, tgt: DataFrame) -> DataFrame:
-    """Rows whose hash is neither in the target nor earlier in the file.
-    Known hashes are found by scanning the target map-side against the
-    (size-checked) broadcast set of the file's hashes."""
+    """Rows whose hash is neither in the target nor earlier in the file."""
     firsts = src.groupBy("content_hash").agg(F.min(ORDINAL).alias(ORDINAL))
     uniq = src.join(firsts, ["content_hash", ORDINAL], "left_semi")
-    hashes = uniq.select("content_hash")
-    hb = F.broadcast(hashes) if _small(hashes) else hashes
-    known = tgt.select("content_hash").join(hb, "content_hash", "left_semi").distinct()
-    return uniq.join(known, "content_hash", "left_anti")
+    return uniq.join(tgt.select("content_hash"), "content_hash", "left_anti")
 
 
 def append(src: DataFrame, tgt: DataFrame, spec: TableSpec | None = None) -> DataFrame:
@@ -279,14 +254,15 @@ def reject_unique(df: DataFrame, tgt: DataFrame, col: str, key: list[str]) -> Da
     out = df.join(first, q(col) == F.col("__v"), "left")
     out = _add_reason(out, F.col("__first").isNotNull() & (F.col(ORDINAL) != F.col("__first")),
                       f"duplicate value in unique column {col}")
-    stored = tgt.select(q(col).alias("__sv"), *[q(k).alias(f"__sk_{k}") for k in key]) \
-                .filter(F.col("__sv").isNotNull())
+    # One row per stored value: it is under another key if its smallest or largest key is another.
+    own = F.struct(*[q(k) for k in key])
+    stored = (tgt.filter(q(col).isNotNull()).groupBy(q(col).alias("__sv"))
+              .agg(F.min(own).alias("__low"), F.max(own).alias("__high")))
     out = out.join(stored, q(col) == F.col("__sv"), "left")
-    other_key = reduce(lambda a, b: a | b,
-                       [~q(k).eqNullSafe(F.col(f"`__sk_{k}`")) for k in key])
+    other_key = ~own.eqNullSafe(F.col("__low")) | ~own.eqNullSafe(F.col("__high"))
     out = _add_reason(out, F.col("__sv").isNotNull() & other_key,
                       f"value already stored in unique column {col}")
-    return out.drop("__v", "__first", "__sv", *[f"__sk_{k}" for k in key])
+    return out.drop("__v", "__first", "__sv", "__low", "__high")
 
 
 def find_duplicate_key(df: DataFrame, key: list[str]) -> DataFrame:

@@ -183,8 +183,7 @@ def u_unique(spark, d):
         "o_orderkey", "o_custkey", F.col("o_orderkey").alias(C.ORDINAL)).withColumn(
         U.REJECT, F.lit(None).cast("string"))
     out = U.reject_unique(src, target(spark, d), "o_custkey", ["o_orderkey"])
-    # one stored row per (value, key) is enough to decide; collapse fan-out
-    return out.groupBy("o_orderkey").agg(F.min(U.REJECT).alias(U.REJECT))
+    return out.select("o_orderkey", U.REJECT)
 
 
 @reg.add("u_dupkey", """

@@ -1,24 +1,42 @@
 """Delimited file scan (S1), encoding detection (S2), ragged rows (S3) and
 blank-line drop (S5).
 
-Files are read by Spark's CSV reader in multi-line mode (quoted cells may
-hold newlines), every column as text, with a schema wider than the header so
-rows with extra cells keep them (``_extra_i``) and short rows are padded with
-NULL. Each row carries an ingest ordinal taken at scan time, before any
-shuffle: multi-line CSV files are not split, so (file, position) is stable
-across task retries and is what "last row wins" rules order by.
+The driver looks at the first ``HEAD_BYTES`` of each file only: they tell its
+encoding and its header record. Everything else is one parse by Spark's CSV
+reader in multi-line mode (quoted cells may hold newlines), every column as
+text, headers skipped by the reader file by file. Files whose headers name the
+same columns in another order are brought to the first file's order; files with
+other columns are refused.
+
+A row whose number of cells differs from the header's comes with its raw record.
+The record is counted and, where it is wider, parsed again as wide as the widest
+row is, so no cell is lost however wide a row.
+
+Each row carries an ingest ordinal: the file's position in the caller's list in
+the high bits, the row's position in its file in the low ones. Multi-line files
+are not split, so it is the same in every attempt of a task and is what "last
+row wins" rules order by.
 """
 
 from __future__ import annotations
 
+import codecs
+import csv
+import io
+import re
+from collections import Counter
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-ORDINAL = "_ordinal"
+from ..operators.cleaning import ORDINAL, RAW_CELLS, py_strip
+
 SOURCE_FILE = "_source_file"
+HEAD_BYTES = 1 << 16
+FILE_BITS = 40                      # ordinal = file << FILE_BITS | row
+MAX_COLUMNS = 1 << 20
 
 # Encodings tried in order on a file's first characters.
 ENCODINGS = ("utf-8-sig", "utf-8", "gbk", "gb2312", "gb18030", "latin-1")
@@ -26,13 +44,14 @@ SAMPLE_CHARS = 4096
 # Python codec name -> Java charset name for Spark's reader
 JAVA_CHARSETS = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "gbk": "GBK", "gb2312": "GB2312",
                  "gb18030": "GB18030", "latin-1": "ISO-8859-1"}
+_RAW = "__raw"
 
 
 @dataclass
 class RawFrame:
     """An all-text frame: ``headers`` are the cleaned file headers, the data
     columns are ``_c0.._cN`` (positional; a header may repeat), plus
-    ``_source_file`` and ``_ordinal``."""
+    ``_source_file``, ``_ordinal`` and ``_cells``, the cells its record had."""
     df: DataFrame
     headers: list[str]
     width: int
@@ -48,110 +67,143 @@ class RawFrame:
                               SOURCE_FILE, ORDINAL)
 
 
+@dataclass
+class _File:
+    path: str
+    encoding: str
+    header: tuple[str, ...]
+
+
 def _first_that_decodes(head: bytes) -> str:
-    import codecs
+    """The first encoding in which the first SAMPLE_CHARS characters are valid;
+    a character cut off at the end of ``head`` is not an error."""
     for enc in ENCODINGS:
         try:
-            text = codecs.getincrementaldecoder(enc)().decode(head, final=False)
-            text[:SAMPLE_CHARS]
+            codecs.getincrementaldecoder(enc)().decode(head[:SAMPLE_CHARS * 4], final=False)
             return enc
-        except (UnicodeDecodeError, UnicodeError, LookupError):
+        except UnicodeError:
             continue
-    return "utf-8-sig"
+    return ENCODINGS[0]
+
+
+def _listed(spark: SparkSession, paths: list[str]) -> list[str]:
+    """The files of the paths, folders in order of their file names."""
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for p in map(path_of, paths):
+        fs = p.getFileSystem(conf)
+        if fs.getFileStatus(p).isDirectory():
+            found = [s.getPath() for s in fs.listStatus(p) if s.isFile() and s.getPath().getName()[0] not in "._"]
+            out += sorted((f.toString() for f in found), key=lambda x: x.rsplit("/", 1)[-1])
+        else:
+            out.append(fs.makeQualified(p).toString())
+    return out
+
+
+def _head(spark: SparkSession, path: str) -> bytes:
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(p)
+    try:
+        bounded = jvm.org.apache.commons.io.input.BoundedInputStream(stream, HEAD_BYTES)
+        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(bounded))
+    finally:
+        stream.close()
 
 
 def detect_encodings(spark: SparkSession, paths: list[str]) -> dict[str, str]:
-    """Per file the first encoding of ``ENCODINGS`` that decodes its
-    first characters. Runs as a Spark job over the file heads (8 KiB each);
-    the result is one short string per file."""
-    import pandas as pd
+    """Per file the first encoding of ``ENCODINGS`` that decodes its first
+    characters. Reads file heads only."""
+    return {p: _first_that_decodes(_head(spark, p)) for p in _listed(spark, paths)}
 
-    def detect_fn(heads):
-        return heads.map(lambda b: _first_that_decodes(bytes(b)))
-    detect_fn.__annotations__ = {"heads": pd.Series, "return": pd.Series}
-    detect = F.pandas_udf(detect_fn, StringType())
 
-    files = (spark.read.format("binaryFile").load(paths)
-             .select("path", detect(F.substring("content", 1, 8192)).alias("enc")))
-    return {r["path"]: r["enc"] for r in files.collect()}
+def _header_record(head: bytes, encoding: str) -> tuple[str, ...]:
+    text = codecs.getincrementaldecoder(encoding)(errors="replace").decode(head, final=False)
+    first = next((r for r in csv.reader(io.StringIO(text, newline="")) if r), [])
+    return tuple(c.replace("\t", "").strip().lstrip("﻿").strip() for c in first)
 
 
-def read_delimited(spark: SparkSession, paths, encoding: str | None = None,
-                   max_extra: int = 16, header: bool = True) -> RawFrame:
+def read_delimited(spark: SparkSession, paths, encoding: str | None = None, header: bool = True) -> RawFrame:
     """S1 + S3 + S5: read delimited files as text.
 
     * tabs are removed from every cell, header cells are trimmed and lose
       byte-order marks;
-    * rows wider than the header keep their cells (``_extra_i``), short rows
-      are NULL-padded;
+    * rows wider than the header keep all their cells (``_extra_i``), short
+      rows are NULL-padded;
     * rows whose cells are all blank are dropped (not counted anywhere).
     """
-    if isinstance(paths, str):
-        paths = [paths]
-    groups: dict[str, list[str]]
-    if encoding:
-        groups = {encoding: list(paths)}
-    else:
-        found = detect_encodings(spark, list(paths))
-        groups = {}
-        for p, enc in found.items():
-            groups.setdefault(enc, []).append(p)
-    # the first record of the first file is the header: one small read, so
-    # the scan below is exactly as wide as the header plus the extra cells
-    first_enc, first_files = next(iter(groups.items()))
-    header_cells = _first_record(spark, first_files[0], JAVA_CHARSETS.get(first_enc, first_enc))
-    n = len(header_cells) + max_extra
-    frames = []
-    for enc, files in groups.items():
-        frames.append(_scan(spark, files, JAVA_CHARSETS.get(enc, enc), n))
+    files = []
+    for p in _listed(spark, [paths] if isinstance(paths, str) else list(paths)):
+        head = _head(spark, p)
+        enc = encoding or _first_that_decodes(head)
+        files.append(_File(p, enc, _header_record(head, enc)))
+    headers = next((f.header for f in files if f.header), ())
+    for f in files:
+        if header and f.header and Counter(f.header) != Counter(headers):
+            raise ValueError(f"{f.path}: header {list(f.header)} does not name the columns of the first file, {list(headers)}")
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")     # else the reader refuses the GBK family
+    width = len(headers)
+    groups: dict[tuple, list[tuple[int, str]]] = {}
+    for i, f in enumerate(files):
+        if f.header:
+            groups.setdefault((f.encoding, f.header if header else headers), []).append((i, f.path))
+    frames = [_scan(spark, group, enc, names, headers, header) for (enc, names), group in groups.items()]
+    if not frames:
+        schema = StructType([StructField(f"_c{i}", StringType()) for i in range(width)])
+        empty = spark.createDataFrame([], schema).withColumns(
+            {SOURCE_FILE: F.lit(""), ORDINAL: F.lit(0).cast("long"), RAW_CELLS: F.lit(0)})
+        return RawFrame(empty, list(headers) if header else [], width)
     raw = frames[0]
     for f in frames[1:]:
         raw = raw.unionByName(f)
-    return _split_header(raw, header_cells if header else None)
-
-
-def _first_record(spark, path, charset) -> list:
-    rows = (spark.read.option("multiLine", True).option("encoding", charset)
-            .csv(path).limit(1).collect())
-    cells = list(rows[0]) if rows else []
-    while cells and cells[-1] is None:
-        cells.pop()
-    return [(c or "").replace("\t", "") for c in cells]
-
-
-def _scan(spark, files, charset, n) -> DataFrame:
-    schema = StructType([StructField(f"_c{i}", StringType()) for i in range(n)])
-    df = (spark.read.schema(schema).option("multiLine", True).option("encoding", charset)
-          .option("mode", "PERMISSIVE").csv(files))
-    return df.select(
-        *[F.translate(F.col(f"_c{i}"), "\t", "").alias(f"_c{i}") for i in range(n)],
-        F.col("_metadata.file_path").alias(SOURCE_FILE),
-        F.monotonically_increasing_id().alias(ORDINAL))
-
-
-def _split_header(raw: DataFrame, header_cells: list | None) -> RawFrame:
-    n = len([c for c in raw.columns if c.startswith("_c")])
-    if header_cells is not None:
-        # the first row of every file is its header (one row per file, so
-        # the broadcast below is bounded by the number of files)
-        first = raw.groupBy(SOURCE_FILE).agg(F.min(ORDINAL).alias("__first"))
-        headers = [h.strip().lstrip("\ufeff") for h in header_cells]
-        body = raw.join(F.broadcast(first), [SOURCE_FILE], "left") \
-                  .filter(F.col(ORDINAL) != F.col("__first")).drop("__first")
-    else:
-        headers, body = [], raw
+    widest = raw.agg(F.max(RAW_CELLS)).first()[0] or 0
+    body = _widened(raw, width, max(width, widest))
+    width = max(width, widest)
     # Drop rows whose cells are all blank
-    cells = [F.coalesce(F.length(F.trim(F.col(f"_c{i}"))), F.lit(0)) for i in range(n)]
-    body = body.filter(F.greatest(*cells) > 0)
-    # actual width: header, or the widest row
-    width = len(headers)
-    if n > len(headers):
-        widest = body.agg(F.max(F.greatest(*[F.when(F.col(f"_c{i}").isNotNull(), F.lit(i))
-                                             for i in range(len(headers), n)]))
-                          .alias("w")).first()["w"]
-        if widest is not None:
-            width = max(width, widest + 1)
-    if width >= n:
-        raise ValueError(f"rows wider than {n} cells; raise max_extra")
-    body = body.select(*[F.col(f"_c{i}") for i in range(width)], SOURCE_FILE, ORDINAL)
-    return RawFrame(body, headers, width)
+    filled = [F.coalesce(F.length(py_strip(F.col(f"_c{i}"))), F.lit(0)) for i in range(width)]
+    body = body.filter(F.greatest(*filled, F.lit(0)) > 0)
+    return RawFrame(body, list(headers) if header else [], width)
+
+
+def _cells_of(record: Column) -> Column:
+    """Cells of a raw record: separators outside of quotes, and one."""
+    bare = F.regexp_replace(record, r'"(?:[^"]|"")*"', "")
+    return F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1
+
+
+def _scan(spark, group: list[tuple[int, str]], encoding: str, names: tuple, headers: tuple, header: bool) -> DataFrame:
+    """Files of one encoding and one header, in the column order of ``headers``."""
+    n = len(names)
+    schema = StructType([StructField(f"_f{i}", StringType()) for i in range(n)] + [StructField(_RAW, StringType())])
+    df = (spark.read.schema(schema).option("multiLine", True).option("header", header).option("enforceSchema", True)
+          .option("encoding", JAVA_CHARSETS.get(encoding, encoding)).option("escape", '"').option("mode", "PERMISSIVE")
+          .option("columnNameOfCorruptRecord", _RAW).option("columnPruning", False).option("maxColumns", MAX_COLUMNS)
+          .csv([p for _, p in group]))
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))      # a file is read by one task, in order
+    df = df.select("*", F.regexp_replace("_metadata.file_path", "^file:/+", "file:/").alias(SOURCE_FILE), row.alias("__row"))
+    uri = spark._jvm.org.apache.hadoop.fs.Path
+    order = [(re.sub("^file:/+", "file:/", uri(p).toUri().toString()), i) for i, p in group]
+    df = df.join(F.broadcast(spark.createDataFrame(order, f"{SOURCE_FILE} string, __file long")), SOURCE_FILE)  # one row a file
+    # Where each column of the first file stands in these files; a name that repeats is taken in order.
+    places: dict[str, list[int]] = {}
+    for i, name in enumerate(names):
+        places.setdefault(name, []).append(i)
+    cells = [F.translate(F.col(f"_f{places[h].pop(0)}"), "\t", "").alias(f"_c{k}") for k, h in enumerate(headers)]
+    # Never less than 0; the reader refuses to be asked for raw records alone.
+    nothing = (F.length(F.coalesce(F.col("_f0"), F.lit(""))) < 0).cast("int")
+    count = F.when(F.col(_RAW).isNull(), F.lit(n)).otherwise(_cells_of(F.col(_RAW))) + nothing
+    return df.select(*cells, count.alias(RAW_CELLS),
+                     _RAW, SOURCE_FILE, (F.shiftleft("__file", FILE_BITS) + F.col("__row")).alias(ORDINAL))
+
+
+def _widened(raw: DataFrame, n: int, width: int) -> DataFrame:
+    """The cells beyond the header's ``n`` columns, from the raw records."""
+    if width <= n:
+        return raw.drop(_RAW)
+    schema = ", ".join(f"x{i} string" for i in range(width))
+    wide = F.from_csv(F.when(F.col(RAW_CELLS) > n, F.col(_RAW)), schema,
+                      {"escape": '"', "mode": "PERMISSIVE", "maxColumns": str(MAX_COLUMNS)})
+    out = raw.withColumn("__wide", wide)
+    extra = [F.translate(F.col(f"__wide.x{i}"), "\t", "").alias(f"_c{i}") for i in range(n, width)]
+    return out.select(*[f"_c{i}" for i in range(n)], *extra, SOURCE_FILE, ORDINAL, RAW_CELLS)

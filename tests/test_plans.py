@@ -2,8 +2,8 @@
 
 import pytest
 
-import __spark_entry__ as E
 from conftest import SF
+from tessera.queries import registry
 
 FORBIDDEN = ("BroadcastNestedLoopJoin", "CartesianProduct", "BatchEvalPython",
              "ArrowEvalPython", "MapInPandas", "FlatMapGroupsInPandas")
@@ -12,7 +12,7 @@ FORBIDDEN = ("BroadcastNestedLoopJoin", "CartesianProduct", "BatchEvalPython",
 @pytest.fixture(scope="module")
 def plans(spark):
     out = {}
-    for name, fn in E.queries().items():
+    for name, (fn, _sql) in registry().items():
         out[name] = fn(spark, SF)._jdf.queryExecution().executedPlan().toString()
     return out
 
