@@ -14,6 +14,7 @@ import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType, DoubleType, FloatType, StringType
 
 from ..model import BOOKKEEPING_COLUMNS, ColumnSpec, TableSpec, spark_type_name
 from ..operators.upsert import find_duplicate_key, with_content_hash
@@ -98,20 +99,29 @@ def rename_table(catalog, old: str, new: str, views: DataFrame | None = None) ->
         catalog.specs[new].name = new
 
 
+FRACTIONS = (DecimalType, DoubleType, FloatType)
+
+
 def change_type(df: DataFrame, spec: TableSpec, name: str, new_type: str
                 ) -> tuple[DataFrame, TableSpec, bool, DataFrame]:
     """M4: (new frame, new spec, lossy flag from the safe-cast matrix, a
-    one-row frame ``lossy_rows`` = values that do not survive the cast).
-    The cast itself is strict: a value that cannot be cast fails the job,
-    as the database refused the ALTER."""
+    one-row frame ``lossy_rows`` = values that do not survive: they cannot be
+    cast, or are another value when cast back (a fraction, a time of day).
+    Fractions are rounded half away from zero, as the database does. The cast
+    itself is strict: a value that cannot be cast fails the job, as the database
+    refused the ALTER."""
     old = spec.column(name).type
     lossy = new_type not in SAFE_CASTS.get(old, set())
-    target = spark_type_name(new_type)
-    losses = df.agg(F.count(F.when(q(name).isNotNull() & q(name).try_cast(target).isNull(), 1))
-                    .alias("lossy_rows"))
+    target, kind = spark_type_name(new_type), df.schema[name].dataType
+    value = F.round(q(name), 0) if new_type in ("Integer", "BigInteger") and isinstance(kind, FRACTIONS) else q(name)
+    back = value.try_cast(target)
+    changed = back.isNull()
+    if not isinstance(kind, StringType):
+        changed = changed | (back.try_cast(kind) != q(name))
+    losses = df.agg(F.count(F.when(q(name).isNotNull() & changed, 1)).alias("lossy_rows"))
     new = _spec_copy(spec)
     new.column(name).type = new_type
-    return df.withColumn(name, q(name).cast(target)), new, lossy, losses
+    return df.withColumn(name, value.cast(target)), new, lossy, losses
 
 
 def null_violations(df: DataFrame, name: str) -> DataFrame:

@@ -27,37 +27,38 @@ class SavedViewError(ValueError):
 
 
 class ViewStore:
-    """Views kept in a parquet folder; every save writes a new version."""
+    """Views kept as an append-only table below ``path``: every save adds one
+    row, the newest row of a name is the view. A store opened later on the same
+    path sees them all."""
 
-    def __init__(self, spark: SparkSession, path: str, new: bool = False):
-        """``new=True`` starts an empty store at a fresh path (no read)."""
+    def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
-        self._df: DataFrame | None = spark.createDataFrame([], VIEWS_SCHEMA) if new else None
+
+    def _exists(self) -> bool:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
     def frame(self) -> DataFrame:
-        if self._df is None:
-            try:
-                self._df = self.spark.read.parquet(self.path)
-            except Exception:   # nothing saved yet
-                self._df = self.spark.createDataFrame([], VIEWS_SCHEMA)
-        return self._df
+        if not self._exists():
+            return self.spark.createDataFrame([], VIEWS_SCHEMA)
+        fields = [c.split()[0] for c in VIEWS_SCHEMA.split(", ")]
+        newest = (self.spark.read.schema(f"{VIEWS_SCHEMA}, version long").parquet(self.path).groupBy("name")
+                  .agg(F.max_by(F.struct(*fields[1:], "version"), "version").alias("v")))
+        return newest.select("name", *[F.col(f"v.{c}").alias(c) for c in fields[1:]], F.col("v.version"))
 
     def save(self, name: str, cfg, description: str | None = None,
              now: dt.datetime | None = None, replace: bool = False) -> None:
         """Store ``cfg`` under a unique name (``replace`` updates it)."""
         ViewConfig.from_dict(cfg) if isinstance(cfg, dict) else cfg   # validates shape
         now = now or dt.datetime.now().replace(microsecond=0)
-        cur = self.frame()
-        old = cur.filter(F.col("name") == name).select("created_at").collect()
+        old = []
+        if self._exists():
+            old = self.frame().filter(F.col("name") == name).select("created_at", "version").collect()
         if old and not replace:
             raise SavedViewError(f"a view named '{name}' exists")
-        created = old[0]["created_at"] if old else now
-        row = self.spark.createDataFrame([(name, description, config_text(cfg), created, now)],
-                                         VIEWS_SCHEMA)
-        new = cur.filter(F.col("name") != name).unionByName(row)
-        version = f"{self.path.rstrip('/')}-{now.strftime('%Y%m%d%H%M%S%f')}"
-        new.write.parquet(version)
-        self.path, self._df = version, self.spark.read.parquet(version)
+        created, version = (old[0]["created_at"], old[0]["version"] + 1) if old else (now, 1)
+        self.spark.createDataFrame([(name, description, config_text(cfg), created, now, version)],
+                                   f"{VIEWS_SCHEMA}, version long").coalesce(1).write.mode("append").parquet(self.path)
 
     def list(self, sort: str = "created_at", descending: bool = True) -> DataFrame:
         """Views newest first, or by created/updated time either way."""

@@ -384,3 +384,29 @@ def g_kinds(spark, d):
         F.date_format("o_orderdate", "yyyy-MM-dd").alias("day_text"),
         "o_orderstatus", "o_totalprice", "o_orderdate")
     return G.column_kinds(df)
+
+
+@reg.add("g_numeric_text", """
+WITH t AS (SELECT l_orderkey % 7 AS g, CASE l_linenumber % 4 WHEN 0 THEN l_quantity::BIGINT || 'F' WHEN 1 THEN l_quantity::BIGINT || 'd'
+                  WHEN 2 THEN l_quantity::BIGINT || 'e1' ELSE ' ' || l_quantity::BIGINT END AS v FROM lineitem)
+SELECT CAST(g AS VARCHAR) AS g, SUM(CASE WHEN v LIKE '%F' OR v LIKE '%d' THEN NULL ELSE CAST(trim(v) AS DOUBLE) END) AS v
+FROM t GROUP BY 1""")
+def g_numeric_text(spark, d):
+    """Text cells with a letter behind the digits are not numbers; 1e1 is."""
+    n = F.col("l_quantity").cast("long").cast("string")
+    li = catalog(spark, d).table("lineitem").select(
+        (F.col("l_orderkey") % 7).alias("g"),
+        F.when(F.col("l_linenumber") % 4 == 0, F.concat(n, F.lit("F")))
+         .when(F.col("l_linenumber") % 4 == 1, F.concat(n, F.lit("d")))
+         .when(F.col("l_linenumber") % 4 == 2, F.concat(n, F.lit("e1"))).otherwise(F.concat(F.lit(" "), n)).alias("v"))
+    return G.aggregate_categories(li, "g", ["v"], None, "SUM")
+
+
+@reg.add("g_box_ties", """
+WITH q AS (SELECT l_returnflag AS category, COUNT(*) AS count, quantile_cont(l_discount, 0.25) AS q1,
+                  quantile_cont(l_discount, 0.5) AS median, quantile_cont(l_discount, 0.75) AS q3 FROM lineitem GROUP BY 1)
+SELECT category, count, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3 FROM q""")
+def g_box_ties(spark, d):
+    """Quartiles over a column of eleven values."""
+    box = G.boxplot(catalog(spark, d).table("lineitem"), "l_discount", "l_returnflag")
+    return box.select("category", "count", *[F.round(c, 6).alias(c) for c in ("q1", "median", "q3")])

@@ -257,3 +257,85 @@ def s_read_csv(spark, d):
 def s_overview(spark, d):
     names = ["customer", "lineitem", "nation", "orders", "part", "region", "supplier"]
     return table_overview(catalog(spark, d), names)
+
+
+# --- the file scan on files derived from customer ---------------------------
+
+@reg.add("s_ragged", """
+SELECT CAST(c_custkey AS VARCHAR) AS k, 1 + c_custkey % 40 AS n_extra, 'LOST' || c_custkey AS last FROM customer""")
+def s_ragged(spark, d):
+    """S3: rows of 0 to 39 cells beyond the header, most of them blank; the last one counts."""
+    path = scratch_path(spark, "ragged")
+    blanks = F.repeat(F.lit(","), (F.col("c_custkey") % 40).cast("int"))
+    catalog(spark, d).table("customer").select(
+        F.concat("c_custkey", F.lit(","), "c_name", F.lit(","), blanks, F.lit("LOST"), "c_custkey").alias("c_custkey,c_name")
+    ).write.option("header", True).option("sep", ";").csv(path)
+    raw = read_delimited(spark, path)
+    extra = [F.col(f"_c{i}") for i in range(2, raw.width)]
+    return raw.df.select(F.col("_c0").alias("k"), (F.col("_cells") - 2).cast("long").alias("n_extra"),
+                         F.coalesce(*reversed(extra)).alias("last"))
+
+
+@reg.add("s_encodings", """
+SELECT CAST(c_custkey AS VARCHAR) AS k, CASE c_custkey % 3 WHEN 0 THEN '客户 ' WHEN 1 THEN '客户é ' ELSE 'café ' END
+       || c_name AS name FROM customer""")
+def s_encodings(spark, d):
+    """Three folders in GBK, UTF-8 and Latin-1, read together."""
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    c = catalog(spark, d).table("customer")
+    paths = []
+    for i, (charset, prefix) in enumerate((("GBK", "客户 "), ("UTF-8", "客户é "), ("ISO-8859-1", "café "))):
+        paths.append(scratch_path(spark, "encoded"))
+        c.filter(F.col("c_custkey") % 3 == i).select("c_custkey", F.concat(F.lit(prefix), "c_name").alias("c_name")) \
+            .write.option("header", True).option("encoding", charset).csv(paths[-1])
+    return read_delimited(spark, paths).df.select(F.col("_c0").alias("k"), F.col("_c1").alias("name"))
+
+
+@reg.add("s_mixed_headers", """
+SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, c_mktsegment FROM customer""")
+def s_mixed_headers(spark, d):
+    """Files that name the same columns in another order."""
+    c, paths = catalog(spark, d).table("customer"), []
+    for i, cols in enumerate((("c_custkey", "c_name", "c_mktsegment"), ("c_mktsegment", "c_custkey", "c_name"))):
+        paths.append(scratch_path(spark, "mixed"))
+        c.filter(F.col("c_custkey") % 2 == i).select(*cols).write.option("header", True).csv(paths[-1])
+    return read_delimited(spark, paths).named().select("c_custkey", "c_name", "c_mktsegment")
+
+
+@reg.add("s_file_order", """
+SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'late' ELSE 'early' END AS origin
+FROM customer""")
+def s_file_order(spark, d):
+    """The last row of a key wins, in the order in which the caller names the files."""
+    c = catalog(spark, d).table("customer")
+    early, late = scratch_path(spark, "order"), scratch_path(spark, "order")
+    c.select("c_custkey", F.lit("early").alias("origin")).write.option("header", True).csv(early)
+    c.filter(F.col("c_custkey") % 4 == 0).coalesce(1).select("c_custkey", F.lit("late").alias("origin")) \
+        .write.option("header", True).csv(late)
+    both = read_delimited(spark, [early, late]).named()
+    return C.dedup_by_key(both, ["c_custkey"]).select("c_custkey", "origin")
+
+
+@reg.add("s_blank_lines", """
+SELECT CAST(c_custkey AS VARCHAR) AS k, c_name AS name FROM customer WHERE c_custkey % 3 <> 0""")
+def s_blank_lines(spark, d):
+    """Rows whose cells are all blank (wide spaces too) are dropped."""
+    path = scratch_path(spark, "blank")
+    gone = F.col("c_custkey") % 3 == 0
+    catalog(spark, d).table("customer").select(
+        F.when(gone, F.lit("\u3000 ")).otherwise(F.col("c_custkey").cast("string")).alias("k"),
+        F.when(gone, F.lit(" ")).otherwise(F.col("c_name")).alias("name")).write.option("header", True).csv(path)
+    return read_delimited(spark, path).df.select(F.col("_c0").alias("k"), F.col("_c1").alias("name"))
+
+
+@reg.add("c_malformed_cells", """
+SELECT 'RB' || c_custkey AS k FROM customer WHERE c_custkey % 5 <> 0""")
+def c_malformed_cells(spark, d):
+    """Rows that are short in the file go, rows whose cells are there but blank stay."""
+    path = scratch_path(spark, "malformed")
+    short = F.col("c_custkey") % 5 == 0
+    catalog(spark, d).table("customer").select(
+        F.concat(F.lit("RB"), "c_custkey", F.when(short, F.lit("")).otherwise(F.repeat(F.lit(","), F.lit(9)))).alias("k,a,b,c,d,e,f,g,h,i")
+    ).write.option("header", True).option("sep", ";").csv(path)
+    raw = read_delimited(spark, path)
+    return C.drop_malformed(raw.df, C.CleaningReport(), r"^RB\d+$", columns=raw.data_columns).select(F.col("_c0").alias("k"))

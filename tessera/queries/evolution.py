@@ -54,10 +54,16 @@ SELECT 'o_orderstatus' AS "column", 'Integer' AS new_type, TRUE AS lossy,
        COUNT(*) FILTER (WHERE o_orderstatus IS NOT NULL AND TRY_CAST(o_orderstatus AS INTEGER) IS NULL)
        AS lossy_rows FROM orders
 UNION ALL SELECT 'o_custkey', 'String', FALSE,
-       COUNT(*) FILTER (WHERE o_custkey IS NOT NULL AND TRY_CAST(o_custkey AS VARCHAR) IS NULL) FROM orders""")
+       COUNT(*) FILTER (WHERE o_custkey IS NOT NULL AND TRY_CAST(o_custkey AS VARCHAR) IS NULL) FROM orders
+UNION ALL SELECT 'o_totalprice', 'Integer', TRUE,
+       COUNT(*) FILTER (WHERE TRY_CAST(round(o_totalprice) AS INTEGER) IS NULL OR round(o_totalprice) <> o_totalprice)
+       FROM orders
+UNION ALL SELECT 'o_orderdate', 'Date', TRUE,
+       COUNT(*) FILTER (WHERE CAST(o_orderdate AS DATE)::TIMESTAMP <> o_orderdate) FROM orders""")
 def m_change_type(spark, d):
     out = None
-    for col, new_type in (("o_orderstatus", "Integer"), ("o_custkey", "String")):
+    for col, new_type in (("o_orderstatus", "Integer"), ("o_custkey", "String"),
+                          ("o_totalprice", "Integer"), ("o_orderdate", "Date")):
         _df, _spec, lossy, losses = M.change_type(orders(spark, d), ORDERS, col, new_type)
         row = losses.select(F.lit(col).alias("column"), F.lit(new_type).alias("new_type"),
                             F.lit(lossy).alias("lossy"), "lossy_rows")
@@ -88,6 +94,6 @@ WHERE l_shipdate >= TIMESTAMP '1996-01-01' AND l_shipdate < TIMESTAMP '1999-01-0
 GROUP BY 1, 2""")
 def v_saved(spark, d):
     """Save the flagship config by name, load it back, run it."""
-    store = ViewStore(spark, scratch_path(spark, "views"), new=True)
+    store = ViewStore(spark, scratch_path(spark, "views"))
     store.save("monthly revenue", FLAGSHIP, "lineitem x orders by month")
     return rounded(store.run(catalog(spark, d), "monthly revenue"))

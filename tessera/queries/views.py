@@ -251,6 +251,16 @@ SELECT l_orderkey, l_linenumber,
 FROM lineitem WHERE (1 - l_discount) * l_extendedprice > 50000""")
 
 
+@reg.add("v_arith_ratio", f"""
+SELECT l_orderkey, l_linenumber, {R('l_tax / l_extendedprice * 1000000', 4)} AS ratio FROM lineitem""")
+def v_arith_ratio(spark, d):
+    ratio = {"alias": "ratio", "expression_type": "arithmetic", "operators": ["/", "*"],
+             "operands": [col("lineitem", "l_tax"), col("lineitem", "l_extendedprice"), const(1000000)]}
+    cfg = {"from_tables": ["lineitem"], "computed_columns": [ratio], "selected_computed_columns": ["ratio"],
+           "columns": [{"table": "lineitem", "column": c} for c in ("l_orderkey", "l_linenumber")]}
+    return rounded(compile_view(catalog(spark, d), cfg), 4)
+
+
 @reg.add("v_agg_computed", f"""
 SELECT l_returnflag, {R('SUM((1 - l_discount) * l_extendedprice)')} AS revenue,
        {R('AVG((1 - l_discount) * l_extendedprice)')} AS avg_net,
