@@ -12,9 +12,9 @@
    100 * |a and b| >= threshold * |a or b| on the full sets.
 4. Components are found by alternating large-star and small-star. Buckets whose
    nodes are all in one component are settled: no further link can change the
-   result. In the others, nodes are paired along ``CHAINS`` random orders, which
-   joins up large groups of near copies at the cost of their size; then each pair
-   left across components is verified. Pairs too unlike in set size, or in one
+   result. In the others, nodes are paired along random orders, which joins up
+   large groups of near copies at the cost of their size; then each pair left
+   across components is verified. Pairs too unlike in set size, or in one
    bit of each minimum, are not made at all.
 
 Texts are moved once, by row, to build the sets of nodes that have a candidate.
@@ -46,9 +46,10 @@ WORDS = 5
 THRESHOLD = 80              # hundredths
 BANDS, ROWS = 40, 5
 AGREE = 0.2                 # a pair may fall this far below the threshold by its signature
-CHAINS = 4                  # rounds of random chains before all pairs across components
+CHAINS = 8                  # rounds of random chains at most, and while more than
+EASY = 4                    # pairs an entry are left, before all pairs across components
 CHAIN = 256                 # nodes of a bucket that one task orders, about
-BITS = 50                   # of BANDS * ROWS low bits, this many may differ: at 0.8, 20 do, and 50 in 1e-9 of pairs
+BITS = 46                   # of BANDS * ROWS low bits, this many may differ: at 0.8, 20 do, more than 46 in 1e-8 of pairs
 SLICE = 1 << 13             # shingles hashed at a time
 MEMO = 1 << 20
 _rnd = np.random.default_rng(20240229)
@@ -191,14 +192,18 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, words: int, threshold:
     sets = staged(_sets(docs, nodes.join(ends, "node"), id_col, text_col, words), "minhash-sets")
     links = staged(_verified(stars, sets, threshold), "minhash-links")
     roots = staged(connected_components(links), "minhash-roots")
-    marks = nodes.select(F.col("node").alias("v"), "n", "sketch")
+    marks = nodes.select(F.col("node").alias("v"), "n", "sketch", "buckets")
 
-    def open_entries() -> DataFrame:
-        """Entries of the buckets that more than one component meets in."""
+    def open_entries() -> tuple[DataFrame, int, int]:
+        """Entries of the buckets that more than one component meets in, how
+        many they are, and how many pairs across components they make."""
         placed = shared.join(roots.withColumnRenamed("node", "v"), "v", "left").select(
             "bucket", "v", F.coalesce("root", "v").alias("root"))
-        many = placed.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b")
-        return staged(placed.join(many.select("bucket"), "bucket", "left_semi").join(marks, "v"), "minhash-open")
+        many = placed.groupBy("bucket", "root").agg(F.count("*").alias("m")).groupBy("bucket").agg(
+            F.count("*").alias("roots"), F.sum("m").alias("size"), F.sum(F.col("m") * F.col("m")).alias("same"))
+        many = staged(many.filter("roots > 1").select("bucket", "size", "same"), "minhash-many")
+        n, pairs = many.agg(F.sum("size"), F.sum((F.col("size") * F.col("size") - F.col("same")) / 2)).first()
+        return placed.join(many.select("bucket", "size"), "bucket").join(marks, "v"), n or 0, int(pairs or 0)
 
     def alike(a: str, b: str) -> Column:
         """What every pair that reaches the threshold fulfils."""
@@ -209,30 +214,40 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, words: int, threshold:
 
     def joined(pairs: DataFrame) -> bool:
         """Whether any of the pairs is a link; if so, the components grow."""
-        nonlocal links, roots
+        nonlocal roots
         more = staged(_verified(pairs.distinct(), sets, threshold), "minhash-more")
         if more.isEmpty():
             return False
-        links = links.unionByName(more)
-        roots = staged(connected_components(links), "minhash-roots")
+        # Only what the new links join up: components of components.
+        to = roots.select(F.col("node").alias("u"), "root")
+        tv = roots.select(F.col("node").alias("v"), F.col("root").alias("root_v"))
+        up = more.join(to, "u", "left").join(tv, "v", "left").select(
+            F.coalesce("root", "u").alias("u"), F.coalesce("root_v", "v").alias("v"))
+        grown = staged(connected_components(up), "minhash-grown")
+        moved = grown.select(F.col("node").alias("root"), F.col("root").alias("new"))
+        roots = staged(roots.join(moved, "root", "left").select("node", F.coalesce("new", "root").alias("root"))
+                       .unionByName(grown.join(roots.select("node"), "node", "left_anti")), "minhash-roots")
         return True
 
-    for turn in range(CHAINS):
-        entries = open_entries()
-        order = F.xxhash64("v", F.lit(turn))
-        chained = (entries.join(entries.groupBy("bucket").agg(F.count("*").alias("size")), "bucket")
-                   .withColumn("order", order)
-                   .withColumn("part", F.pmod(F.xxhash64("order"), 1 + F.floor(F.col("size") / F.lit(CHAIN)))))
+    turn = 0
+    entries, n, left = open_entries()
+    while left > EASY * n and turn < CHAINS:
+        chained = entries.withColumn("order", F.xxhash64("v", F.lit(turn))).withColumn(
+            "part", F.pmod(F.xxhash64("order"), 1 + F.floor(F.col("size") / F.lit(CHAIN))))
         along = Window.partitionBy("bucket", "part").orderBy("order", "v")
         last = F.lag(F.struct("v", "root", "n", "sketch")).over(along)
         pairs = (chained.select("v", "root", "n", "sketch", last.alias("p"))
                  .filter(F.col("p").isNotNull() & alike("p.", "")).select(F.col("p.v").alias("u"), "v"))
-        if not joined(pairs):
-            break
-    right = open_entries()
-    left = right.select("bucket", *[F.col(c).alias(f"u_{c}") for c in ("v", "root", "n", "sketch")])
-    joined(left.join(right, (left["bucket"] == right["bucket"]) & (F.col("u_v") < F.col("v")) & alike("u_", ""))
-           .select(F.col("u_v").alias("u"), "v"))
+        turn = turn + 1 if joined(pairs) else CHAINS
+        entries, n, left = open_entries()
+    if left:
+        right = staged(entries.drop("size"), "minhash-open")
+        one = right.select("bucket", *[F.col(c).alias(f"u_{c}") for c in ("v", "root", "n", "sketch", "buckets")])
+        # A pair is made in the first bucket that it shares, and in no other.
+        here = F.col("b_bucket") == F.array_min(F.array_intersect("u_buckets", "buckets"))
+        two = right.withColumnRenamed("bucket", "b_bucket")
+        joined(one.join(two, (F.col("bucket") == F.col("b_bucket")) & (F.col("u_v") < F.col("v")) & alike("u_", "") & here)
+               .select(F.col("u_v").alias("u"), "v"))
     # Back to the documents: the smallest id of each component.
     placed = nodes.select("set_key", "node", "rep_id").join(roots, "node", "left").select(
         "set_key", "rep_id", F.coalesce("root", "node").alias("root"))
