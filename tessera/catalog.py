@@ -7,8 +7,6 @@ always looked up first, so a real table called ``sales_2024`` stays reachable.
 
 from __future__ import annotations
 
-import glob
-import os
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,9 +28,14 @@ class Catalog:
     # -- registration -------------------------------------------------------
     @classmethod
     def from_dir(cls, spark: SparkSession, root: str) -> "Catalog":
-        cat = cls(spark)
-        for path in sorted(glob.glob(os.path.join(root, "*.parquet"))):
-            cat.register_path(os.path.basename(path)[: -len(".parquet")], path)
+        """All ``<name>.parquet`` files and folders below ``root``, in any store
+        that Spark reads."""
+        cat, at = cls(spark), spark._jvm.org.apache.hadoop.fs.Path(root)
+        found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)
+        for path in sorted(f.getPath().toString() for f in found):
+            name = path.rsplit("/", 1)[-1]
+            if name.endswith(".parquet"):
+                cat.register_path(name.removesuffix(".parquet"), path)
         return cat
 
     def register_path(self, name: str, path: str) -> None:
