@@ -46,8 +46,7 @@ WORDS = 5
 THRESHOLD = 80              # hundredths
 BANDS, ROWS = 40, 5
 AGREE = 0.2                 # a pair may fall this far below the threshold by its signature
-CHAINS = 8                  # rounds of random chains at most, and while more than
-EASY = 4                    # pairs an entry are left, before all pairs across components
+EASY = 4                    # random chains go on while more pairs an entry are left, and each round halves them
 CHAIN = 256                 # nodes of a bucket that one task orders, about
 BITS = 46                   # of BANDS * ROWS low bits, this many may differ: at 0.8, 20 do, more than 46 in 1e-8 of pairs
 SLICE = 1 << 13             # shingles hashed at a time
@@ -231,15 +230,19 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, words: int, threshold:
 
     turn = 0
     entries, n, left = open_entries()
-    while left > EASY * n and turn < CHAINS:
+    while left > EASY * n:
         chained = entries.withColumn("order", F.xxhash64("v", F.lit(turn))).withColumn(
             "part", F.pmod(F.xxhash64("order"), 1 + F.floor(F.col("size") / F.lit(CHAIN))))
         along = Window.partitionBy("bucket", "part").orderBy("order", "v")
         last = F.lag(F.struct("v", "root", "n", "sketch")).over(along)
         pairs = (chained.select("v", "root", "n", "sketch", last.alias("p"))
                  .filter(F.col("p").isNotNull() & alike("p.", "")).select(F.col("p.v").alias("u"), "v"))
-        turn = turn + 1 if joined(pairs) else CHAINS
+        turn, before = turn + 1, left
+        if not joined(pairs):
+            break
         entries, n, left = open_entries()
+        if 2 * left > before:       # what is left are pairs that hardly ever link
+            break
     if left:
         right = staged(entries.drop("size"), "minhash-open")
         one = right.select("bucket", *[F.col(c).alias(f"u_{c}") for c in ("v", "root", "n", "sketch", "buckets")])
