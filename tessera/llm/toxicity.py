@@ -125,9 +125,12 @@ class Restorer:
             return set()
         lower = text.lower()
         out: set[str] = set()
-        for m in APART.findall(lower):
-            out.update(self.restored(GAP.join(TOKEN.findall(m))))
-        for token in set(TOKEN.findall(lower)):
+        tokens = TOKEN.findall(lower)
+        # Only where four tokens of one character follow each other can letters be set apart.
+        if b"\1\1\1\1" in bytes([len(t) == 1 for t in tokens]) or "_" in lower:
+            for m in APART.findall(lower):
+                out.update(self.restored(GAP.join(TOKEN.findall(m))))
+        for token in set(tokens):
             out.update(self.restored(token))
         return out
 
