@@ -3,8 +3,8 @@
 Each stage takes what its predecessor kept, as a written table, and calls one
 operator of ``tessera.llm`` on all of it:
 
-1. language ID: a model of the labelled documents; documents in no language
-   (null, empty or without a letter) go;
+1. language ID: a model of the labelled documents; documents in no learned language
+   (null, empty, without a letter, or coded no better than letter by letter) go;
 2. exact dedup: of equal texts (A-Z lower-cased) the one with the largest id stays;
 3. near-dedup: of each group of near copies (sets of five-word shingles, similarity
    0.8 or more) the one with the smallest id stays;
@@ -27,7 +27,7 @@ from tessera.llm.queries import RANKS
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return lang_id.identified(docs, lang_id.fit(docs))
+    return lang_id.identified(docs, lang_id.Halves(docs))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

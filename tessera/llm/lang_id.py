@@ -15,9 +15,19 @@ so the code length of each symbol at each node is worked out once, exactly, and
 scoring is a table look-up per byte: the code length of a whole text under each
 language. ``score`` is the posterior of the shortest code under equal priors.
 
+No language. ``identified`` drops a text whose best code is no shorter than the
+shortest order-0 code of any language, from the same statistics: letters follow each other there
+as in no learned language (dumps, random letters, other languages and scripts).
+A text stays all the same where more than half of its words have a shorter code than
+that: a key or a dump inside a short text does not make it foreign.
+A labelled row must not vouch for itself, so ``Halves`` judges it by the model of
+the other half of the rows (copies share a half). Where that half has fewer than
+``HALF_ROWS`` rows of its language, the model of all rows judges it.
+
 Defined results. Null and empty texts, and texts without a letter, are ``und``
 with score 0. Equal code lengths go to the first language in sorted order. With
-no labelled row every text is ``und``. Null labels train nothing. Repeated rows
+no labelled row every text is ``und``, and ``identified`` drops only texts without a
+letter: there is nothing to judge by. Null labels train nothing. Repeated rows
 give repeated results; extra columns are ignored by ``predict`` and kept by
 ``identified``. Texts of any length are read whole, in slices.
 """
@@ -32,12 +42,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import staged
+from tessera.llm.common import ascii_lower, staged
 
 DEPTH = 3                   # symbols of context at most
 MODEL_GRAMS = 1_000_000     # strings kept, as many for each language: the model's bound
 TABLE_BYTES = 16 << 20      # code lengths: nodes x symbols x languages
 SLICE = 1 << 20             # symbols scored at a time
+HALF_ROWS = 20              # rows of a language that a half must have to judge the other
 SYMBOLS = 1 + 26 + 128
 CLASS = bytes(27 + b - 128 if b >= 128 else (b | 32) - 96 if chr(b).isalpha() else 0 for b in range(256))
 LETTER = re.compile(r"[^\W\d_]")
@@ -136,6 +147,10 @@ class Model:
             base += len(keys)
         return out * SYMBOLS
 
+    def order0(self, text: str) -> np.ndarray:
+        """Bits that the whole text takes under each language without any context."""
+        return np.bincount(symbols(text)[DEPTH:], minlength=SYMBOLS) @ self.bits[:SYMBOLS].astype(np.float64)
+
     def lengths(self, text: str, table: np.ndarray) -> np.ndarray:
         """Bits that the whole text takes under each language."""
         s, total = symbols(text), np.zeros(len(self.langs))
@@ -146,6 +161,15 @@ class Model:
                 total += self.bits[at].sum(axis=0, dtype=np.float64)
         return total
 
+    def is_language(self, text: str, table: np.ndarray, bits: np.ndarray) -> bool:
+        """Whether the text, or more than half of its words, code better than letter by
+        letter; ``bits`` are the text's lengths."""
+        if bits.min() < self.order0(text).min():
+            return True
+        words = [w for w in text.split() if LETTER.search(w)]
+        best = bits.argmin()
+        return 2 * sum(self.lengths(w, table)[best] < self.order0(w).min() for w in words) > len(words)
+
 
 def _coded(seen: np.ndarray, shorter: np.ndarray) -> np.ndarray:
     """Probabilities at some contexts: counts there, and escapes to ``shorter``
@@ -161,13 +185,72 @@ def _coded(seen: np.ndarray, shorter: np.ndarray) -> np.ndarray:
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", grams_kept: int = MODEL_GRAMS) -> Model:
     """A model from all rows of ``labelled`` with a language."""
-    counts = staged(count_grams(labelled, text_col, lang_col), "lang-counts")
+    return _model(staged(count_grams(labelled, text_col, lang_col), "lang-counts"), grams_kept)
+
+
+def _model(counts: DataFrame, grams_kept: int) -> Model:
     each = grams_kept // max(1, counts.select("lang").distinct().count())
     most = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     kept = counts.withColumn("_r", F.row_number().over(most)).filter(F.col("_r") <= each).drop("_r")
     return Model(kept.toPandas())
 
 
+class Halves:
+    """The model of all labelled rows, and one of each half of them."""
+
+    def __init__(self, labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", grams_kept: int = MODEL_GRAMS):
+        self.text_col, self.lang_col = text_col, lang_col
+        lang, half = F.col(lang_col), self.half().cast("string")
+        rows = labelled.select(F.concat(half, lang).alias("lang"), F.col(text_col).alias("text"))
+        n = {r["lang"]: r["count"] for r in rows.dropna().groupBy("lang").count().collect()}
+        counts = staged(count_grams(rows, "text", "lang"), "lang-counts")
+        named = counts.select(F.substring("lang", 1, 1).alias("half"), F.expr("substring(lang, 2)").alias("lang"), "gram", "n")
+        everything = named.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+        self.models = [_model(named.filter(F.col("half") == h).drop("half"), grams_kept) for h in "01"]
+        self.models.append(_model(everything, grams_kept))
+        self.known = [[k[1:] for k, rows in n.items() if k[0] == h and rows >= HALF_ROWS] for h in "01"]
+
+    def half(self) -> Column:
+        return F.pmod(F.xxhash64(ascii_lower(F.col(self.text_col))), F.lit(2))
+
+    def judge(self) -> Column:
+        """The number of the model that judges a row."""
+        which = F.lit(2)
+        for other, langs in enumerate(self.known):
+            which = F.when((self.half() == 1 - other) & F.col(self.lang_col).isin(langs), other).otherwise(which)
+        return which
+
+
+def is_language(models: list[Model], spark):
+    """A pandas UDF: text and number of its model to struct(kept, score)."""
+    shared = spark.sparkContext.broadcast(models)
+
+    @F.pandas_udf("kept boolean, score double")
+    def judged(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        tables: dict[int, np.ndarray] = {}
+        for texts, which in batches:
+            rows = []
+            for t, k in zip(texts, which):
+                m = shared.value[k]
+                if not t or not LETTER.search(t):
+                    rows.append((False, 0.0))
+                    continue
+                if not m.langs:
+                    rows.append((True, 1.0))
+                    continue
+                if k not in tables:
+                    tables[k] = m.table()
+                bits = m.lengths(t, tables[k])
+                rows.append((m.is_language(t, tables[k], bits), _posterior(bits)))
+            yield pd.DataFrame(rows, columns=["kept", "score"])
+
+    return judged.asNondeterministic()
+
+
+def _posterior(bits: np.ndarray) -> float:
+    return float(1 / np.exp2(np.maximum(bits.min() - bits, -1000)).sum())
+
+
 def scored(model: Model, spark):
     """A pandas UDF: text to struct(lang, score, bits), bits per byte of the text."""
     shared = spark.sparkContext.broadcast(model)
@@ -184,7 +267,7 @@ def scored(model: Model, spark):
                     continue
                 bits = m.lengths(t, table)
                 best = int(bits.argmin())
-                rows.append((m.langs[best], float(1 / np.exp2(np.maximum(bits[best] - bits, -1000)).sum()),
+                rows.append((m.langs[best], _posterior(bits),
                              float(bits[best]) / (len(t.encode("utf-8", "replace")) or 1)))
             yield pd.DataFrame(rows, columns=["lang", "score", "bits"])
 
@@ -199,10 +282,11 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                       F.col("_g.score").alias("score"), F.col("_g.bits").alias("bits_per_byte"))
 
 
-def identified(docs: DataFrame, model: Model, text_col: str = "text", min_score: float = 0.0) -> DataFrame:
-    """``docs`` without the rows of no language (``und``) or of a lower score."""
-    got = docs.withColumn("_g", scored(model, docs.sparkSession)(F.col(text_col)))
-    return got.filter((F.col("_g.lang") != NOBODY) & (F.col("_g.score") >= min_score)).select(*docs.columns)
+def identified(docs: DataFrame, model: Model | Halves, text_col: str = "text", min_score: float = 0.0) -> DataFrame:
+    """``docs`` without the rows in no language or of a lower score."""
+    models, which = (model.models, model.judge()) if isinstance(model, Halves) else ([model], F.lit(0))
+    got = docs.withColumn("_g", is_language(models, docs.sparkSession)(F.col(text_col), which))
+    return got.filter(F.col("_g.kept") & (F.col("_g.score") >= min_score)).select(*docs.columns)
 
 
 def fold(id_col: str, n: int) -> Column:
