@@ -1,7 +1,7 @@
 """WARC archives written by Spark and read back by a salvage reader (operator 10).
 
 Writing. Each row is one record of a WARC/1.1 file. Records are built by SQL
-functions and written through Spark's text writer (each file one gzip member, or
+functions and written through Spark's text writer (each record one gzip member, or
 plain), so archives go to any store Spark writes to and files of a lost
 executor never appear. Equal
 payloads (equal SHA-1 *and* SHA-256) are written once, as the response of the
@@ -24,6 +24,7 @@ are null, each is a response. A null uri is left out. Extra columns are ignored.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import zlib
@@ -32,6 +33,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from tessera.session import scratch_path
 
@@ -49,6 +51,14 @@ def base32_of_hex(sha1_hex: Column) -> Column:
     return F.translate(F.concat(*pieces), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
+def packed(record: bytes) -> bytes:
+    """The record as a gzip member without its last byte. The text writer must end each
+    row with a byte of its own: it is this one, always 0. It is the highest of the
+    record's length; behind records of 16 MiB or more an empty member ends in a 0."""
+    member = gzip.compress(record, 6, mtime=0)
+    return (member + gzip.compress(b"", mtime=0) if member[-1] else member)[:-1]
+
+
 def write(pages: DataFrame, path: str, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html",
           min_bytes: int = 0, records_per_archive: int = RECORDS, compression: str = "gzip") -> None:
     """Write one record per row to archives below ``path``; payloads of fewer
@@ -78,9 +88,13 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", uri_col: str = "
          .otherwise(F.lit("")),
         field("Content-Length", F.when(revisit, F.lit(0)).otherwise(F.col("n_bytes"))), F.lit(crlf))
     block = F.when(revisit, F.lit("")).otherwise(F.col("payload"))
-    (rows.select(F.concat(head, block, F.lit(crlf)).alias("value")).write
-     .option("lineSep", crlf).option("maxRecordsPerFile", records_per_archive)
-     .option("compression", compression).text(path))
+    value, end = F.concat(head, block, F.lit(crlf)), crlf
+    if compression == "gzip":
+        pack = F.pandas_udf(lambda records: records.map(packed), BinaryType())
+        value, end = pack(F.concat(value, F.lit(crlf)).cast("binary")).cast("string"), "\0"
+    (rows.select(value.alias("value")).write.option("lineSep", end)
+     .option("maxRecordsPerFile", records_per_archive)
+     .option("compression", "none" if compression == "gzip" else compression).text(path))
 
 
 def _log(gaps: list, name: str, at: int, length: int, why: str) -> None:
@@ -92,7 +106,8 @@ def _log(gaps: list, name: str, at: int, length: int, why: str) -> None:
 
 
 def _members(data: bytes, name: str, gaps: list) -> Iterator[tuple[int, bytes, bool]]:
-    """(offset, bytes, whole) of every gzip member; of a damaged one, the bytes before the damage."""
+    """(offset, bytes, whole) of every gzip member; of a damaged one, the bytes of the
+    steps before that in which the damage shows (what that one gives may be wrong already)."""
     at = 0
     while at < len(data):
         if not data.startswith(GZIP, at):

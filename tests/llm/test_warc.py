@@ -1,6 +1,8 @@
 import base64
 import gzip
 import hashlib
+import random
+from pathlib import Path
 
 import pytest
 
@@ -88,3 +90,24 @@ def test_payloads_come_back(spark, frame, tmp_path):
     warc.write(df, str(tmp_path / "w"))
     got = {r.row_id: (r.uri, bytes(r.payload)) for r in warc.read(spark, str(tmp_path / "w")).collect()}
     assert got == {"1": ("u", "héllo\r\n".encode()), "2": ("v", b"")}
+
+
+def test_damage_in_a_written_archive_loses_one_record(spark, frame, tmp_path):
+    rnd = random.Random(2)
+    df = frame([(i, f"u{i}", rnd.randbytes(1000).hex()) for i in range(60)], "page_id long, url string, html string")
+    warc.write(df.coalesce(1), str(tmp_path / "w"))
+    data = [f.read_bytes() for f in Path(tmp_path / "w").glob("part-*")]
+    assert len(b"".join(map(gzip.decompress, data)).split(b"WARC/1.1")) == 61
+    for whole in data:
+        every = ids(warc.salvage(whole, "a")[0])
+        for at in [len(whole) * k // 7 for k in range(1, 7)]:
+            broken = bytearray(whole)
+            broken[at] ^= 0xFF
+            records, gaps = warc.salvage(bytes(broken), "a")
+            assert set(ids(records)) <= set(every) and len(records) >= len(every) - 1 and gaps
+            assert ids(records)[-1] == every[-1]
+
+
+def test_members_end_in_the_writers_byte():
+    for n in (0, 10, 17 << 20):
+        assert gzip.decompress(warc.packed(b"x" * n) + b"\0") == b"x" * n
