@@ -4,7 +4,10 @@ Each page becomes a tree: its block elements, and as leaves the *blocks*, the
 runs of text between block boundaries. Every node is content or not. Elements
 that say what they are (landmark tags, roles, telling class or id words) are
 observed, and so is all within menus, adverts, comments and the like; all other
-nodes are hidden. Node potentials weigh tag, class words, text
+nodes are hidden. Class and id words speak of more than the element itself
+(``has-sidebar``, ``comments-open``): those that name other parts are features only at
+html, body, main and article elements and at all that hold a main or article, save
+inside an article, where HTML has an article within stand for a comment. Node potentials weigh tag, class words, text
 length, links and punctuation; parent-child potentials say how often a child of
 some tag is content under a parent that is or is not. Sum-product messages go up
 and down the tree once, which gives exact marginals. Blocks of marginal 0.5 or
@@ -78,12 +81,15 @@ class Page:
         self.seen: list[int | None] = [HIDDEN]       # observed labels
         self.features: list[list[str]] = [[]]
         self.text: list[str | None] = [None]         # of blocks
+        self._says: list[tuple] = [(HIDDEN, False, False)]      # own label, telling words against it, main or article
         self._parse(source)
+        self._observe()
 
-    def _add(self, tag: str, parent: int, seen, features, text=None) -> int:
+    def _add(self, tag: str, parent: int, features, text=None, says=(HIDDEN, False, False)) -> int:
         self.parent.append(parent)
         self.tag.append("heading" if tag in HEADINGS else tag)
-        self.seen.append(seen)
+        self.seen.append(HIDDEN)
+        self._says.append(says)
         self.features.append(features)
         self.text.append(text)
         return len(self.parent) - 1
@@ -177,19 +183,35 @@ class Page:
                     role = value
                 else:
                     words += WORD.findall(value)
-        inside = any(self.seen[i] == GOOD for _, i in open_)
-        seen = HIDDEN
-        if self.seen[parent] == BAD or hidden or tag in BAD_TAGS or role in BAD_ROLES or not BAD_WORDS.isdisjoint(words) or tag == "header" and not inside:
-            seen = BAD
+        label = HIDDEN
+        if hidden or tag in BAD_TAGS or role in BAD_ROLES:
+            label = BAD
         elif tag in GOOD_TAGS or role == "main" or not GOOD_WORDS.isdisjoint(words):
-            seen = GOOD
-        return self._add(tag, parent, seen, [f"tag {'heading' if tag in HEADINGS else tag}", *(f"word {w}" for w in sorted(set(words)))])
+            label = GOOD
+        return self._add(tag, parent, [f"tag {'heading' if tag in HEADINGS else tag}", *(f"word {w}" for w in sorted(set(words)))],
+                         says=(label, not BAD_WORDS.isdisjoint(words), tag in GOOD_TAGS or role == "main"))
+
+    def _observe(self) -> None:
+        """Observed labels, once it is known what each element holds."""
+        holds = [main and label != BAD for label, _, main in self._says]
+        for i in range(len(holds) - 1, 0, -1):
+            if holds[i] and self._says[self.parent[i]][0] != BAD:
+                holds[self.parent[i]] = True
+        inside, article = [False] * len(holds), [False] * len(holds)     # something good; an article
+        for i in range(1, len(holds)):
+            up, tag, (label, against, _) = self.parent[i], self.tag[i], self._says[i]
+            inside[i] = inside[up] or self.seen[up] == GOOD
+            article[i] = article[up] or self.tag[up] == "article"
+            spared = tag in ("html", "body", "main") or holds[i] and not article[i]
+            if self.seen[up] == BAD or label == BAD or against and not spared or tag == "header" and not inside[i]:
+                self.seen[i] = BAD
+            else:
+                self.seen[i] = label
 
     def _block(self, parent: int, text: str, linked: int) -> None:
         n = len(text)
         size = next(k for k, most in enumerate((15, 40, 120, 400, math.inf)) if n <= most)
-        seen = BAD if self.seen[parent] == BAD else HIDDEN
-        self._add("#text", parent, seen, [f"size {size}", f"links {min(3, 4 * min(linked, n) // (n + 1))}",
+        self._add("#text", parent, [f"size {size}", f"links {min(3, 4 * min(linked, n) // (n + 1))}",
                                             f"stop {text[-1] in '.!?:;…。'}", f"in {self.tag[parent]}"], text)
 
     def labels(self) -> list[int] | None:

@@ -76,3 +76,28 @@ def test_cases(frame, model):
     assert html_tree.main_text(df.filter("false"), model).count() == 0
     assert html_tree.fit(df.filter("false")).pair and html_tree.Model(Counter()).weight == {}
     assert html_tree.main_text(df.withColumn("n_chars", F.lit("x")), model).columns == ["page_id", "text", "n_chars"]
+
+
+@pytest.mark.parametrize("source", [
+    f"<body class='has-sidebar'><article><p>{LONG}</p></article></body>",
+    f"<html class='no-cookies'><body class='single comments-open'><main id='sidebar-left'><p>{LONG}</p></main></body></html>",
+    f"<article class='post comments-open'><p>{LONG}</p></article>",
+    f"<main><div class='no-sidebar'><div id='share'><article><p>{LONG}</p></article></div></div></main>",
+    f"<div class='layout sidebar'><div role='main'><p>{LONG}</p></div></div>",
+    f"<body class='no-sidebar'><p>{LONG}</p><p>{LONG}</p></body>",
+])
+def test_words_at_the_main_part_or_around_it(model, source):
+    want = "\n\n".join([LONG.strip()] * source.count(LONG))
+    assert html_tree.extract(model, source) == want
+    aside = "<div class='sidebar'><p>Other things to see.</p></div><nav class=menu><article>Menu things to see.</article></nav>"
+    assert html_tree.extract(model, source + aside) == want
+
+
+def test_words_inside_an_article_still_tell(model):
+    source = f"<article><p>{LONG}</p><div class=comments><article><p>{LONG}</p></article></div></article>"
+    assert html_tree.extract(model, source) == LONG.strip()
+
+
+def test_pages_with_such_words_train():
+    page = html_tree.Page(f"<body class='has-sidebar'><article><p>{LONG}</p></article><div class='sidebar'>x</div></body>")
+    assert html_tree.GOOD in page.seen and page.labels()
