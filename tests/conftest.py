@@ -6,9 +6,6 @@ import pytest
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
-SF = "/root/testdata/sf0.001"
-SF01 = "/root/testdata/sf0.01"
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -21,9 +18,3 @@ def spark():
 @pytest.fixture()
 def tmpdir_path(tmp_path):
     return str(tmp_path)
-
-
-def write_csv(path, text, encoding="utf-8"):
-    with open(path, "w", encoding=encoding, newline="") as f:
-        f.write(text)
-    return path

@@ -2,7 +2,7 @@
 
 import pytest
 
-from conftest import SF
+from tessera_testing import SF
 from tessera.catalog import Catalog
 from tessera.operators import charts, timeprofile
 from tessera.plans.chart_data import REQUIRED, ChartError, chart_data

@@ -6,7 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF, write_csv
+from tessera_testing import SF, write_csv
 from tessera.catalog import Catalog
 from tessera.model import ColumnSpec, TableSpec
 from tessera.operators import evolution as M

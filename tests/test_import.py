@@ -4,7 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from conftest import write_csv
+from tessera_testing import write_csv
 from tessera.catalog import Catalog
 from tessera.model import ColumnSpec, TableSpec
 from tessera.plans.imports import import_files

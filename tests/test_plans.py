@@ -2,7 +2,7 @@
 
 import pytest
 
-from conftest import SF
+from tessera_testing import SF
 from tessera.queries import registry
 
 FORBIDDEN = ("BroadcastNestedLoopJoin", "CartesianProduct", "BatchEvalPython",

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from conftest import write_csv
+from tessera_testing import write_csv
 from tessera.functions.ranking import POS, SIZE, positions
 from tessera.operators import cleaning as C
 from tessera.operators import evolution as M

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import write_csv
+from tessera_testing import write_csv
 from tessera.model import ColumnSpec, TableSpec
 from tessera.sources.delimited import detect_encodings, read_delimited
 from tessera.sources.schema import SchemaMismatch, english_name, infer_schema, map_headers

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF
+from tessera_testing import SF
 from tessera.catalog import Catalog
 from tessera.operators.timeprofile import rebucket
 from tessera.plans.view import ViewError, compile_view, preview, view_page, view_total
