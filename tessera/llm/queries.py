@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, decontam, exact, html_tree, lang_id, minhash, pii, repeats, toxicity, warc
+from tessera.llm import bpe, decontam, exact, html_tree, lang_id, minhash, piece_bpe, pii, repeats, toxicity, warc
 from tessera.llm.common import table
 
 items: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -137,3 +137,12 @@ FROM d
 """)
 def op10_warc(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+
+
+@register()
+def op12_sentencepiece(spark, sf_dir):
+    return piece_bpe.encode(table(spark, sf_dir, "documents"), PIECES, finish=piece_bpe.digest_rows,
+                            schema="n_tokens long, ids_sha256 string, decoded_sha256 string")
