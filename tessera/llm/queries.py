@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontam, exact, html_tree, lang_id, minhash, piece_bpe, pii, repeats, toxicity, warc
+from tessera.llm import bpe, decontam, exact, hard_negatives, html_tree, lang_id, minhash, piece_bpe, pii, repeats, toxicity, warc
 from tessera.llm.common import table
 
 items: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -146,3 +147,26 @@ PIECES = public_tokenizers.path("piece_bpe_32k.model")
 def op12_sentencepiece(spark, sf_dir):
     return piece_bpe.encode(table(spark, sf_dir, "documents"), PIECES, finish=piece_bpe.digest_rows,
                             schema="n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+@register("""
+WITH e AS (SELECT vec_id, (CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END) AS label,
+                  list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+           FROM embeddings
+           WHERE label IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label = b.label AS alike, b.vec_id AS id,
+             list_dot_product(a.v, b.v)::BIGINT AS score
+      FROM e AS a, e AS b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+pos AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE alike
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+neg AS (SELECT anchor_id, positive_id, id AS negative_id, positive_score, score AS negative_score,
+               row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)::INTEGER AS rank
+        FROM pos JOIN s USING (anchor_id)
+        WHERE NOT alike AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM neg WHERE rank <= 10
+""")
+def op11_hard_negatives(spark, sf_dir):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", label)
+    return hard_negatives.hard_negatives(rows, F.col("id") % 100 == 0)
