@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontam, exact, hard_negatives, html_tree, lang_id, minhash, piece_bpe, pii, repeats, toxicity, warc
+from tessera.llm import bpe, decontam, exact, hard_negatives, html_tree, lang_id, minhash, piece_bpe, pii, prefix_trie, repeats, toxicity, warc
 from tessera.llm.common import table
 
 items: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -170,3 +170,43 @@ def op11_hard_negatives(spark, sf_dir):
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     rows = table(spark, sf_dir, "embeddings").withColumn("label", label)
     return hard_negatives.hard_negatives(rows, F.col("id") % 100 == 0)
+
+
+@register("""
+WITH RECURSIVE own AS (
+    SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+           row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS p
+    FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT conv_id, conv_id::VARCHAR AS s, count(*) AS n FROM own GROUP BY ALL),
+bits AS (SELECT conv_id, s, 0 AS i, 4294967295::BIGINT AS c FROM ids
+    UNION ALL
+    SELECT conv_id, s, i + 1, xor(c0 >> 1, CASE WHEN c0 & 1 = 1 THEN 3988292384::BIGINT ELSE 0::BIGINT END)
+    FROM (SELECT conv_id, s, i, CASE WHEN i % 8 = 0 THEN xor(c, ascii(s[i // 8 + 1])::BIGINT) ELSE c END AS c0
+          FROM bits WHERE i < 8 * length(s))),
+h AS (SELECT conv_id, xor(c, 4294967295::BIGINT) % 6 AS h, conv_id - conv_id % 100 AS base
+      FROM bits WHERE i = 8 * length(s)),
+lent AS (SELECT h.conv_id, h, base, least(h, coalesce(n, 0)) AS k FROM h LEFT JOIN ids ON ids.conv_id = base),
+seq AS (SELECT lent.conv_id, p, role, text FROM lent JOIN own ON own.conv_id = base WHERE p < h
+    UNION ALL SELECT conv_id, p - h + k, role, text FROM own JOIN lent USING (conv_id) WHERE p >= h),
+pre AS (SELECT conv_id, p + 1 AS d, length(text) AS size,
+               string_agg(length(role) || ':' || length(text) || ':' || role || text, '|')
+                   OVER (PARTITION BY conv_id ORDER BY p) AS key
+        FROM seq UNION ALL SELECT conv_id, 0, 0, '' FROM ids),
+m AS (SELECT conv_id, max(d) AS m FROM pre GROUP BY conv_id),
+node AS (SELECT key, any_value(d) AS d, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(size) AS size
+         FROM pre GROUP BY key),
+up AS (SELECT node.key, pre.key AS parent FROM node JOIN pre ON pre.conv_id = node.conv_id AND pre.d = node.d - 1),
+kids AS (SELECT parent AS key, count(*) AS n_children FROM up GROUP BY parent),
+full_node AS (SELECT node.*, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN kids USING (key)),
+totals AS (SELECT pre.key, sum((n_children = 0)::BIGINT)::BIGINT AS n_leaves, sum((n_convs - 1) * f.size)::BIGINT AS saved_tokens
+           FROM full_node AS f JOIN pre ON pre.conv_id = f.conv_id AND pre.d <= f.d GROUP BY pre.key),
+ends AS (SELECT key, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends_sha256
+         FROM pre JOIN m USING (conv_id) WHERE d = m GROUP BY key)
+SELECT f.conv_id, f.d AS depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves, saved_tokens,
+       coalesce(ends_sha256, sha256('')) AS ends_sha256
+FROM full_node AS f JOIN totals USING (key) LEFT JOIN ends USING (key) LEFT JOIN up USING (key)
+     LEFT JOIN node AS p ON p.key = up.parent
+""")
+def op13_prefix_trie(spark, sf_dir):
+    turns = prefix_trie.turns_in_order(table(spark, sf_dir, "conversations"))
+    return prefix_trie.trie(*prefix_trie.with_borrowed_starts(turns))
