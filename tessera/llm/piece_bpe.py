@@ -4,12 +4,14 @@
    one more ``MARK`` put in front where the model says so.
 2. All pairs of neighbours that form a piece of the vocabulary go on an *agenda*
    ordered by score, best first, leftmost first among equals. The best pair
-   merges; the pairs it makes with its new neighbours go on the agenda; entries
-   whose symbols have merged meanwhile are passed over. A symbol that ends up as
+   merges; the pairs it makes with its new neighbours go on the agenda. A short
+   string's agenda is a list by place, a longer one's a heap, whose entries are
+   passed over when their symbols have merged meanwhile. A symbol that ends up as
    no piece is written as its bytes, or as the unknown id.
 3. Merges never cross a place that no piece spans. Where no piece holds ``MARK``
    behind another character, the string is therefore cut in front of every run of
-   ``MARK``, and the ids of strings met before come from a bounded memo of the task.
+   ``MARK``, and the ids of strings met before come from a bounded memo of the task,
+   which forgets those not met for longest.
 4. *Check in Arrow batches.* All strings that went over the agenda in a batch are
    put together and encoded by the sentencepiece library as well; the job stops
    with both results if they differ. Decoding is the library's ``decode``.
@@ -36,9 +38,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-MEMO = 1 << 18       # strings remembered by a task ...
+SHORT = 24           # characters up to which the agenda is a list
+MEMO = 1 << 18       # strings in each of the two halves of a task's memo ...
 MEMO_LENGTH = 64     # ... of so many characters at most
-CHECKED = 1 << 16    # characters that the library encodes in one call of the check
+CHECKED = 1 << 12    # characters that the library encodes in one call of the check
 
 NORMAL, UNKNOWN, UNUSED, BYTE, USER = 1, 2, 5, 6, 4   # fixed values: kinds of pieces in a model file
 BPE = 2                                               # fixed value: kind of model
@@ -81,6 +84,8 @@ def symbols(s: str, order: dict[str, int], parts: dict[str, tuple[str, str]] | N
     """What the characters of ``s`` merge to; ``parts``, if given, takes the two
     halves of every merge."""
     n = len(s)
+    if n <= SHORT:
+        return _symbols_of_short(s, order, parts)
     agenda = [(o, i, i + 2) for i in range(n - 1) if (o := order.get(s[i:i + 2])) is not None]
     heapq.heapify(agenda)
     end, before = list(range(1, n + 1)), list(range(-1, n - 1))     # by where a symbol starts
@@ -108,6 +113,23 @@ def symbols(s: str, order: dict[str, int], parts: dict[str, tuple[str, str]] | N
     return out
 
 
+def _symbols_of_short(s: str, order: dict[str, int], parts: dict[str, tuple[str, str]] | None) -> list[str]:
+    out, none = list(s), len(order)
+    agenda = [order.get(a + b, none) for a, b in zip(s, s[1:])]     # by place; the first least entry is next
+    while agenda and (best := min(agenda)) < none:
+        k = agenda.index(best)
+        left, right = out[k], out.pop(k + 1)
+        out[k] = both = left + right
+        if parts is not None:
+            parts[both] = left, right
+        del agenda[k]
+        if k < len(agenda):
+            agenda[k] = order.get(both + out[k + 1], none)
+        if k:
+            agenda[k - 1] = order.get(out[k - 1] + both, none)
+    return out
+
+
 class Coder:
     """Encoder and decoder of one task."""
 
@@ -119,6 +141,7 @@ class Coder:
         cuttable = not any(re.search(f"[^{MARK}]{MARK}", p) for p in self.order)
         self.cut = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+" if cuttable else "(?s).+").findall
         self.memo: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.fresh: list[str] = []      # strings of this batch that the library has not seen yet
 
     def strings(self, text: str) -> list[str]:
@@ -131,17 +154,22 @@ class Coder:
             return [i]
         return [self.byte_ids[b] for b in symbol.encode()] if self.byte_ids else [self.unknown]
 
-    def of_string(self, s: str) -> tuple[int, ...]:
-        if (ids := self.memo.get(s)) is not None:
-            return ids
+    def _coded(self, s: str) -> tuple[int, ...]:
         parts = {} if self.unused else None
-        ids = tuple(chain.from_iterable([self._ids(p, parts) for p in symbols(s, self.order, parts)]))
-        if self.check:
-            self.fresh.append(s)
+        found = symbols(s, self.order, parts)
+        if not self.unused and None not in (ids := [*map(self.ids.get, found)]):
+            return tuple(ids)
+        return tuple(chain.from_iterable([self._ids(p, parts or {}) for p in found]))
+
+    def of_string(self, s: str) -> tuple[int, ...]:
+        """The ids of a string that the newer half of the memo does not hold."""
+        if (ids := self.older.get(s)) is None:
+            ids = self._coded(s)
+            if self.check:
+                self.fresh.append(s)
         if len(s) <= MEMO_LENGTH:
             if len(self.memo) >= MEMO:
-                self.compare()
-                self.memo.clear()
+                self.older, self.memo = self.memo, {}
             self.memo[s] = ids
         return ids
 
@@ -158,31 +186,25 @@ class Coder:
     def compare(self) -> None:
         """The strings since the last call, put together, against the library."""
         fresh, self.fresh = self.fresh, []
-        while fresh:
-            size, k = 0, 0
-            while k < len(fresh) and (not k or size < CHECKED):
-                size += len(fresh[k])
-                k += 1
-                if not fresh[k - 1].strip(MARK):    # would run into the marks of the next string
+        start = 0
+        while start < len(fresh):
+            size, stop = 0, start
+            while stop < len(fresh) and size < CHECKED:
+                size += len(fresh[stop])
+                stop += 1
+                if not fresh[stop - 1].strip(MARK):     # would run into the marks of the next string
                     break
-            some, fresh = fresh[:k], fresh[k:]
+            some, start = fresh[start:stop], stop
             text = "".join(some)
             if self.lead:       # every string starts with the mark that the library puts in front
                 text = text[len(self.lead):]
             if not text:
                 continue
-            own, ids = self._joined([self.of_known(s) for s in some]), self.library.encode(text)
+            own = self._joined([self.memo.get(s) or self.older.get(s) or self._coded(s) for s in some])
+            ids = self.library.encode(text)
             if own != ids:
                 raise ValueError(f"the sentencepiece library encodes {text[:200]!r} as {ids[:50]}, not {own[:50]}")
 
-    def of_known(self, s: str) -> tuple[int, ...]:
-        ids = self.memo.get(s)
-        if ids is None:
-            check, self.check = self.check, False
-            ids = self.of_string(s)
-            self.check = check
-        return ids
-
     def decode(self, runs: list[list[int]]) -> list[str]:
         return self.library.decode(runs) if runs else []
 

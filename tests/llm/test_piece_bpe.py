@@ -31,11 +31,13 @@ def test_agenda_equals_library():
     coder.compare()
 
 
-def test_agenda_is_score_ordered():
+@pytest.mark.parametrize("short", [0, 24])
+def test_agenda_is_score_ordered(monkeypatch, short):
     """By definition: of all pairs that form a piece, the best score merges, leftmost first."""
+    monkeypatch.setattr(piece_bpe, "SHORT", short)
     rnd = random.Random(3)
     for _ in range(300):
-        s = "".join(rnd.choice("abcde▁") for _ in range(rnd.randrange(1, 14)))
+        s = "".join(rnd.choice("abcdehint▁") for _ in range(rnd.randrange(1, 14)))
         parts = list(s)
         while True:
             found = [(MODEL.order[a + b], k) for k, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in MODEL.order]
@@ -57,7 +59,7 @@ def test_memo_stays_bounded_and_right(monkeypatch):
     monkeypatch.setattr(piece_bpe, "MEMO", 5)
     coder = piece_bpe.Coder(MODEL)
     text = " ".join(f"word{i} of" for i in range(200))
-    assert coder.encode(text) == LIB.encode(text) and len(coder.memo) <= 5
+    assert coder.encode(text) == LIB.encode(text) and len(coder.memo) <= 5 and len(coder.older) <= 5
     coder.compare()
 
 
