@@ -10,8 +10,8 @@
    no piece is written as its bytes, or as the unknown id.
 3. Merges never cross a place that no piece spans. Where no piece holds ``MARK``
    behind another character, the string is therefore cut in front of every run of
-   ``MARK``, and the ids of strings met before come from a bounded memo of the task,
-   which forgets those not met for longest.
+   ``MARK``, and the ids of strings met before come from a bounded memo of the
+   worker, which keeps it for later tasks and forgets those not met for longest.
 4. *Check in Arrow batches.* All strings that went over the agenda in a batch are
    put together and encoded by the sentencepiece library as well; the job stops
    with both results if they differ. Decoding is the library's ``decode``.
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 SHORT = 24           # characters up to which the agenda is a list
-MEMO = 1 << 18       # strings in each of the two halves of a task's memo ...
+MEMO = 1 << 19       # strings in each of the two halves of a worker's memo ...
 MEMO_LENGTH = 64     # ... of so many characters at most
 CHECKED = 1 << 12    # characters that the library encodes in one call of the check
 
@@ -131,7 +131,7 @@ def _symbols_of_short(s: str, order: dict[str, int], parts: dict[str, tuple[str,
 
 
 class Coder:
-    """Encoder and decoder of one task."""
+    """Encoder and decoder of one worker."""
 
     def __init__(self, model: tuple, check: bool = True):
         from sentencepiece import SentencePieceProcessor
@@ -213,12 +213,14 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
            finish=None, schema: str = "ids array<int>", check: bool = True) -> DataFrame:
     """One row per document: ``id_col`` and what ``finish(coder)(runs)`` makes of a
     batch's lists of ids, a list of rows of ``schema``; without ``finish``, the ids."""
-    model = docs.sparkSession.sparkContext.broadcast(tuple(load(model_path)))
+    model = docs.sparkSession.sparkContext.broadcast({"model": tuple(load(model_path))})
     names = [c.split()[0] for c in schema.split(",")]
     key_type = docs.schema[id_col].dataType.simpleString()
 
     def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = Coder(model.value, check)
+        held = model.value              # a worker keeps it, and the coder with it, for later tasks
+        coder = held["coder"] = held.get("coder") or Coder(held["model"], check)
+        coder.fresh.clear()
         done = finish(coder) if finish else (lambda runs: [(np.asarray(r, np.int32),) for r in runs])
         for b in batches:
             runs = [coder.encode(t) for t in b["text"]]
