@@ -220,7 +220,6 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = model.value              # a worker keeps it, and the coder with it, for later tasks
         coder = held["coder"] = held.get("coder") or Coder(held["model"], check)
-        coder.fresh.clear()
         done = finish(coder) if finish else (lambda runs: [(np.asarray(r, np.int32),) for r in runs])
         for b in batches:
             runs = [coder.encode(t) for t in b["text"]]
