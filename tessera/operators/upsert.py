@@ -139,22 +139,25 @@ def has_changes(update_cols: list[str], types: dict, src="s", tgt="t") -> Column
     return reduce(lambda a, b: a | b, diffs)
 
 
-def classify(src: DataFrame, tgt: DataFrame, key: list[str]) -> DataFrame:
+def classify(src: DataFrame, tgt: DataFrame, key: list[str], carry: str | None = None) -> DataFrame:
     """``_action`` = insert (no stored row), update (stored row differs
     in a file column) or skip (identical). One join on the key with the target
     cut to the key and the compared columns; how to join is left to adaptive
-    execution, which knows the bytes of both sides."""
+    execution, which knows the bytes of both sides. ``carry`` names one more
+    column of the target to return, such as the file that holds the row."""
     update_cols = [c for c in src.columns
                    if c not in key and not is_bookkeeping(c) and c in tgt.columns
                    and c != IMPORTED_AT]
     types = {f.name: f.dataType for f in tgt.schema.fields}
-    t = tgt.select(*[q(k) for k in key], *[q(c) for c in update_cols], F.lit(True).alias("__hit")).alias("t")
+    t = tgt.select(*[q(k) for k in key], *[q(c) for c in update_cols], F.lit(True).alias("__hit"),
+                   *([q(carry)] if carry else [])).alias("t")
     s = src.alias("s")
     cond = reduce(lambda a, b: a & b, [F.col(f"s.`{k}`") == F.col(f"t.`{k}`") for k in key])
     action = (F.when(F.col("t.__hit").isNull(), F.lit("insert"))
                .when(has_changes(update_cols, types), F.lit("update"))
                .otherwise(F.lit("skip")))
-    return s.join(t, cond, "left").select(*[F.col(f"s.`{c}`") for c in src.columns], action.alias(ACTION))
+    return s.join(t, cond, "left").select(*[F.col(f"s.`{c}`") for c in src.columns], action.alias(ACTION),
+                                        *([F.col(f"t.`{carry}`")] if carry else []))
 
 
 def merge(classified: DataFrame, tgt: DataFrame, key: list[str], spec: TableSpec | None = None,

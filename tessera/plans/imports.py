@@ -4,12 +4,14 @@ cleaning -> coercion/rejects -> classify -> merge -> counters.
 The classified frame is read twice (counters and the write), so it is cut
 from its lineage once with a reliable checkpoint in the cluster's shared
 checkpoint folder; a lost executor then re-reads files instead of re-running
-the whole import. The new table version is written to a fresh folder and the
-catalog switched to it (Spark cannot overwrite a folder it is reading).
+the whole import. A stored table (``versions.py``) gets a version that rewrites
+only the files holding an updated row; of any other table a whole new version is
+written to a fresh folder and the catalog switched to it.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -22,6 +24,7 @@ from ..operators import upsert as U
 from ..session import cut_lineage, scratch_path
 from ..sources.delimited import RawFrame, read_delimited
 from ..sources.schema import map_headers
+from ..versions import FILE, JobLog, VersionedTable
 
 
 @dataclass
@@ -62,11 +65,18 @@ def import_raw(catalog: Catalog, table: str, raw: RawFrame, spec: TableSpec | No
 
 def import_frame(catalog: Catalog, table: str, df: DataFrame, spec: TableSpec,
                  report: C.CleaningReport | None = None, total: int | None = None,
-                 write: bool = True, compat_dates: bool = False) -> ImportOutcome:
+                 write: bool = True, compat_dates: bool = False, batch: tuple[str, int] | None = None,
+                 log: JobLog | None = None, run: str | None = None, source_id: str | None = None
+                 ) -> ImportOutcome | None:
     """Import an all-text frame whose columns are already table column names
-    (plus ``_ordinal``)."""
+    (plus ``_ordinal``). ``batch`` (stream, number) is stored with the version; one
+    that is stored already is not imported again (None). With ``log`` the job is
+    recorded under ``run``."""
     spark = df.sparkSession
     key = spec.key()
+    stored = catalog.versioned(table)
+    if stored is not None and stored.refresh().holds(batch):
+        return None
     if C.ORDINAL not in df.columns:
         df = df.withColumn(C.ORDINAL, F.monotonically_increasing_id())
     report = report or C.CleaningReport()
@@ -98,7 +108,11 @@ def import_frame(catalog: Catalog, table: str, df: DataFrame, spec: TableSpec,
     if key:
         # keys can collide only after coercion ('1' and '1.0'): last wins again
         good = C.dedup_by_key(good.drop(U.REJECT), key)
-        classified = U.classify(good, tgt, key)
+        if stored is not None:
+            good = cut_lineage(good)
+            low, high = good.agg(F.min(key[0]), F.max(key[0])).first()
+            tgt = stored.frame(stored.files(low, high), with_file=True)     # no other file can hold a key
+        classified = U.classify(good, tgt, key, FILE if stored is not None else None)
     elif keyless_hash:
         new = U.insert_new(good.drop(U.REJECT), tgt)
         classified = good.drop(U.REJECT).join(
@@ -117,6 +131,13 @@ def import_frame(catalog: Catalog, table: str, df: DataFrame, spec: TableSpec,
     inserted, updated = counts.get("insert", 0), counts.get("update", 0)
     skipped = counts.get("skip", 0) + totals["skipped"] + collapsed_after_coerce
     rejected = totals["rejected"] + n_bad
+    run = run or uuid.uuid4().hex
+    if stored is not None:
+        path = stored.path
+        if write:
+            stored = write_version(stored, classified, key, spec, inserted, updated, batch)
+        return _logged(log, run, table, source_id, stored.version, ImportOutcome(
+            total or 0, inserted, updated, skipped, rejected, report, U.rejects(bad), stored.frame(), path))
     if key:
         new_table = U.merge(classified, tgt, key, spec)
     elif keyless_hash:
@@ -130,5 +151,26 @@ def import_frame(catalog: Catalog, table: str, df: DataFrame, spec: TableSpec,
         new_table.write.parquet(path)
         catalog.register_path(table, path)
         new_table = spark.read.parquet(path)
-    return ImportOutcome(total or 0, inserted, updated, skipped, rejected, report,
-                         U.rejects(bad), new_table, path)
+    return _logged(log, run, table, source_id, None, ImportOutcome(
+        total or 0, inserted, updated, skipped, rejected, report, U.rejects(bad), new_table, path))
+
+
+def write_version(stored: VersionedTable, classified: DataFrame, key: list[str] | None, spec: TableSpec,
+                  inserted: int, updated: int, batch: tuple[str, int] | None = None) -> VersionedTable:
+    """U4, U6, U7 on a stored table: files that hold an updated row are written anew
+    with the new rows, all others stay as they are."""
+    if not inserted and not updated:
+        return stored.commit(batch=batch) if batch else stored
+    if not updated:
+        new = classified.filter(F.col(U.ACTION) == "insert")
+        return stored.commit(U.fill_defaults(new, stored.frame(stored.files().limit(0)), spec), batch=batch)
+    touched = cut_lineage(classified.filter(F.col(U.ACTION) == "update").select(F.col(FILE).alias("file")).distinct())
+    old = stored.frame(stored.files().join(touched, "file", "left_semi"))
+    return stored.commit(U.merge(classified.drop(FILE), old, key, spec), touched, batch)
+
+
+def _logged(log: JobLog | None, run: str, table: str, source_id: str | None, version: int | None,
+            out: ImportOutcome) -> ImportOutcome:
+    if log is not None:
+        log.record(run, table, out.counters(), out.rejects, version, source_id)
+    return out

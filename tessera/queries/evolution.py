@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..model import ColumnSpec, TableSpec
 from ..operators import evolution as M
 from ..plans.saved import ViewStore
+from ..catalog import Catalog
 from ..session import scratch_path
 from .common import R, Registry, catalog, rounded
 from .views import FLAGSHIP
@@ -97,3 +98,21 @@ def v_saved(spark, d):
     store = ViewStore(spark, scratch_path(spark, "views"))
     store.save("monthly revenue", FLAGSHIP, "lineitem x orders by month")
     return rounded(store.run(catalog(spark, d), "monthly revenue"))
+
+
+@reg.add("m_versions", f"""
+SELECT o_orderkey, o_custkey AS customer, {R('o_totalprice')} AS o_totalprice,
+       CASE WHEN o_orderkey % 3 = 0 THEN 'shop' ELSE 'web' END AS channel
+FROM orders""")
+def m_versions(spark, d):
+    """M1-M3 on a stored table without rewriting a file: a third of the rows is stored
+    after the column was added, the rest reads as the default."""
+    cat = Catalog.open(spark, scratch_path(spark, "catalog"))
+    table = cat.create(ORDERS)
+    rows = orders(spark, d).select(*[F.col(c.name).cast(c.spark_type()).alias(c.name) for c in ORDERS.columns])
+    table.commit(rows.filter("o_orderkey % 3 <> 0"))
+    table.add_column(ColumnSpec("o_channel", "String", 10, nullable=False, default="web"))
+    table.commit(rows.filter("o_orderkey % 3 = 0").withColumn("o_channel", F.lit("shop")))
+    table.drop_column("o_orderpriority").rename_column("o_channel", "channel").rename_column("o_custkey", "customer")
+    again = Catalog.open(spark, cat.root).table("orders")
+    return rounded(again.select("o_orderkey", "customer", "o_totalprice", "channel"))

@@ -14,7 +14,12 @@ from pyspark.sql import functions as F
 from ..model import ColumnSpec, TableSpec
 from ..operators import cleaning as C
 from ..operators import upsert as U
-from ..session import cut_lineage
+from ..catalog import Catalog
+from ..plans.imports import import_frame
+from ..plans.saved import import_history
+from ..session import cut_lineage, scratch_path
+from ..sources.schema import create_table
+from ..versions import JobLog
 from .common import R, Registry, catalog, rounded
 
 reg = Registry()
@@ -103,8 +108,6 @@ SELECT (SELECT COUNT(*) FROM s) AS total_rows,
        (SELECT COUNT(*) FROM c WHERE action = 'skip') AS rows_skipped,
        (SELECT COUNT(*) FROM s WHERE o_orderstatus IS NULL) AS rows_rejected""")
 def u_counters(spark, d):
-    from ..catalog import Catalog
-    from ..plans.imports import import_frame
     cat = Catalog(spark)
     cat.register("orders", target(spark, d).withColumn(
         "imported_at", F.lit(None).cast("timestamp_ntz")), SPEC)
@@ -121,6 +124,50 @@ def u_rejects(spark, d):
     return U.rejects(typed_source(spark, d))
 
 
+def stored_orders(spark, d) -> Catalog:
+    """A catalog on a fresh folder that holds the orders before 2000 as a stored table."""
+    cat = Catalog.open(spark, scratch_path(spark, "catalog"))
+    create_table(spark, SPEC, catalog=cat)
+    cat.versioned("orders").commit(target(spark, d).withColumn("imported_at", F.lit(None).cast("timestamp_ntz")))
+    return cat
+
+
+@reg.add("u_merge_files", f"""WITH {SRC_SQL}
+SELECT o_orderkey, {R('o_totalprice')} AS o_totalprice, o_orderstatus FROM t
+WHERE o_orderkey NOT IN (SELECT o_orderkey FROM c WHERE action IN ('insert', 'update'))
+UNION ALL SELECT o_orderkey, {R('o_totalprice')}, o_orderstatus FROM c
+WHERE action IN ('insert', 'update')""")
+def u_merge_files(spark, d):
+    """The import of the scenario into a stored table, read back through its newest version."""
+    cat = stored_orders(spark, d)
+    import_frame(cat, "orders", source_text(spark, d), SPEC)
+    again = Catalog.open(spark, cat.root)
+    return rounded(again.table("orders").select("o_orderkey", "o_totalprice", "o_orderstatus"))
+
+
+@reg.add("s_history", f"""WITH {SRC_SQL}, n AS (
+SELECT (SELECT COUNT(*) FROM s) AS total_rows,
+       (SELECT COUNT(*) FROM c WHERE action = 'insert') AS rows_inserted,
+       (SELECT COUNT(*) FROM c WHERE action = 'update') AS rows_updated,
+       (SELECT COUNT(*) FROM c WHERE action = 'skip') AS rows_skipped,
+       (SELECT COUNT(*) FROM s WHERE o_orderstatus IS NULL) AS rows_rejected)
+SELECT 'first' AS id, 'orders of 1999 on' AS source_name, n.*, rows_rejected AS stored_rejects FROM n
+UNION ALL SELECT 'second', 'orders of 1999 on', total_rows, 0, 0, total_rows - rows_rejected, rows_rejected, rows_rejected
+FROM n""")
+def s_history(spark, d):
+    """Two imports of the same file with a stored job log, as another session reads it."""
+    cat = stored_orders(spark, d)
+    for run in ("first", "second"):
+        import_frame(cat, "orders", source_text(spark, d), SPEC, log=JobLog(spark, f"{cat.root}/log"), run=run, source_id="f1")
+    log = JobLog(spark, f"{cat.root}/log")
+    sources = spark.sql("SELECT 'f1' AS id, 'orders of 1999 on' AS name, 'csv' AS source_type")
+    page, _total = import_history(log.jobs(), sources)
+    rejected = spark.read.option("basePath", f"{cat.root}/log/rejects").parquet(f"{cat.root}/log/rejects/run=*") \
+        .groupBy(F.col("run").alias("id")).agg(F.count(F.lit(1)).alias("stored_rejects"))
+    return page.join(rejected, "id").select("id", "source_name", "total_rows", "rows_inserted", "rows_updated",
+                                            "rows_skipped", "rows_rejected", "stored_rejects")
+
+
 EVENT_SPEC = TableSpec("events", [
     ColumnSpec("event_id", "BigInteger"), ColumnSpec("ts", "DateTime"),
     ColumnSpec("user_id", "BigInteger"), ColumnSpec("event_type", "String", 20),
@@ -157,6 +204,24 @@ def u_insert_new(spark, d):
     return U.insert_new(src, tgt).select("event_id")
 
 
+@reg.add("u_append", f"""
+SELECT event_id, event_type, {R('value')} AS value FROM events WHERE ts < TIMESTAMP '2024-01-20'
+UNION ALL SELECT event_id, event_type, {R('value')} FROM events WHERE ts >= TIMESTAMP '2024-01-15'""")
+def u_append(spark, d):
+    """A keyless table without dedup takes every row of the file, as files of its own."""
+    spec = TableSpec("events", EVENT_SPEC.columns, dedup=False)
+    cat = Catalog.open(spark, scratch_path(spark, "catalog"))
+    create_table(spark, spec, catalog=cat)
+    ev = catalog(spark, d).table("events").select(*[F.col(c.name).cast(c.spark_type()).alias(c.name) for c in spec.columns])
+    at = lambda day: F.lit(day).cast("timestamp_ntz")       # noqa: E731
+    cat.versioned("events").commit(ev.filter(F.col("ts") < at("2024-01-20")).withColumn("imported_at", F.lit(None).cast("timestamp_ntz")))
+    text = ev.filter(F.col("ts") >= at("2024-01-15")).select(
+        *[(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS") if c == "ts" else F.col(c).cast("string")).alias(c) for c in spec.names],
+        F.col("event_id").alias(C.ORDINAL))
+    import_frame(cat, "events", text, spec)
+    return rounded(cat.table("events").select("event_id", "event_type", "value"))
+
+
 @reg.add("u_fk", """
 SELECT l_orderkey, l_linenumber, CASE WHEN o_orderkey IS NULL
   THEN 'foreign key l_orderkey=' || CAST(l_orderkey AS VARCHAR) || ' not present in parent' END AS _reject

@@ -5,8 +5,11 @@ request. This is the Spark way to run the same import continuously: new
 delimited files in a folder are picked up by a file stream and each
 micro-batch goes through the regular import plan (``import_frame``), which
 cleans, classifies and merges it into the target table. The stream's
-checkpoint (in the shared checkpoint folder) records which files are done,
-so a restarted or failed query resumes without importing a file twice.
+checkpoint (in the shared checkpoint folder) records which files are done.
+``foreachBatch`` may deliver a batch again after a failure; a stored table
+(``Catalog.open``) keeps the number of the stream's last batch with each version
+and leaves such a batch out, so that no file is imported twice. Other tables
+have no such memory: there a repeated batch of a keyless table is appended again.
 """
 
 from __future__ import annotations
@@ -43,8 +46,8 @@ def start_folder_import(catalog: Catalog, table: str, folder: str, spec: TableSp
         # ordinal: batch id in the high bits keeps "last row wins" across batches
         df = batch.withColumn(ORDINAL, F.lit(batch_id).cast("long") * F.lit(1 << 40)
                               + F.monotonically_increasing_id())
-        out = import_frame(catalog, table, df, spec)
-        if results is not None:
+        out = import_frame(catalog, table, df, spec, batch=(ckpt, batch_id))
+        if out is not None and results is not None:
             results.append(out.counters())
 
     writer = stream.writeStream.foreachBatch(run_batch).option("checkpointLocation", ckpt)
