@@ -4,7 +4,9 @@ blank-line drop (S5).
 The driver looks at the first ``HEAD_BYTES`` of each file only: they tell its
 encoding and its header record. Everything else is one parse by Spark's CSV
 reader in multi-line mode (quoted cells may hold newlines), every column as
-text, headers skipped by the reader file by file. Files whose headers name the
+text, headers skipped by the reader file by file. Files of more than one input
+split are cut into records by ``split_scan`` first, in as many tasks as they have
+splits, and the same parser reads the records. Files whose headers name the
 same columns in another order are brought to the first file's order; files with
 other columns are refused.
 
@@ -13,8 +15,8 @@ The record is counted and, where it is wider, parsed again as wide as the widest
 row is, so no cell is lost however wide a row.
 
 Each row carries an ingest ordinal: the file's position in the caller's list in
-the high bits, the row's position in its file in the low ones. Multi-line files
-are not split, so it is the same in every attempt of a task and is what "last
+the high bits, the row's position in its file in the low ones. It is the same in
+every attempt of a task and whichever way the file is read, and it is what "last
 row wins" rules order by.
 """
 
@@ -32,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..operators.cleaning import ORDINAL, RAW_CELLS, py_strip
+from .split_scan import records
 
 SOURCE_FILE = "_source_file"
 HEAD_BYTES = 1 << 16
@@ -72,6 +75,7 @@ class _File:
     path: str
     encoding: str
     header: tuple[str, ...]
+    large: bool = False
 
 
 def _first_that_decodes(head: bytes) -> str:
@@ -101,6 +105,14 @@ def _listed(spark: SparkSession, paths: list[str]) -> list[str]:
     return out
 
 
+def _is_large(spark: SparkSession, path: str, split_bytes: int) -> bool:
+    """Is the file more than one split, and of a kind that can be split?"""
+    jvm = spark._jvm
+    p, conf = jvm.org.apache.hadoop.fs.Path(path), spark.sparkContext._jsc.hadoopConfiguration()
+    packed = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(p)
+    return packed is None and p.getFileSystem(conf).getFileStatus(p).getLen() > split_bytes
+
+
 def _head(spark: SparkSession, path: str) -> bytes:
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -124,8 +136,10 @@ def _header_record(head: bytes, encoding: str) -> tuple[str, ...]:
     return tuple(c.replace("\t", "").strip().lstrip("﻿").strip() for c in first)
 
 
-def read_delimited(spark: SparkSession, paths, encoding: str | None = None, header: bool = True) -> RawFrame:
-    """S1 + S3 + S5: read delimited files as text.
+def read_delimited(spark: SparkSession, paths, encoding: str | None = None, header: bool = True,
+                   split_bytes: int | None = None) -> RawFrame:
+    """S1 + S3 + S5: read delimited files as text. Files of more than ``split_bytes``
+    (the session's split size) are read in parallel.
 
     * tabs are removed from every cell, header cells are trimmed and lose
       byte-order marks;
@@ -134,10 +148,12 @@ def read_delimited(spark: SparkSession, paths, encoding: str | None = None, head
     * rows whose cells are all blank are dropped (not counted anywhere).
     """
     files = []
+    if split_bytes is None:
+        split_bytes = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
     for p in _listed(spark, [paths] if isinstance(paths, str) else list(paths)):
         head = _head(spark, p)
         enc = encoding or _first_that_decodes(head)
-        files.append(_File(p, enc, _header_record(head, enc)))
+        files.append(_File(p, enc, _header_record(head, enc), _is_large(spark, p, split_bytes)))
     headers = next((f.header for f in files if f.header), ())
     for f in files:
         if header and f.header and Counter(f.header) != Counter(headers):
@@ -147,8 +163,8 @@ def read_delimited(spark: SparkSession, paths, encoding: str | None = None, head
     groups: dict[tuple, list[tuple[int, str]]] = {}
     for i, f in enumerate(files):
         if f.header:
-            groups.setdefault((f.encoding, f.header if header else headers), []).append((i, f.path))
-    frames = [_scan(spark, group, enc, names, headers, header) for (enc, names), group in groups.items()]
+            groups.setdefault((f.encoding, f.header if header else headers, f.large), []).append((i, f.path))
+    frames = [_scan(spark, group, enc, names, headers, header, large) for (enc, names, large), group in groups.items()]
     if not frames:
         schema = StructType([StructField(f"_c{i}", StringType()) for i in range(width)])
         empty = spark.createDataFrame([], schema).withColumns(
@@ -172,16 +188,35 @@ def _cells_of(record: Column) -> Column:
     return F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1
 
 
-def _scan(spark, group: list[tuple[int, str]], encoding: str, names: tuple, headers: tuple, header: bool) -> DataFrame:
+def _parsed(spark, paths: list[str], charset: str, schema: StructType, header: bool) -> DataFrame:
+    """Files that one task each reads: their cells, path and row."""
+    df = (spark.read.schema(schema).option("multiLine", True).option("header", header).option("enforceSchema", True)
+          .option("encoding", charset).option("escape", '"').option("mode", "PERMISSIVE")
+          .option("columnNameOfCorruptRecord", _RAW).option("columnPruning", False).option("maxColumns", MAX_COLUMNS).csv(paths))
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))      # a file is read by one task, in order
+    return df.select("*", F.col("_metadata.file_path").alias(SOURCE_FILE), row.alias("__row"))
+
+
+def _parsed_in_parts(spark, paths: list[str], charset: str, schema: StructType, header: bool) -> DataFrame:
+    """The same of files that many tasks read."""
+    options = {"multiLine": "true", "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _RAW,
+               "maxColumns": str(MAX_COLUMNS)}
+    kind = ", ".join(f"{f.name} string" for f in schema.fields)
+    rows = records(spark, paths, charset).withColumn("c", F.from_csv("record", kind, options))
+    if header:
+        rows = rows.filter("row > 0")
+    return rows.select(*[F.col(f"c.{f.name}") for f in schema.fields], F.col("path").alias(SOURCE_FILE),
+                       (F.col("row") - int(header)).alias("__row"))
+
+
+def _scan(spark, group: list[tuple[int, str]], encoding: str, names: tuple, headers: tuple, header: bool,
+          large: bool = False) -> DataFrame:
     """Files of one encoding and one header, in the column order of ``headers``."""
     n = len(names)
     schema = StructType([StructField(f"_f{i}", StringType()) for i in range(n)] + [StructField(_RAW, StringType())])
-    df = (spark.read.schema(schema).option("multiLine", True).option("header", header).option("enforceSchema", True)
-          .option("encoding", JAVA_CHARSETS.get(encoding, encoding)).option("escape", '"').option("mode", "PERMISSIVE")
-          .option("columnNameOfCorruptRecord", _RAW).option("columnPruning", False).option("maxColumns", MAX_COLUMNS)
-          .csv([p for _, p in group]))
-    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))      # a file is read by one task, in order
-    df = df.select("*", F.regexp_replace("_metadata.file_path", "^file:/+", "file:/").alias(SOURCE_FILE), row.alias("__row"))
+    read = _parsed_in_parts if large else _parsed
+    df = read(spark, [p for _, p in group], JAVA_CHARSETS.get(encoding, encoding), schema, header)
+    df = df.withColumn(SOURCE_FILE, F.regexp_replace(SOURCE_FILE, "^file:/+", "file:/"))
     uri = spark._jvm.org.apache.hadoop.fs.Path
     order = [(re.sub("^file:/+", "file:/", uri(p).toUri().toString()), i) for i, p in group]
     df = df.join(F.broadcast(spark.createDataFrame(order, f"{SOURCE_FILE} string, __file long")), SOURCE_FILE)  # one row a file
