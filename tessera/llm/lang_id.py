@@ -48,6 +48,7 @@ DEPTH = 3                   # symbols of context at most
 MODEL_GRAMS = 1_000_000     # strings kept, as many for each language: the model's bound
 TABLE_BYTES = 16 << 20      # code lengths: nodes x symbols x languages
 SLICE = 1 << 20             # symbols scored at a time
+HELD = 1 << 22              # strings that a task holds before it counts those of a language
 HALF_ROWS = 20              # rows of a language that a half must have to judge the other
 SYMBOLS = 1 + 26 + 128
 CLASS = bytes(27 + b - 128 if b >= 128 else (b | 32) - 96 if chr(b).isalpha() else 0 for b in range(256))
@@ -85,8 +86,8 @@ def count_grams(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
                 got = grams(symbols(text), DEPTH + 1)
                 held.setdefault(lang, []).append(got)
                 size[lang] = size.get(lang, 0) + len(got)
-                if size[lang] > 1 << 22:
-                    yield flush(lang)
+                if sum(size.values()) > HELD:
+                    yield flush(max(size, key=size.get))
         for lang in list(held):
             yield flush(lang)
 
@@ -221,27 +222,26 @@ class Halves:
         return which
 
 
-def is_language(models: list[Model], spark):
-    """A pandas UDF: text and number of its model to struct(kept, score)."""
-    shared = spark.sparkContext.broadcast(models)
+def is_language(model: Model, spark):
+    """A pandas UDF: text to struct(kept, score)."""
+    shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("kept boolean, score double")
-    def judged(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        tables: dict[int, np.ndarray] = {}
-        for texts, which in batches:
+    def judged(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        m, table = shared.value, None
+        for texts in batches:
             rows = []
-            for t, k in zip(texts, which):
-                m = shared.value[k]
+            for t in texts:
                 if not t or not LETTER.search(t):
                     rows.append((False, 0.0))
                     continue
                 if not m.langs:
                     rows.append((True, 1.0))
                     continue
-                if k not in tables:
-                    tables[k] = m.table()
-                bits = m.lengths(t, tables[k])
-                rows.append((m.is_language(t, tables[k], bits), _posterior(bits)))
+                if table is None:
+                    table = m.table()
+                bits = m.lengths(t, table)
+                rows.append((m.is_language(t, table, bits), _posterior(bits)))
             yield pd.DataFrame(rows, columns=["kept", "score"])
 
     return judged.asNondeterministic()
@@ -284,9 +284,19 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 def identified(docs: DataFrame, model: Model | Halves, text_col: str = "text", min_score: float = 0.0) -> DataFrame:
     """``docs`` without the rows in no language or of a lower score."""
-    models, which = (model.models, model.judge()) if isinstance(model, Halves) else ([model], F.lit(0))
-    got = docs.withColumn("_g", is_language(models, docs.sparkSession)(F.col(text_col), which))
-    return got.filter(F.col("_g.kept") & (F.col("_g.score") >= min_score)).select(*docs.columns)
+    if not isinstance(model, Halves):
+        return _kept(docs, model, text_col, min_score)
+    which, out = model.judge(), None
+    for k, m in enumerate(model.models):        # a task holds the one model of its rows
+        part = _kept(docs.filter(which == k), m, text_col, min_score)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _kept(docs: DataFrame, model: Model, text_col: str, min_score: float) -> DataFrame:
+    verdict = next(n for n in map("_verdict{}".format, range(len(docs.columns) + 1)) if n not in docs.columns)
+    got = docs.withColumn(verdict, is_language(model, docs.sparkSession)(F.col(text_col)))
+    return got.filter(F.col(f"{verdict}.kept") & (F.col(f"{verdict}.score") >= min_score)).select(*docs.columns)
 
 
 def fold(id_col: str, n: int) -> Column:

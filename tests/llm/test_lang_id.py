@@ -134,3 +134,17 @@ def test_few_rows_of_a_language_are_judged_by_all(spark, frame):
     rows = [(i, "the house and the garden of the town", "en") for i in range(50)] + [(99, "talo ja puutarha", "fi")]
     df = frame(rows, "doc_id long, text string, lang string")
     assert lang_id.identified(df, lang_id.Halves(df)).count() == 51
+
+
+def test_caller_columns_keep_their_values(spark, frame):
+    rows = [(i, "the house and the garden of the town", "en", "mine") for i in range(50)]
+    df = frame(rows, "doc_id long, text string, lang string, _verdict0 string")
+    kept = lang_id.identified(df, lang_id.Halves(df))
+    assert kept.columns == df.columns and {r["_verdict0"] for r in kept.collect()} == {"mine"}
+
+
+def test_counts_do_not_depend_on_what_a_task_holds(spark, frame, monkeypatch):
+    df = frame([(f"text number {i} of many", f"l{i % 100}") for i in range(400)], "text string, lang string")
+    want = sorted(map(tuple, lang_id.count_grams(df, "text", "lang").collect()))
+    monkeypatch.setattr(lang_id, "HELD", 50)
+    assert sorted(map(tuple, lang_id.count_grams(df, "text", "lang").collect())) == want and len({w[0] for w in want}) == 100

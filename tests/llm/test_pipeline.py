@@ -83,5 +83,5 @@ def test_stages_take_odd_tables(spark, docs, pairs):
 
 def test_one_query_for_each_operator():
     import __spark_entry__ as entry
-    assert {re.match(r"op(\d+)_", k)[1] for k in items} == {str(n) for n in range(1, 11)}
+    assert {re.match(r"op(\d+)_", k)[1] for k in items} == {str(n) for n in range(1, 14)}
     assert set(items) | {"pipeline"} <= set(entry.queries())
