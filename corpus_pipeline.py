@@ -26,7 +26,17 @@ from tessera.llm.common import staged, table
 from tessera.llm.queries import RANKS
 
 
+TEXTS_PER_BATCH = 1000      # whole texts that go to a Python worker at once
+
+
+def in_small_batches(spark: SparkSession) -> None:
+    """The job's own setting: Spark's default of 10,000 whole texts, held by the JVM and
+    the worker at once, is more memory than the stages need otherwise."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", TEXTS_PER_BATCH)
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    in_small_batches(spark)
     return lang_id.identified(docs, lang_id.Halves(docs))
 
 
@@ -35,10 +45,12 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    in_small_batches(spark)
     return minhash.dedup(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    in_small_batches(spark)
     return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"), length_col="n_chars")
 
 
@@ -48,6 +60,7 @@ def with_ids(codec: bpe.Codec):
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    in_small_batches(spark)
     return bpe.encode(docs, RANKS, public_tokenizers.PATTERN, finish=with_ids,
                       schema="ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
