@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 CHUNK = 1 << 15      # characters
 OVERLAP = 1 << 10
+SENT = 32            # chunks with their boundaries that a task returns at once
 MEMO = 1 << 18       # pre-tokens remembered by a task
 LOOK = 2             # characters that a match reads past its end
 LONG_PIECE = 64      # bytes from which merges go through a heap
@@ -183,7 +184,7 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id"
 
     def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codec = Codec(ranks.value, pattern)
-        for b in batches:
+        for b in (batch[i:i + SENT] for batch in batches for i in range(0, len(batch), SENT)):
             rows = []
             for k, t in zip(b["k"], b["text"]):
                 pieces = codec.pieces(t)
