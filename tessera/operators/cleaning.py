@@ -25,8 +25,9 @@ from ..functions import dates
 
 ORDINAL = "_ordinal"
 RAW_CELLS = "_cells"            # cells that a row's record had in its file
+MORE = "_more"                  # those beyond the header's columns
 # bookkeeping columns that ride along with the data but are never cleaned
-BOOKKEEPING = ("_ordinal", "_source_file", "_cells", "_reject", "_action")
+BOOKKEEPING = ("_ordinal", "_source_file", "_cells", "_more", "_reject", "_action")
 
 # Python's str.strip() whitespace set (Java's \s alone misses
 # U+3000 ideographic space and friends), as a character list for trim and
@@ -387,13 +388,23 @@ def merge_overflow(df: DataFrame, report: CleaningReport, expected: int,
                    columns: list[str] | None = None) -> DataFrame:
     """While there are more than ``expected`` columns, append the last
     to the one before it (comma-joined when non-empty), then drop it. A NULL
-    left side contributes an empty string (the original wrote ``nan``)."""
+    left side contributes an empty string (the original wrote ``nan``). Cells
+    beyond the header's columns (``_more``) count as columns behind the last."""
     cols = list(columns or business_columns(df))
-    rest = [c for c in df.columns if c not in cols]
-    if len(cols) <= expected:
+    rest = [c for c in df.columns if c not in cols and c != MORE]
+    beyond = MORE in df.columns and len(cols) >= expected
+    if len(cols) <= expected and not beyond:
         return df
     touched = F.lit(False)
     exprs = {c: q(c) for c in cols}
+    if beyond:      # up to the last cell that is not blank
+        last = F.array_max(F.transform(MORE, lambda c, i: F.when(py_strip(c) != "", i + 1)))
+        touched = last.isNotNull()
+        kept = F.transform(F.slice(MORE, F.lit(1), F.coalesce(last, F.lit(0))), lambda c: F.coalesce(c, F.lit("")))
+        exprs[cols[-1]] = F.when(touched, F.concat_ws(",", F.coalesce(exprs[cols[-1]], F.lit("")), F.array_join(kept, ","))) \
+            .otherwise(exprs[cols[-1]])
+    elif MORE in df.columns:
+        rest.append(MORE)
     while len(cols) > expected:
         last, prev = cols.pop(), cols[-1]
         has = exprs[last].isNotNull() & (py_strip(exprs[last]) != "")

@@ -59,7 +59,7 @@ def import_raw(catalog: Catalog, table: str, raw: RawFrame, spec: TableSpec | No
     df = report.start(raw.df)
     total = None
     df = C.apply_rules(df, table, report)
-    mapped = map_headers(RawFrame(df, raw.headers, raw.width), spec)
+    mapped = map_headers(RawFrame(df, raw.headers), spec)
     return import_frame(catalog, table, mapped, spec, report=report, total=total, **kw)
 
 

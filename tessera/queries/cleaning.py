@@ -271,9 +271,8 @@ def s_ragged(spark, d):
         F.concat("c_custkey", F.lit(","), "c_name", F.lit(","), blanks, F.lit("LOST"), "c_custkey").alias("c_custkey,c_name")
     ).write.option("header", True).option("sep", ";").csv(path)
     raw = read_delimited(spark, path)
-    extra = [F.col(f"_c{i}") for i in range(2, raw.width)]
-    return raw.df.select(F.col("_c0").alias("k"), (F.col("_cells") - 2).cast("long").alias("n_extra"),
-                         F.coalesce(*reversed(extra)).alias("last"))
+    return raw.df.select(F.col("_c0").alias("k"), F.array_size("_more").cast("long").alias("n_extra"),
+                         F.element_at("_more", -1).alias("last"))
 
 
 @reg.add("s_encodings", """

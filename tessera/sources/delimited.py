@@ -11,8 +11,9 @@ same columns in another order are brought to the first file's order; files with
 other columns are refused.
 
 A row whose number of cells differs from the header's comes with its raw record.
-The record is counted and, where it is wider, parsed again as wide as the widest
-row is, so no cell is lost however wide a row.
+The record is cut into cells there and then: they are counted, and those beyond the
+header's columns ride along as one array, so no cell is lost, however wide a row,
+and the plan is as wide as the header. ``RawFrame.expanded`` makes columns of them.
 
 Each row carries an ingest ordinal: the file's position in the caller's list in
 the high bits, the row's position in its file in the low ones. It is the same in
@@ -28,13 +29,14 @@ import io
 import re
 from collections import Counter
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from ..operators.cleaning import ORDINAL, RAW_CELLS, py_strip
-from .split_scan import records
+from ..operators.cleaning import MORE, ORDINAL, RAW_CELLS, py_strip
+from .split_scan import cells_of, records
 
 SOURCE_FILE = "_source_file"
 HEAD_BYTES = 1 << 16
@@ -53,21 +55,31 @@ _RAW = "__raw"
 @dataclass
 class RawFrame:
     """An all-text frame: ``headers`` are the cleaned file headers, the data
-    columns are ``_c0.._cN`` (positional; a header may repeat), plus
-    ``_source_file``, ``_ordinal`` and ``_cells``, the cells its record had."""
+    columns are ``_c0.._cN`` (positional; a header may repeat), plus ``_more`` (the
+    cells beyond them, if any), ``_source_file``, ``_ordinal`` and ``_cells``, the
+    cells its record had."""
     df: DataFrame
     headers: list[str]
-    width: int
 
     @property
     def data_columns(self) -> list[str]:
-        return [f"_c{i}" for i in range(self.width)]
+        return [c for c in self.df.columns if re.fullmatch(r"_c\d+", c)]
+
+    @cached_property
+    def width(self) -> int:
+        """Cells of the widest row; a job of its own."""
+        return max(len(self.data_columns), self.df.agg(F.max(RAW_CELLS)).first()[0] or 0)
+
+    def expanded(self) -> DataFrame:
+        """The frame with a column for each cell of the widest row."""
+        n = len(self.data_columns)
+        more = [F.get(MORE, F.lit(i - n)).alias(f"_c{i}") for i in range(n, self.width)]
+        return self.df.select(*self.data_columns, *more, SOURCE_FILE, ORDINAL, RAW_CELLS)
 
     def named(self) -> DataFrame:
         """Columns renamed to headers (``_extra_i`` beyond the header)."""
         names = list(self.headers) + [f"_extra_{i}" for i in range(len(self.headers), self.width)]
-        return self.df.select(*[F.col(f"_c{i}").alias(n) for i, n in enumerate(names)],
-                              SOURCE_FILE, ORDINAL)
+        return self.expanded().select(*[F.col(f"_c{i}").alias(n) for i, n in enumerate(names)], SOURCE_FILE, ORDINAL)
 
 
 @dataclass
@@ -143,7 +155,7 @@ def read_delimited(spark: SparkSession, paths, encoding: str | None = None, head
 
     * tabs are removed from every cell, header cells are trimmed and lose
       byte-order marks;
-    * rows wider than the header keep all their cells (``_extra_i``), short
+    * rows wider than the header keep all their cells (``_more``), short
       rows are NULL-padded;
     * rows whose cells are all blank are dropped (not counted anywhere).
     """
@@ -168,24 +180,15 @@ def read_delimited(spark: SparkSession, paths, encoding: str | None = None, head
     if not frames:
         schema = StructType([StructField(f"_c{i}", StringType()) for i in range(width)])
         empty = spark.createDataFrame([], schema).withColumns(
-            {SOURCE_FILE: F.lit(""), ORDINAL: F.lit(0).cast("long"), RAW_CELLS: F.lit(0)})
-        return RawFrame(empty, list(headers) if header else [], width)
+            {SOURCE_FILE: F.lit(""), ORDINAL: F.lit(0).cast("long"), RAW_CELLS: F.lit(0), MORE: F.lit(None).cast("array<string>")})
+        return RawFrame(empty, list(headers) if header else [])
     raw = frames[0]
     for f in frames[1:]:
         raw = raw.unionByName(f)
-    widest = raw.agg(F.max(RAW_CELLS)).first()[0] or 0
-    body = _widened(raw, width, max(width, widest))
-    width = max(width, widest)
     # Drop rows whose cells are all blank
     filled = [F.coalesce(F.length(py_strip(F.col(f"_c{i}"))), F.lit(0)) for i in range(width)]
-    body = body.filter(F.greatest(*filled, F.lit(0)) > 0)
-    return RawFrame(body, list(headers) if header else [], width)
-
-
-def _cells_of(record: Column) -> Column:
-    """Cells of a raw record: separators outside of quotes, and one."""
-    bare = F.regexp_replace(record, r'"(?:[^"]|"")*"', "")
-    return F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1
+    beyond = F.coalesce(F.exists(MORE, lambda c: F.length(py_strip(c)) > 0), F.lit(False))
+    return RawFrame(raw.filter((F.greatest(*filled, F.lit(0), F.lit(0)) > 0) | beyond), list(headers) if header else [])
 
 
 def _parsed(spark, paths: list[str], charset: str, schema: StructType, header: bool) -> DataFrame:
@@ -227,18 +230,9 @@ def _scan(spark, group: list[tuple[int, str]], encoding: str, names: tuple, head
     cells = [F.translate(F.col(f"_f{places[h].pop(0)}"), "\t", "").alias(f"_c{k}") for k, h in enumerate(headers)]
     # Never less than 0; the reader refuses to be asked for raw records alone.
     nothing = (F.length(F.coalesce(F.col("_f0"), F.lit(""))) < 0).cast("int")
-    count = F.when(F.col(_RAW).isNull(), F.lit(n)).otherwise(_cells_of(F.col(_RAW))) + nothing
-    return df.select(*cells, count.alias(RAW_CELLS),
-                     _RAW, SOURCE_FILE, (F.shiftleft("__file", FILE_BITS) + F.col("__row")).alias(ORDINAL))
-
-
-def _widened(raw: DataFrame, n: int, width: int) -> DataFrame:
-    """The cells beyond the header's ``n`` columns, from the raw records."""
-    if width <= n:
-        return raw.drop(_RAW)
-    schema = ", ".join(f"x{i} string" for i in range(width))
-    wide = F.from_csv(F.when(F.col(RAW_CELLS) > n, F.col(_RAW)), schema,
-                      {"escape": '"', "mode": "PERMISSIVE", "maxColumns": str(MAX_COLUMNS)})
-    out = raw.withColumn("__wide", wide)
-    extra = [F.translate(F.col(f"__wide.x{i}"), "\t", "").alias(f"_c{i}") for i in range(n, width)]
-    return out.select(*[f"_c{i}" for i in range(n)], *extra, SOURCE_FILE, ORDINAL, RAW_CELLS)
+    every = F.when(F.col(_RAW).isNotNull(), cells_of(F.col(_RAW)))
+    more = F.when(F.size("__every") > n, F.transform(F.slice("__every", n + 1, F.greatest(F.size("__every") - n, F.lit(1))),
+                                                     lambda c: F.translate(c, "\t", "")))
+    return df.withColumn("__every", every).select(
+        *cells, (F.coalesce(F.array_size("__every"), F.lit(n)) + nothing).alias(RAW_CELLS), more.alias(MORE), SOURCE_FILE,
+        (F.shiftleft("__file", FILE_BITS) + F.col("__row")).alias(ORDINAL))

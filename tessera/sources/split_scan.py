@@ -32,7 +32,8 @@ from ..session import cut_lineage
 
 # Rules for a line: bit 0 is the state after it if it starts outside of quotes, bit 1 if inside.
 ENDS_OUTSIDE, SWAPS, KEEPS, ENDS_INSIDE = 0, 1, 2, 3
-OPEN, CLOSED, TEXT, CELL = 1, 2, 0, 3       # inside quotes, right behind them, in a bare cell, at its start
+OPEN, CLOSED, TEXT, CELL = 1, 2, 0, 3       # inside quotes, right behind them, behind a quote in a bare cell, at its start
+MASK = "\uf8ff"     # stands, with a digit, for a separator inside quotes or for itself
 
 
 @contextmanager
@@ -49,16 +50,43 @@ def any_charset(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(n) if v is None else spark.conf.set(n, v)
 
 
+def _at_quote(state: Column, piece: Column) -> Column:
+    """The state behind a quote, from the one before the text in front of it."""
+    cell_starts = piece.endswith(",") | ((piece == "") & (state == CELL))
+    return (F.when(state == OPEN, CLOSED).when((state == CLOSED) & (piece == ""), OPEN)
+            .when(cell_starts, OPEN).otherwise(TEXT))
+
+
 def inside_after(line: Column, start: int) -> Column:
     """Is the end of ``line`` inside quotes, when it starts in state ``start``?"""
     pieces = F.split(line, '"')
-
-    def at_quote(state: Column, piece: Column) -> Column:
-        cell_starts = piece.endswith(",") | ((piece == "") & (state == CELL))
-        return (F.when(state == OPEN, CLOSED).when((state == CLOSED) & (piece == ""), OPEN)
-                .when(cell_starts, OPEN).otherwise(TEXT))
-
-    return F.aggregate(F.slice(pieces, F.lit(1), F.size(pieces) - 1), F.lit(start), at_quote) == OPEN
+    return F.aggregate(F.slice(pieces, F.lit(1), F.size(pieces) - 1), F.lit(start), _at_quote) == OPEN
+
+
+def cells_of(record: Column) -> Column:
+    """All cells of a record as an array: null where nothing stands, doubled quotes as
+    one. Text between quotes is every second piece as long as no quote is part of a
+    bare cell; only records with such a quote need the state of every piece."""
+    pieces = F.split(record, '"')
+    before = F.slice(pieces, F.lit(1), F.size(pieces) - 1)
+    bare_quotes = F.aggregate(before, F.lit(CELL), lambda s, p: F.when(s == TEXT, TEXT).otherwise(_at_quote(s, p))) == TEXT
+    states = F.aggregate(before, F.lit(str(CELL)), lambda acc, p: F.concat(
+        acc, _at_quote(F.right(acc, F.lit(1)).cast("int"), p).cast("string")))
+    text = lambda p: F.replace(p, F.lit(MASK), F.lit(MASK + "0"))       # noqa: E731
+    masked = lambda p: F.replace(text(p), F.lit(","), F.lit(MASK + "1"))        # noqa: E731
+    alternate = F.transform(pieces, lambda p, i: F.when(i % 2 == 1, masked(p)).otherwise(text(p)))
+    by_state = F.transform(F.arrays_zip(pieces.alias("p"), F.split(states, "").alias("s")),
+                           lambda z: F.when(z["s"] == str(OPEN), masked(z["p"])).otherwise(text(z["p"])))
+    marked = (F.when(~F.contains(record, F.lit('"')), text(record))
+              .otherwise(F.array_join(F.when(bare_quotes, by_state).otherwise(alternate), '"')))
+
+    def value(c: Column) -> Column:
+        inner = F.substring(c, F.lit(2), F.length(c) - 2)
+        quoted = (F.length(c) >= 2) & c.startswith('"') & c.endswith('"') & ~F.contains(F.replace(inner, F.lit('""'), F.lit("")), F.lit('"'))
+        plain = F.when(quoted, F.replace(inner, F.lit('""'), F.lit('"'))).when(c != "", c)
+        return F.replace(F.replace(plain, F.lit(MASK + "1"), F.lit(",")), F.lit(MASK + "0"), F.lit(MASK))
+
+    return F.transform(F.split(marked, ","), value)
 
 
 def rule_of(line: Column) -> Column:

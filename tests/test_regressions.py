@@ -44,7 +44,7 @@ def test_scan_orders_files_as_named(spark, tmp_path):
 def test_wide_row_keeps_every_cell(spark, tmp_path):
     p = write_csv(f"{tmp_path}/w.csv", "a,b\n1,\"2,\"\"x\"\"\",,,,,,,,,,,,,,,,,,,,LOST\n3,4\n")
     raw = read_delimited(spark, p)
-    first, second = raw.df.orderBy("_ordinal").collect()
+    first, second = raw.expanded().orderBy("_ordinal").collect()
     assert raw.width == 22 and first["_c21"] == "LOST" and first["_c1"] == '2,"x"'
     assert (first["_cells"], second["_cells"]) == (22, 2)
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.sources.delimited import read_delimited
-from tessera.sources.split_scan import records, rule_of
+from tessera.sources.split_scan import cells_of, records, rule_of
 
 CELLS = ["a", "", 'x"y', 'say "hi"', "line\nbreak", "a,b", "\n", '"', 'q"\n"', " z", "中文", '5" pipe', '\n\n,"', "\r\n,x"]
 
@@ -75,7 +75,7 @@ def test_same_frame_either_way(spark, tmp_path, small_splits):
     split = read_delimited(spark, paths)
     whole = read_delimited(spark, paths, split_bytes=1 << 30)
     assert split.headers == whole.headers and split.width == whole.width == 6
-    cols = [*split.data_columns, "_source_file", "_ordinal", "_cells"]
+    cols = [*split.data_columns, "_more", "_source_file", "_ordinal", "_cells"]
     one, two = (sorted(map(tuple, f.df.select(*cols).collect()), key=lambda r: r[-2]) for f in (split, whole))
     assert one == two and len(one) > 500
 
@@ -91,3 +91,41 @@ def test_a_record_over_many_ranges_and_one_without_end(spark, tmp_path, small_sp
 def test_charset_settings_are_restored(spark, tmp_path, small_splits):
     records(spark, [written(tmp_path / "g.csv", 5, rows=50, encoding="gbk")], "GBK").count()
     assert spark.conf.get("spark.sql.legacy.codingErrorAction", "false") == "false"
+
+
+def test_cells_equal_the_csv_reader(spark, tmp_path):
+    p = written(tmp_path / "c.csv", 7, rows=400)
+    with open(p, newline="") as f:
+        want = [r for r in csv.reader(f) if r]
+    df = records(spark, [p], "UTF-8").select("row", cells_of(F.col("record")).alias("cells"))
+    got = [[c or "" for c in r.cells] for r in sorted(df.collect(), key=lambda r: r.row)]
+    assert got == want
+
+
+def test_odd_cells(spark):
+    mask = "\uf8ff"
+    cases = [('a,5" x,"b,c"', ["a", '5" x', "b,c"]), (f'{mask},"{mask}1,{mask}"', [mask, f"{mask}1,{mask}"]),
+             ('"x"y,z', ['"x"y', "z"]), (',"",', [None, "", None]), ('5" a,5" b,"1,""2"""', ['5" a', '5" b', '1,"2"']), ("", [None])]
+    df = spark.createDataFrame([(r,) for r, _ in cases], "r string").select("r", cells_of(F.col("r")).alias("c"))
+    assert {r.r: r.c for r in df.collect()} == dict(cases)
+
+
+def test_a_row_of_very_many_cells(spark, tmp_path):
+    p = tmp_path / "wide.csv"
+    p.write_text("a,b\n1,2\n" + ",".join(str(i) for i in range(100_000)) + "\n" + ",".join(f'"q,{i}"' for i in range(50_000)) + "\n,,x\n,,\n3\n")
+    raw = read_delimited(spark, str(p))
+    assert raw.data_columns == ["_c0", "_c1"]
+    rows = raw.df.orderBy("_ordinal").collect()
+    assert [r["_cells"] for r in rows] == [2, 100_000, 50_000, 3, 1] and raw.width == 100_000
+    assert rows[0]["_more"] is None and rows[1]["_more"][-1] == "99999" and rows[2]["_more"][-1] == "q,49999"
+    assert (rows[3]["_c0"], rows[3]["_more"]) == (None, ["x"]) and rows[4]["_more"] is None
+
+
+def test_overflow_merges_cells_beyond_the_header(spark, tmp_path):
+    from tessera.operators import cleaning as C
+    p = tmp_path / "o.csv"
+    p.write_text("a,b\n1,x,y,,z,,\n2,,k\n3,v,,\n4,w\n")
+    raw = read_delimited(spark, str(p))
+    out = C.merge_overflow(raw.df, C.CleaningReport(), 2, raw.data_columns)
+    assert "_more" not in out.columns
+    assert {r["_c0"]: r["_c1"] for r in out.collect()} == {"1": "x,y,,z", "2": ",k", "3": "v", "4": "w"}
