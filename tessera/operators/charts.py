@@ -24,6 +24,7 @@ from pyspark.sql.types import (BooleanType, DataType, NumericType, StringType)
 
 from ..functions import dates
 from ..functions.numeric import text_to_double
+from ..functions.paging import page_of
 from ..functions.ranking import POS, SIZE, positions
 
 # Labels and limits of the original chart code.
@@ -537,7 +538,7 @@ def table_chart(df: DataFrame, cols: list[str] | None = None, sort: str | None =
     if sort:
         keys.append(q(sort).desc_nulls_last() if direction == "desc" else q(sort).asc_nulls_last())
     keys += [q(c).asc_nulls_last() for c in cols]
-    return out.orderBy(*keys).offset((max(1, page) - 1) * TABLE_PAGE_SIZE).limit(TABLE_PAGE_SIZE)
+    return page_of(out, keys, (max(1, page) - 1) * TABLE_PAGE_SIZE, TABLE_PAGE_SIZE)
 
 
 ISO_PREFIX = r"^\d{4}-\d{2}-\d{2}"

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, StringType, TimestampNTZType, TimestampType
 
 from ..functions import dates
+from ..functions.paging import page_of
 from ..model import HIDDEN_COLUMNS
 
 PAGE_MAX = 200
@@ -72,7 +73,7 @@ def browse(df: DataFrame, *, page: int = 1, size: int = 20, sort_col: str | None
         c = F.col(f"`{sort_col}`")
         keys.append(c.desc_nulls_first() if sort_dir == "desc" else c.asc_nulls_last())
     keys += [F.col(f"`{c}`").asc_nulls_last() for c in df.columns]
-    out = df.orderBy(*keys).offset((page - 1) * size).limit(size)
+    out = page_of(df, keys, (page - 1) * size, size)
     if iso_dates:
         out = out.select(*[_iso(f) for f in out.schema.fields])
     return out

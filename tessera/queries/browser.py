@@ -46,3 +46,12 @@ def b_browse_events(spark, d):
     df = catalog(spark, d).table("events")
     return browse(df, page=1, size=40, sort_col="ts", sort_dir="asc", datetime_col="ts",
                   end="2024-01-03", filters=[("event_id", "7", "contains")])
+
+
+@reg.add("b_browse_deep", f"""
+SELECT l_orderkey, l_linenumber, {R('l_quantity')} AS l_quantity, l_returnflag FROM lineitem
+ORDER BY lineitem.l_returnflag DESC NULLS FIRST, l_orderkey, l_linenumber, lineitem.l_quantity LIMIT 5 OFFSET 49995""")
+def b_browse_deep(spark, d):
+    # page 10,000 of 5, behind a sort key of three values
+    df = catalog(spark, d).table("lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
+    return rounded(browse(df, page=10_000, size=5, sort_col="l_returnflag", sort_dir="desc"))

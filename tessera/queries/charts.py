@@ -366,6 +366,13 @@ def g_table(spark, d):
                                  "o_totalprice", "desc", page=3))
 
 
+@reg.add("g_table_deep", f"""
+SELECT o_orderkey, {R('o_totalprice')} AS o_totalprice FROM orders
+ORDER BY o_totalprice ASC NULLS LAST, o_orderkey, o_totalprice LIMIT 20 OFFSET 12000""")
+def g_table_deep(spark, d):
+    return rounded(G.table_chart(catalog(spark, d).table("orders"), ["o_orderkey", "o_totalprice"], "o_totalprice", page=601))
+
+
 @reg.add("g_kinds", """
 SELECT 'key_text' AS "column", CASE WHEN bool_and(TRY_CAST(trim(CAST(o_orderkey AS VARCHAR)) AS DOUBLE) IS NOT NULL)
   THEN 'number' WHEN bool_and(regexp_matches(CAST(o_orderkey AS VARCHAR), '^\\d{4}-\\d{2}-\\d{2}')) THEN 'date'

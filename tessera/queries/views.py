@@ -408,6 +408,17 @@ def v_page(spark, d):
     return rounded(view_page(catalog(spark, d), SORTED, page=3, size=20))
 
 
+@reg.add("v_page_deep", f"""
+SELECT l_orderkey, l_linenumber, {R('l_extendedprice')} AS l_extendedprice FROM lineitem
+ORDER BY lineitem.l_extendedprice DESC NULLS FIRST, l_orderkey, l_linenumber LIMIT 5 OFFSET 49995""")
+def v_page_deep(spark, d):
+    # page 10,000 of 5
+    cfg = {"from_tables": ["lineitem"],
+           "columns": [{"table": "lineitem", "column": c} for c in ("l_orderkey", "l_linenumber", "l_extendedprice")],
+           "order_by": [{"column": "l_extendedprice", "direction": "desc"}]}
+    return rounded(view_page(catalog(spark, d), cfg, page=10_000, size=5))
+
+
 @reg.add("v_total", """
 SELECT LEAST(COUNT(*), 50) AS total FROM orders""")
 def v_total(spark, d):
