@@ -303,8 +303,69 @@ def _box_values(df: DataFrame, value: str, cat: str | None) -> tuple[DataFrame,
     return base, names
 
 
+QUARTILES = (("q1", 0.25), ("median", 0.5), ("q3", 0.75))
+SKETCH = 100_000                                    # accuracy of the sketch that brackets a quartile
+SPREADS = (4 / SKETCH, 4e-4, 4e-3, 4e-2, 0.25)      # shares of the rows on either side of it
+
+
+def _brackets(vals: DataFrame) -> DataFrame:
+    """Per category its size and, per quartile, two values with the quartile between
+    them and as few others as the sketch allows: one pass, nothing sorted."""
+    grid = [round(p + sign * s, 9) for _, p in QUARTILES for s in SPREADS for sign in (-1, 1)]
+    found = vals.groupBy("category").agg(F.count(F.lit(1)).alias("count"),
+                                         F.percentile_approx("value", grid, SKETCH).alias("__grid"))
+
+    def end(quartile: int, upper: int) -> Column:
+        out = F.get("__grid", F.lit(2 * len(SPREADS) * (quartile + 1) - 2 + upper))
+        for k in reversed(range(len(SPREADS) - 1)):     # the smallest spread that holds some rows
+            out = F.when(F.col("count") * SPREADS[k] >= 4, F.get("__grid", F.lit(2 * (len(SPREADS) * quartile + k) + upper))).otherwise(out)
+        return out
+
+    return found.select("category", "count", *[end(k, 0).alias(f"__{n}_low") for k, (n, _) in enumerate(QUARTILES)],
+                        *[end(k, 1).alias(f"__{n}_high") for k, (n, _) in enumerate(QUARTILES)])
+
+
 def _quartiles(vals: DataFrame) -> DataFrame:
-    """Exact linear-interpolation quartiles per category. Equal values are
+    """Exact linear-interpolation quartiles per category by narrowing. A sketch
+    brackets each quartile; a second pass counts the rows below each bracket and the
+    copies of each value inside, the only values that move. Where the counts show
+    that a rank lies outside its bracket, the category's values are ranked in full."""
+    from ..session import cut_lineage
+    bounds = cut_lineage(_brackets(vals))           # one row per kept category (<= 10)
+    near = reduce(lambda a, b: a | b, [F.col("value").between(F.col(f"__{n}_low"), F.col(f"__{n}_high")) for n, _ in QUARTILES])
+    below = [F.count_if(F.col("value") < F.col(f"__{n}_low")).alias(f"__{n}_below") for n, _ in QUARTILES]
+    counted = cut_lineage(vals.join(F.broadcast(bounds), "category")
+                          .groupBy("category", F.when(near, F.col("value")).alias("value"))
+                          .agg(F.count(F.lit(1)).alias("copies"), *below))
+    sizes = counted.groupBy("category").agg(*[F.sum(f"__{n}_below").alias(f"__{n}_below") for n, _ in QUARTILES])
+    ends = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(p).alias("p"), F.col(f"__{n}_low").alias("low"),
+                                        F.col(f"__{n}_high").alias("high"), F.col(f"__{n}_below").alias("below"))
+                               for n, p in QUARTILES])).alias("b")
+    brackets = bounds.join(sizes, "category").select("category", "count", ends).select("category", "count", "b.*")
+    inside = (counted.filter("value IS NOT NULL").select("category", "value", "copies")
+              .join(F.broadcast(brackets), "category").filter(F.col("value").between(F.col("low"), F.col("high"))))
+    first = F.col("below") + F.sum("copies").over(Window.partitionBy("category", "name").orderBy("value")) - F.col("copies")
+    at = (F.col("count") - 1).cast("double") * F.col("p")
+    ranked = inside.withColumn("first", first)
+
+    def value_at(rank: Column) -> Column:
+        return F.max(F.when((F.col("first") <= rank) & (rank < F.col("first") + F.col("copies")), F.col("value")))
+
+    found = (ranked.groupBy("category", "name").agg(F.first("count").alias("count"), value_at(F.floor(at)).alias("low"),
+                                                    value_at(F.ceil(at)).alias("high"), F.first(at - F.floor(at)).alias("part"))
+             .groupBy("category").agg(F.first("count").alias("count"), *[
+                 F.max(F.when(F.col("name") == n, F.col("low") + (F.col("high") - F.col("low")) * F.col("part"))).alias(n)
+                 for n, _ in QUARTILES]))
+    found = cut_lineage(bounds.select("category").join(found, "category", "left"))
+    missed = reduce(lambda a, b: a | b, [F.col(n).isNull() for n, _ in QUARTILES])
+    rest = [r["category"] for r in found.filter(missed).select("category").collect()]
+    if not rest:
+        return found
+    return found.filter(~missed).unionByName(_ranked_quartiles(vals.filter(F.col("category").isin(rest))))
+
+
+def _ranked_quartiles(vals: DataFrame) -> DataFrame:
+    """The same from the positions of all distinct values. Equal values are
     counted first, so ties fold before the shuffle; the distinct ones get the
     positions their copies take, and the few around each quartile are kept."""
     distinct = vals.groupBy("category", "value").agg(F.count(F.lit(1)).alias("copies"))
@@ -313,8 +374,7 @@ def _quartiles(vals: DataFrame) -> DataFrame:
     def holds(at: Column) -> Column:
         return (F.col(POS) <= at) & (at < F.col(POS) + F.col("copies"))
 
-    at = {name: (F.col(SIZE) - 1).cast("double") * F.lit(p)
-          for name, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))}
+    at = {name: (F.col(SIZE) - 1).cast("double") * F.lit(p) for name, p in QUARTILES}
     near = ranked.filter(reduce(lambda a, b: a | b, [holds(f(x)) for x in at.values() for f in (F.floor, F.ceil)]))
     aggs = [F.first(SIZE).alias("count")]
     for name, x in at.items():
