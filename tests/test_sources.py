@@ -6,16 +6,15 @@ from pyspark.sql import functions as F
 from tessera_testing import write_csv
 from tessera.model import ColumnSpec, TableSpec
 from tessera.sources.delimited import detect_encodings, read_delimited
-from tessera.sources.schema import SchemaMismatch, english_name, infer_schema, map_headers
+from tessera.sources.schema import SchemaMismatch, column_names, infer_schema, map_headers
 
 
 def test_ragged_rows_and_blank_lines(spark, tmp_path):
-    p = write_csv(f"{tmp_path}/r.csv", "col1,col2\nval1,val2,val3\nv,w\n,,\n\n")
+    p = write_csv(f"{tmp_path}/r.csv", "river,length\nElbe,1094,Hamburg,\nOder\n , \n\n")
     raw = read_delimited(spark, p)
-    assert raw.headers == ["col1", "col2"] and raw.width >= 3
-    assert raw.df.count() == 2
-    named = raw.named()
-    assert "_extra_2" in named.columns
+    rows = {r["_c0"]: (r["_c1"], r["_more"], r["_cells"]) for r in raw.df.collect()}
+    assert rows == {"Elbe": ("1094", ["Hamburg", None], 4), "Oder": (None, None, 1)}
+    assert raw.named().columns == ["river", "length", "_extra_2", "_extra_3", "_source_file", "_ordinal"]
 
 
 def test_quoted_newlines_tabs_and_bom(spark, tmp_path):
@@ -35,23 +34,20 @@ def test_encoding_detection(spark, tmp_path):
     assert enc["u.csv"] == "utf-8-sig" and enc["g.csv"] == "gbk"
 
 
-def test_infer_schema_fixture(spark, tmp_path):
-    p = write_csv(f"{tmp_path}/i.csv", "订单号,金额,下单日期,备注\nA001,199.50,2026-08-01,首单\n"
-                                     "A002,250.00,2026-08-02,\nA003,99.99,2026-08-03,加急\n")
+def test_infer_types_of_columns(spark, tmp_path):
+    p = write_csv(f"{tmp_path}/i.csv", "车牌,里程,首次登记,颜色\nB-XY 12,80.25,2019/03/31,rot\n"
+                                     "HH-A 7,-3,2020/11/02,\nM-Q 99,1e3,2021/01/15,blau\n")
     raw = read_delimited(spark, p)
-    assert raw.df.count() == 3
     specs = infer_schema(raw.df, raw.headers)
-    assert [s.type for s in specs] == ["String", "Numeric", "Date", "String"]
-    assert [s.name for s in specs] == ["col_1", "col_2", "col_3", "col_4"]
+    assert [(s.name, s.type) for s in specs] == [("col_1", "String"), ("col_2", "Numeric"), ("col_3", "Date"), ("col_4", "String")]
 
 
-def test_infer_schema_labels_ints_empty(spark, tmp_path):
-    p = write_csv(f"{tmp_path}/j.csv", " 名称 ,数量,空列\n甲,1,\n\n乙,2,\n丙,3,\n")
+def test_infer_labels_integers_and_empty_columns(spark, tmp_path):
+    p = write_csv(f"{tmp_path}/j.csv", "  城市 ,nothing,Rank\nKiel,,7\n\nUlm, ,-12\n")
     raw = read_delimited(spark, p)
     specs = infer_schema(raw.df, raw.headers)
-    assert specs[0].label == "名称"
-    assert specs[1].type == "Integer"
-    assert (specs[2].type, specs[2].length) == ("String", 255)
+    assert raw.df.count() == 2 and specs[0].label == "城市"
+    assert (specs[1].type, specs[1].length, specs[2].type, specs[2].name) == ("String", 255, "Integer", "rank")
 
 
 def test_infer_bigint_datetime_text(spark):
@@ -61,12 +57,11 @@ def test_infer_bigint_datetime_text(spark):
     assert [x.type for x in s] == ["BigInteger", "DateTime", "Text"]
 
 
-def test_english_names():
-    used = set()
-    assert english_name("Order Date", 0, used) == "order_date"
-    assert english_name("order", 1, used) == "order_2"
-    assert english_name("金额", 2, used) == "col_3"
-    assert english_name("id", 3, used) == "id_2"
+def test_column_names():
+    headers = ["Order Date", "order", "金额", "id", " Unit__Price ", "order", "order_2", "2nd", "_x", None, "order date", "é"]
+    assert column_names(headers) == ["order_date", "order_2", "col_3", "id_2", "unit_price", "order_3", "order_2_2", "col_8",
+                                     "col_9", "col_10", "order_date_2", "col_12"]
+    assert column_names([]) == []
 
 
 def test_header_gate(spark, tmp_path):
