@@ -160,7 +160,7 @@ def s_history(spark, d):
     for run in ("first", "second"):
         import_frame(cat, "orders", source_text(spark, d), SPEC, log=JobLog(spark, f"{cat.root}/log"), run=run, source_id="f1")
     log = JobLog(spark, f"{cat.root}/log")
-    sources = spark.sql("SELECT 'f1' AS id, 'orders of 1999 on' AS name, 'csv' AS source_type")
+    sources = spark.createDataFrame([("f1", "orders of 1999 on", "csv")], "id string, name string, source_type string")
     page, _total = import_history(log.jobs(), sources)
     rejected = spark.read.option("basePath", f"{cat.root}/log/rejects").parquet(f"{cat.root}/log/rejects/run=*") \
         .groupBy(F.col("run").alias("id")).agg(F.count(F.lit(1)).alias("stored_rejects"))
