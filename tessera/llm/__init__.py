@@ -1,4 +1,4 @@
-"""Operators for preparing training data: ten dealt methods and their queries.
+"""Operators for preparing training data: thirteen dealt methods and their queries.
 
 Nothing else in the library imports this subpackage. Functions that run inside
 Python workers are pickled by value, so a job works from any folder and needs

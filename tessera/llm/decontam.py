@@ -29,7 +29,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import staged
+from tessera.llm.common import prefix, staged
+from tessera.llm.workers import received, sent
 
 MIN_WORDS = 10
 MAX_COVERAGE = 0.5
@@ -203,7 +204,7 @@ HITS = "n_words long, runs array<array<int>>, items array<string>"
 def _scanner(auto, cut: bool):
     @F.pandas_udf(f"clean string, {HITS}")
     def scan(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        a = auto.value
+        a = received(auto)
         for texts, cleans in batches:
             rows = []
             for text, clean in zip(texts, cleans):
@@ -223,20 +224,22 @@ def _scanner(auto, cut: bool):
 
 def _scanned(docs: DataFrame, items: DataFrame, text_col: str, item_col: str, item_text_col: str,
              min_words: int, block_words: int, cut: bool) -> DataFrame:
-    """``docs`` with ``_hits``, a struct of HITS; with ``cut`` also ``_clean``,
-    the text without its runs (looked at again until none is left)."""
-    sc, out = docs.sparkSession.sparkContext, docs.withColumn("_clean", F.col(text_col))
+    """``docs`` with a struct of HITS, its name ``prefix(docs)`` and ``hits``; with
+    ``cut`` also ``clean``, the text without its runs (looked at again until none is left)."""
+    p = prefix(docs)
+    clean, hit, before, new = p + "clean", p + "hits", p + "before", p + "got"
+    sc, out = docs.sparkSession.sparkContext, docs.withColumn(clean, F.col(text_col))
     for k, block in enumerate(_blocks(items, item_col, item_text_col, block_words)):
-        auto = sc.broadcast(Automaton([(r["item"], w) for r in block if (w := words_of(r["text"]))], min_words))
+        auto = sent(sc, Automaton([(r["item"], w) for r in block if (w := words_of(r["text"]))], min_words))
 
         if k:   # written between passes, so that a worker holds one automaton
-            out = staged(out, "decontam").withColumnRenamed("_hits", "_before")
-        got = out.withColumn("_got", _scanner(auto, cut)(F.col(text_col), F.col("_clean")))
-        hits = F.struct(F.col("_got.n_words"), F.col("_got.runs"), F.col("_got.items"))
+            out = staged(out, "decontam").withColumnRenamed(hit, before)
+        got = out.withColumn(new, _scanner(auto, cut)(F.col(text_col), F.col(clean)))
+        hits = F.struct(F.col(f"{new}.n_words"), F.col(f"{new}.runs"), F.col(f"{new}.items"))
         if k:
-            hits = F.struct(F.col("_got.n_words"), F.concat("_before.runs", "_got.runs").alias("runs"),
-                            F.array_union("_before.items", "_got.items").alias("items"))
-        out = got.withColumns({"_hits": hits, "_clean": F.col("_got.clean")}).drop("_got", "_before")
+            hits = F.struct(F.col(f"{new}.n_words"), F.concat(f"{before}.runs", f"{new}.runs").alias("runs"),
+                            F.array_union(f"{before}.items", f"{new}.items").alias("items"))
+        out = got.withColumns({hit: hits, clean: F.col(f"{new}.clean")}).drop(new, before)
     return out
 
 
@@ -273,9 +276,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
     than ``max_coverage`` of the words. Documents without a hit are unchanged;
     of changed ones ``length_col`` takes the new number of characters."""
     got = _scanned(docs, items, text_col, item_col, item_text_col, min_words, block_words, cut=True)
-    got = got.withColumn("_s", _summary("_hits"))
-    kept = got.filter(F.col("_s.n_hit") <= F.col("_hits.n_words") * F.lit(max_coverage))
+    p = prefix(docs)
+    clean, total = p + "clean", p + "summary"
+    got = got.withColumn(total, _summary(p + "hits"))
+    kept = got.filter(F.col(f"{total}.n_hit") <= F.col(f"{p}hits.n_words") * F.lit(max_coverage))
     if length_col:
-        same = F.col("_clean").eqNullSafe(F.col(text_col))
-        kept = kept.withColumn(length_col, F.when(same, F.col(length_col)).otherwise(F.char_length("_clean").cast("long")))
-    return kept.withColumn(text_col, F.col("_clean")).select(*docs.columns)
+        same = F.col(clean).eqNullSafe(F.col(text_col))
+        kept = kept.withColumn(length_col, F.when(same, F.col(length_col)).otherwise(F.char_length(clean).cast("long")))
+    return kept.withColumn(text_col, F.col(clean)).select(*docs.columns)

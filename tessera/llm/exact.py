@@ -29,7 +29,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ascii_lower, staged
+from tessera.llm.common import ascii_lower, prefix, staged
 
 MIN_CHUNK, MAX_CHUNK = 256, 4096
 SALTS = 16
@@ -96,12 +96,13 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     id; of rows that repeat id and text, one."""
     out = exact_duplicates(docs, id_col, text_col)
     # Only rows to drop and repeated rows, one each; partial aggregation folds hot groups.
-    verdict = (out.groupBy(F.col(id_col).alias("_v_id"), F.col("text_sha256").alias("_v_sha"))
-               .agg(F.first("kept").alias("_v_kept"), F.count("*").alias("_v_rows"))
-               .filter("not _v_kept or _v_rows > 1"))
+    p = prefix(docs)
+    verdict = (out.groupBy(F.col(id_col).alias(p + "id"), F.col("text_sha256").alias(p + "sha"))
+               .agg(F.first("kept").alias(p + "kept"), F.count("*").alias(p + "rows"))
+               .filter(f"not {p}kept or {p}rows > 1"))
     sha = F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256)
-    judged = docs.withColumn("_t_sha", sha).join(
-        verdict, F.col(id_col).eqNullSafe(F.col("_v_id")) & (F.col("_t_sha") == F.col("_v_sha")), "left")
-    once = judged.filter("_v_rows is null")
-    repeated = judged.filter("_v_kept").dropDuplicates([id_col, "_t_sha"])
+    judged = docs.withColumn(p + "own", sha).join(
+        verdict, F.col(id_col).eqNullSafe(F.col(p + "id")) & (F.col(p + "own") == F.col(p + "sha")), "left")
+    once = judged.filter(f"{p}rows is null")
+    repeated = judged.filter(p + "kept").dropDuplicates([id_col, p + "own"])
     return once.unionByName(repeated).select(*docs.columns)

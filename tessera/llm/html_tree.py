@@ -40,6 +40,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.workers import received, sent
+
 FEATURES = 20_000
 # What HTML says of its elements, and words that name parts of a page.
 BLOCKS = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset
@@ -331,12 +333,13 @@ def fit(pages: DataFrame, html_col: str = "html") -> Model:
 def main_text(pages: DataFrame, model: Model, id_col: str = "page_id", html_col: str = "html",
               keep: tuple[str, ...] = ()) -> DataFrame:
     """``id_col``, the columns of ``keep``, text and n_chars of every page."""
-    shared = pages.sparkSession.sparkContext.broadcast(model)
+    shared = sent(pages.sparkSession.sparkContext, model)
 
     @F.pandas_udf("string")
     def read(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        m = received(shared)
         for sources in batches:
-            yield pd.Series([extract(shared.value, s) for s in sources], dtype=object)
+            yield pd.Series([extract(m, s) for s in sources], dtype=object)
 
     got = pages.select(id_col, *keep, read.asNondeterministic()(F.col(html_col)).alias("text"))
     return got.withColumn("n_chars", F.char_length("text").cast("long"))

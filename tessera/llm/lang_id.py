@@ -34,7 +34,6 @@ give repeated results; extra columns are ignored by ``predict`` and kept by
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,7 +41,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import ascii_lower, staged
+from tessera.llm.common import ascii_lower, prefix, staged
+from tessera.llm.workers import received, sent
 
 DEPTH = 3                   # symbols of context at most
 MODEL_GRAMS = 1_000_000     # strings kept, as many for each language: the model's bound
@@ -52,10 +52,13 @@ HELD = 1 << 22              # strings that a task holds before it counts those o
 HALF_ROWS = 20              # rows of a language that a half must have to judge the other
 SYMBOLS = 1 + 26 + 128
 CLASS = bytes(27 + b - 128 if b >= 128 else (b | 32) - 96 if chr(b).isalpha() else 0 for b in range(256))
-LETTER = re.compile(r"[^\W\d_]")
 NOBODY = "und"
 
 
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
+
+
 def symbols(text: str) -> np.ndarray:
     """The text as symbols behind ``DEPTH`` separators; runs of separators are one."""
     s = np.frombuffer(b"\0" + text.encode("utf-8", "replace").translate(CLASS) + b"\0", np.uint8)
@@ -167,7 +170,7 @@ class Model:
         letter; ``bits`` are the text's lengths."""
         if bits.min() < self.order0(text).min():
             return True
-        words = [w for w in text.split() if LETTER.search(w)]
+        words = [w for w in text.split() if has_letter(w)]
         best = bits.argmin()
         return 2 * sum(self.lengths(w, table)[best] < self.order0(w).min() for w in words) > len(words)
 
@@ -224,15 +227,15 @@ class Halves:
 
 def is_language(model: Model, spark):
     """A pandas UDF: text to struct(kept, score)."""
-    shared = spark.sparkContext.broadcast(model)
+    shared = sent(spark.sparkContext, model)
 
     @F.pandas_udf("kept boolean, score double")
     def judged(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        m, table = shared.value, None
+        m, table = received(shared), None
         for texts in batches:
             rows = []
             for t in texts:
-                if not t or not LETTER.search(t):
+                if not t or not has_letter(t):
                     rows.append((False, 0.0))
                     continue
                 if not m.langs:
@@ -253,16 +256,16 @@ def _posterior(bits: np.ndarray) -> float:
 
 def scored(model: Model, spark):
     """A pandas UDF: text to struct(lang, score, bits), bits per byte of the text."""
-    shared = spark.sparkContext.broadcast(model)
+    shared = sent(spark.sparkContext, model)
 
     @F.pandas_udf("lang string, score double, bits double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        m = shared.value
+        m = received(shared)
         table = m.table() if m.langs else None
         for texts in batches:
             rows = []
             for t in texts:
-                if not t or table is None or not LETTER.search(t):
+                if not t or table is None or not has_letter(t):
                     rows.append((NOBODY, 0.0, None))
                     continue
                 bits = m.lengths(t, table)
@@ -294,7 +297,7 @@ def identified(docs: DataFrame, model: Model | Halves, text_col: str = "text", m
 
 
 def _kept(docs: DataFrame, model: Model, text_col: str, min_score: float) -> DataFrame:
-    verdict = next(n for n in map("_verdict{}".format, range(len(docs.columns) + 1)) if n not in docs.columns)
+    verdict = prefix(docs) + "verdict"
     got = docs.withColumn(verdict, is_language(model, docs.sparkSession)(F.col(text_col)))
     return got.filter(F.col(f"{verdict}.kept") & (F.col(f"{verdict}.score") >= min_score)).select(*docs.columns)
 

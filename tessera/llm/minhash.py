@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import staged
+from tessera.llm.common import prefix, staged
 from tessera.llm.graph import connected_components
 
 WORDS = 5
@@ -268,11 +268,12 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     with the smallest id; of rows that repeat it, one."""
     out = _judged(docs, id_col, text_col, words, threshold)
     # Only rows to drop and repeated rows, one each; partial aggregation folds hot groups.
-    verdict = (out.groupBy(F.col("id").alias("_v_id"), F.col("text_key").alias("_v_key"))
-               .agg(F.first("kept").alias("_v_kept"), F.count("*").alias("_v_rows"))
-               .filter("not _v_kept or _v_rows > 1"))
-    judged = docs.withColumn("_t_key", F.xxhash64(text_col)).join(
-        verdict, F.col(id_col).eqNullSafe(F.col("_v_id")) & (F.col("_t_key") == F.col("_v_key")), "left")
-    once = judged.filter("_v_rows is null")
-    repeated = judged.filter("_v_kept").dropDuplicates([id_col, text_col])
+    p = prefix(docs)
+    verdict = (out.groupBy(F.col("id").alias(p + "id"), F.col("text_key").alias(p + "key"))
+               .agg(F.first("kept").alias(p + "kept"), F.count("*").alias(p + "rows"))
+               .filter(f"not {p}kept or {p}rows > 1"))
+    judged = docs.withColumn(p + "own", F.xxhash64(text_col)).join(
+        verdict, F.col(id_col).eqNullSafe(F.col(p + "id")) & (F.col(p + "own") == F.col(p + "key")), "left")
+    once = judged.filter(f"{p}rows is null")
+    repeated = judged.filter(p + "kept").dropDuplicates([id_col, text_col])
     return once.unionByName(repeated).select(*docs.columns)

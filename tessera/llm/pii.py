@@ -33,6 +33,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import prefix
+
 ROUNDS = 10
 MEMO = 1 << 17
 FIRST, LAST = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
@@ -261,5 +263,6 @@ def pseudonyms(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: st
 
 def pseudonymised(docs: DataFrame, key: bytes, text_col: str = "text", back: bool = False) -> DataFrame:
     """``docs`` with rewritten texts; with ``back``, with the values they stand for."""
-    return (docs.withColumn("_g", _rewriter(key, back)(F.col(text_col))).withColumn(text_col, F.col("_g.text"))
+    got = prefix(docs) + "got"
+    return (docs.withColumn(got, _rewriter(key, back)(F.col(text_col))).withColumn(text_col, F.col(f"{got}.text"))
             .select(*docs.columns))

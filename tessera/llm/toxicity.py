@@ -37,6 +37,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm import lang_id
 from tessera.llm.common import staged
+from tessera.llm.lang_id import CLASS, DEPTH, SYMBOLS
+from tessera.llm.workers import received, sent
 
 TRAIN_ROWS = 40_000
 LEXICON = 20_000            # telling words and beginnings kept
@@ -54,7 +56,7 @@ APART = re.compile(r"(?<![\w@$!+|€£*])(?:[\w@$!+|€£*][ .\-_·]{1,2}){3,}[\
 EDGES = re.compile(r"^(?:([$@+|*])\1\1+|[!*+|_]+)+|(?:([$@+|*])\2\2+|[!*+|_]+)+$")
 TRIPLE = re.compile(r"([^\W\d_])\1\1")
 RUN = re.compile(r"(.)\1*", re.S)
-MASK = lang_id.SYMBOLS ** (lang_id.DEPTH - 1)
+MASK = SYMBOLS ** (DEPTH - 1)
 
 
 class Restorer:
@@ -68,9 +70,9 @@ class Restorer:
 
     def _spell(self, state: tuple, letters: str, cost: float) -> tuple:
         bits, context, out = state
-        for s in letters.encode("utf-8", "replace").translate(lang_id.CLASS):
+        for s in letters.encode("utf-8", "replace").translate(CLASS):
             bits += float(self.bits[self.table[context] + s])
-            context = context % MASK * lang_id.SYMBOLS + s
+            context = context % MASK * SYMBOLS + s
         return bits + cost, context, out + letters
 
     @staticmethod
@@ -219,12 +221,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     spark = docs.sparkSession
     counts = lang_id.count_grams(docs.select(F.col(text_col).alias("text"), F.lit("all").alias("lang")), "text", "lang")
     model = lang_id.Model(counts.orderBy(F.desc("n"), "gram").limit(lang_id.MODEL_GRAMS).toPandas())
-    shared = spark.sparkContext.broadcast(model)
+    shared = sent(spark.sparkContext, model)
     chosen = F.broadcast(sampled(labels, id_col, label_col, train_rows))     # at most train_rows short rows
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        restorer = Restorer(shared.value)
+        restorer = Restorer(received(shared))
         for b in batches:
             yield pd.DataFrame({"label": b["label"], "words": [sorted(restorer.words(t)) for t in b["text"]]})
 
@@ -240,12 +242,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     clean = (train.filter("label = 0").mapInPandas(_counter(asked), "feature string, n long").groupBy("feature")
              .agg(F.sum("n").alias("c0")).toPandas())
     lexicon = weighed(toxic.merge(clean, "left", "feature").fillna({"c0": 0}), n.get(0, 0), n.get(1, 0))
-    known = spark.sparkContext.broadcast(lexicon)
+    known = sent(spark.sparkContext, lexicon)
 
     def strongest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        memo: dict[str, float] = {}
+        words, memo = received(known), {}
         for b in batches:
-            yield pd.DataFrame({"label": b["label"] - 2, "x": [known.value.strongest(w, memo) for w in b["words"]]})
+            yield pd.DataFrame({"label": b["label"] - 2, "x": [words.strongest(w, memo) for w in b["words"]]})
 
     rows = train.filter("label >= 2").mapInPandas(strongest, "label int, x array<double>").toPandas()
     total = sum(n.values())
@@ -259,11 +261,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def scored(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str = "text",
            threshold: float = 0.3) -> DataFrame:
     """``id_col``, score, predicted and the number of telling words, of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(scorer)
+    shared = sent(docs.sparkSession.sparkContext, scorer)
 
     @F.pandas_udf("score double, n_words int")
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        s = shared.value
+        s = received(shared)
         restorer, memo = Restorer(s.model), {}
         for texts in batches:
             x = np.array([s.lexicon.strongest(restorer.words(t), memo) for t in texts], float).reshape(-1, STRONGEST)
@@ -280,11 +282,11 @@ def scored(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: st
 
 def restore_words(docs: DataFrame, model: lang_id.Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col`` and the distinct words of the restored text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = sent(docs.sparkSession.sparkContext, model)
 
     @F.pandas_udf("array<string>")
     def words(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        restorer = Restorer(shared.value)
+        restorer = Restorer(received(shared))
         for texts in batches:
             yield pd.Series([sorted(restorer.words(t)) for t in texts])
 
