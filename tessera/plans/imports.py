@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..catalog import Catalog
 from ..model import TableSpec
 from ..operators import cleaning as C
+from ..operators import table_rules  # noqa: F401  (registers its rules)
 from ..operators import upsert as U
 from ..session import cut_lineage, scratch_path
 from ..sources.delimited import RawFrame, read_delimited

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from ..model import ColumnSpec, TableSpec
 from ..operators import cleaning as C
 from ..operators import upsert as U
+from ..operators.table_rules import EXPORTS
 from ..sources.delimited import read_delimited
-from ..sources.schema import infer_schema, table_overview
+from ..sources.schema import infer_schema, map_headers, table_overview
 from ..session import scratch_path
 from .common import Registry, catalog
 
@@ -340,3 +341,51 @@ def c_malformed_cells(spark, d):
     ).write.option("header", True).option("sep", ";").csv(path)
     raw = read_delimited(spark, path)
     return C.drop_malformed(raw.df, C.CleaningReport(), r"^RB\d+$", columns=raw.data_columns).select(F.col("_c0").alias("k"))
+
+
+_MORE_REMARK = "CASE WHEN o_orderstatus = 'F' THEN ',left,over' ELSE '' END"
+
+
+@reg.add("c_rules", f"""
+SELECT 'refund_orders' AS "table", 'RB' || o_orderkey AS k, o_orderpriority || {_MORE_REMARK} AS remark FROM orders
+WHERE o_orderpriority NOT IN ('4-NOT SPECIFIED', '5-LOW')
+UNION ALL SELECT 'service_refund_work_orders', 'GD' || o_orderkey, o_orderpriority || {_MORE_REMARK} FROM orders
+WHERE o_orderpriority NOT IN ('4-NOT SPECIFIED', '5-LOW')
+UNION ALL SELECT 'wallet_withdrawals', CASE WHEN o_orderpriority = '5-LOW' THEN 'WX' ELSE 'W' END || o_orderkey,
+  CASE WHEN o_orderpriority <> '4-NOT SPECIFIED' THEN o_orderpriority || {_MORE_REMARK} END FROM orders""")
+def c_rules(spark, d):
+    """Exports of three tables, with rows that end early, rows whose number is
+    none and remarks that hold commas or end in one, through each table's own rules."""
+    out = None
+    status, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
+    for name, (cells, prefixes) in EXPORTS.items():
+        number = F.concat(F.when(priority == "5-LOW", F.lit("WX")).otherwise(F.lit((*prefixes, "W")[0])), "o_orderkey")
+        beyond = F.when(status == "F", F.lit(",left,over")).when(status == "O", F.lit(", ")).otherwise(F.lit(""))
+        rest = F.when(priority == "4-NOT SPECIFIED", F.lit(",x")).otherwise(
+            F.concat(F.repeat(F.lit(",x"), F.lit(cells - 2)), F.lit(","), priority, beyond))
+        path = scratch_path(spark, name)
+        catalog(spark, d).table("orders").select(F.concat(number, rest).alias(",".join(f"h{i}" for i in range(cells)))) \
+            .write.option("header", True).option("sep", ";").csv(path)
+        raw = read_delimited(spark, path)
+        got = C.apply_rules(raw.df, name, C.CleaningReport())
+        part = got.select(F.lit(name).alias("table"), F.col("_c0").alias("k"), F.col(f"_c{cells - 1}").alias("remark"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+LABELLED = TableSpec("customer_copy", [
+    ColumnSpec("c_custkey", "BigInteger", primary_key=True, nullable=False, label="Number"),
+    ColumnSpec("c_name", "String", 40, label="Name"), ColumnSpec("c_alias", "String", 40, label="Name"),
+    ColumnSpec("c_mktsegment", "String", 20, nullable=False), ColumnSpec("c_note", "String", 20, label="Note")])
+
+
+@reg.add("s_headers", """
+SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, 'alias ' || c_custkey AS c_alias, c_mktsegment FROM customer""")
+def s_headers(spark, d):
+    """Headers found by label, two equal labels by position, one by column name, in
+    another order than the table's; a column that may be null is not in the file."""
+    path = scratch_path(spark, "labelled")
+    catalog(spark, d).table("customer").select(
+        F.concat_ws(",", "c_mktsegment", "c_name", "c_custkey", F.concat(F.lit("alias "), "c_custkey"))
+        .alias("c_mktsegment,Name,Number,Name")).write.option("header", True).option("sep", ";").csv(path)
+    return map_headers(read_delimited(spark, path), LABELLED).select("c_custkey", "c_name", "c_alias", "c_mktsegment")

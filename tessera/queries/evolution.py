@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..model import ColumnSpec, TableSpec
 from ..operators import evolution as M
 from ..plans.saved import ViewStore
+from ..sources.schema import table_overview
 from ..catalog import Catalog
 from ..session import scratch_path
 from .common import R, Registry, catalog, rounded
@@ -116,3 +117,43 @@ def m_versions(spark, d):
     table.drop_column("o_orderpriority").rename_column("o_channel", "channel").rename_column("o_custkey", "customer")
     again = Catalog.open(spark, cat.root).table("orders")
     return rounded(again.select("o_orderkey", "customer", "o_totalprice", "channel"))
+
+
+@reg.add("m_dependencies", """
+SELECT 'view' AS kind, 'by ' || c_name AS name FROM customer WHERE c_mktsegment <> 'MACHINERY' AND c_nationkey % 3 <> 0
+UNION ALL SELECT 'chart', 'chart of ' || c_name FROM customer WHERE c_mktsegment <> 'MACHINERY' AND c_nationkey % 3 <> 0""")
+def m_dependencies(spark, d):
+    """M8: a view for each customer, of ``orders`` or of a table whose name only begins
+    so, as config or as SQL text; a chart on each view. Asked for one column."""
+    c = catalog(spark, d).table("customer")
+    source = F.when(F.col("c_mktsegment") == "MACHINERY", F.lit("orders_old")).otherwise(F.lit("orders"))
+    column = F.when(F.col("c_nationkey") % 3 == 0, F.lit("o_total")).otherwise(F.lit("o_totalprice"))
+    config = F.to_json(F.struct(F.array(source).alias("from_tables"), F.array(F.struct(column.alias("column"))).alias("columns")))
+    text = F.concat(F.lit("SELECT SUM("), column, F.lit(") FROM "), source)
+    written = F.col("c_nationkey") % 2 == 0
+    views = c.select(F.concat(F.lit("by "), "c_name").alias("name"), F.when(~written, config).alias("config_json"),
+                     F.when(written, text).alias("sql"))
+    charts = c.select(F.concat(F.lit("chart of "), "c_name").alias("chart"), F.concat(F.lit("by "), "c_name").alias("view_name"))
+    found = M.dependent_visualizations(views, charts, "orders", "o_totalprice")
+    return M.dependencies(views, "orders", "o_totalprice").select(F.lit("view").alias("kind"), "name").unionByName(
+        found.select(F.lit("chart").alias("kind"), F.col("chart").alias("name")))
+
+
+@reg.add("m_drop_table", """
+SELECT 'customer' AS "table", COUNT(*) AS row_count, 2 AS column_count FROM customer""")
+def m_drop_table(spark, d):
+    """M7: of two stored tables the one that is pointed at stays, the other goes; read by
+    a catalog opened anew."""
+    cat = Catalog.open(spark, scratch_path(spark, "catalog"))
+    people = TableSpec("customer", [ColumnSpec("c_custkey", "BigInteger", primary_key=True, nullable=False),
+                                    ColumnSpec("c_name", "String", 40)])
+    bought = TableSpec("orders", [ColumnSpec("o_orderkey", "BigInteger", primary_key=True, nullable=False),
+                                  ColumnSpec("o_custkey", "BigInteger", fk=("customer", "c_custkey"))])
+    for spec in (people, bought):
+        rows = catalog(spark, d).table(spec.name)
+        cat.create(spec).commit(rows.select(*[F.col(c.name).cast(c.spark_type()).alias(c.name) for c in spec.columns]))
+    try:
+        M.drop_table(cat, "customer")
+    except M.EvolutionError:
+        M.drop_table(cat, "orders")
+    return table_overview(Catalog.open(spark, cat.root))

@@ -1,8 +1,9 @@
 """Delimited file scan (S1), encoding detection (S2), ragged rows (S3) and
 blank-line drop (S5).
 
-The driver looks at the first ``HEAD_BYTES`` of each file only: they tell its
-encoding and its header record. Everything else is one parse by Spark's CSV
+The driver looks at the head of each file only, at many files at once: its first
+``HEAD_BYTES`` tell its encoding, and it is read on to where the header record ends
+(one of more than ``MAX_HEADER`` bytes is refused). Everything else is one parse by Spark's CSV
 reader in multi-line mode (quoted cells may hold newlines), every column as
 text, headers skipped by the reader file by file. Files of more than one input
 split are cut into records by ``split_scan`` first, in as many tasks as they have
@@ -30,6 +31,7 @@ import re
 from collections import Counter
 from dataclasses import dataclass
 from functools import cached_property
+from multiprocessing.pool import ThreadPool
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +42,8 @@ from .split_scan import cells_of, records
 
 SOURCE_FILE = "_source_file"
 HEAD_BYTES = 1 << 16
+MAX_HEADER = 1 << 24
+HEADS_AT_ONCE = 32                  # files that the driver looks at together
 FILE_BITS = 40                      # ordinal = file << FILE_BITS | row
 MAX_COLUMNS = 1 << 20
 
@@ -49,6 +53,7 @@ SAMPLE_CHARS = 4096
 # Python codec name -> Java charset name for Spark's reader
 JAVA_CHARSETS = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "gbk": "GBK", "gb2312": "GB2312",
                  "gb18030": "GB18030", "latin-1": "ISO-8859-1"}
+BUILT_IN = {"UTF-8", "ISO-8859-1", "US-ASCII", "UTF-16", "UTF-16BE", "UTF-16LE", "UTF-32"}     # what Spark's reader takes
 _RAW = "__raw"
 
 
@@ -125,27 +130,63 @@ def _is_large(spark: SparkSession, path: str, split_bytes: int) -> bool:
     return packed is None and p.getFileSystem(conf).getFileStatus(p).getLen() > split_bytes
 
 
-def _head(spark: SparkSession, path: str) -> bytes:
+def _head(spark: SparkSession, path: str, enough=lambda head: True) -> bytes:
+    """The start of a file: ``HEAD_BYTES``, doubled until there is ``enough`` or no more."""
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     stream = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(p)
+    head, want = b"", HEAD_BYTES
     try:
-        bounded = jvm.org.apache.commons.io.input.BoundedInputStream(stream, HEAD_BYTES)
-        return bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(bounded))
+        while True:
+            part = jvm.org.apache.commons.io.input.BoundedInputStream(stream, want - len(head))
+            head += bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(part))
+            if len(head) < want or enough(head):
+                return head
+            if want >= MAX_HEADER:
+                raise ValueError(f"{path}: the header record does not end within {MAX_HEADER} bytes")
+            want *= 2
     finally:
         stream.close()
 
 
+def _of_each(look, paths: list[str]) -> list:
+    """``look`` at all files, ``HEADS_AT_ONCE`` at a time; in the order of the paths."""
+    if not paths:
+        return []
+    with ThreadPool(min(HEADS_AT_ONCE, len(paths))) as pool:
+        return pool.map(look, paths, chunksize=1)
+
+
 def detect_encodings(spark: SparkSession, paths: list[str]) -> dict[str, str]:
     """Per file the first encoding of ``ENCODINGS`` that decodes its first
     characters. Reads file heads only."""
-    return {p: _first_that_decodes(_head(spark, p)) for p in _listed(spark, paths)}
+    found = _listed(spark, paths)
+    return dict(zip(found, _of_each(lambda p: _first_that_decodes(_head(spark, p)), found)))
 
 
-def _header_record(head: bytes, encoding: str) -> tuple[str, ...]:
+def _first_record(head: bytes, encoding: str) -> tuple[list[str], bool]:
+    """The first record that has cells, and whether anything in ``head`` follows it."""
     text = codecs.getincrementaldecoder(encoding)(errors="replace").decode(head, final=False)
-    first = next((r for r in csv.reader(io.StringIO(text, newline="")) if r), [])
-    return tuple(c.replace("\t", "").strip().lstrip("﻿").strip() for c in first)
+    records = csv.reader(io.StringIO(text, newline=""))
+    first = next(filter(None, records), [])
+    try:
+        return first, next(records, None) is not None
+    except csv.Error:       # a cell of the next one is very long
+        return first, True
+
+
+def _looked_at(spark: SparkSession, path: str, encoding: str | None, split_bytes: int) -> _File:
+    def enough(head: bytes) -> bool:
+        return _first_record(head, encoding or _first_that_decodes(head))[1]
+
+    try:
+        head = _head(spark, path, enough)
+        enc = encoding or _first_that_decodes(head)
+        first, _ = _first_record(head, enc)
+    except csv.Error as e:
+        raise ValueError(f"{path}: no header record ({e})") from e
+    names = tuple(c.replace("\t", "").strip().lstrip("﻿").strip() for c in first)
+    return _File(path, enc, names, _is_large(spark, path, split_bytes))
 
 
 def read_delimited(spark: SparkSession, paths, encoding: str | None = None, header: bool = True,
@@ -159,18 +200,16 @@ def read_delimited(spark: SparkSession, paths, encoding: str | None = None, head
       rows are NULL-padded;
     * rows whose cells are all blank are dropped (not counted anywhere).
     """
-    files = []
     if split_bytes is None:
         split_bytes = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    for p in _listed(spark, [paths] if isinstance(paths, str) else list(paths)):
-        head = _head(spark, p)
-        enc = encoding or _first_that_decodes(head)
-        files.append(_File(p, enc, _header_record(head, enc), _is_large(spark, p, split_bytes)))
+    files = _of_each(lambda p: _looked_at(spark, p, encoding, split_bytes),
+                     _listed(spark, [paths] if isinstance(paths, str) else list(paths)))
     headers = next((f.header for f in files if f.header), ())
     for f in files:
         if header and f.header and Counter(f.header) != Counter(headers):
             raise ValueError(f"{f.path}: header {list(f.header)} does not name the columns of the first file, {list(headers)}")
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")     # else the reader refuses the GBK family
+    if any(JAVA_CHARSETS.get(f.encoding, f.encoding).upper() not in BUILT_IN for f in files):
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")     # else the reader refuses the GBK family
     width = len(headers)
     groups: dict[tuple, list[tuple[int, str]]] = {}
     for i, f in enumerate(files):

@@ -77,3 +77,43 @@ def test_header_gate(spark, tmp_path):
     with pytest.raises(SchemaMismatch) as e:
         map_headers(read_delimited(spark, bad), spec)
     assert e.value.missing == ["单号"] and e.value.unexpected == ["其它"]
+
+
+def test_header_of_more_than_one_head(spark, tmp_path):
+    names = [f"a rather long name of column {i}" for i in range(6000)]
+    p = write_csv(f"{tmp_path}/wide.csv", ",".join(names) + "\n" + ",".join(["v"] * 5999 + ["last"]) + "\n")
+    raw = read_delimited(spark, p)
+    assert raw.headers == names
+    assert raw.df.select("_c5999", "_cells").first() == ("last", 6000)
+
+
+def test_header_that_never_ends_is_refused(spark, tmp_path):
+    p = write_csv(f"{tmp_path}/open.csv", 'a,"b\n' + "x,y\n" * 100_000)
+    with pytest.raises(ValueError, match="open.csv"):
+        read_delimited(spark, p)
+
+
+def test_long_first_cell_behind_a_long_header(spark, tmp_path):
+    names = [f"name {i:070d}" for i in range(1000)]
+    p = write_csv(f"{tmp_path}/cell.csv", ",".join(names) + "\n" + "y" * 300_000 + "\n")
+    assert read_delimited(spark, p).df.select(F.length("_c0")).first()[0] == 300_000
+
+
+def test_many_small_files_of_several_encodings(spark, tmp_path):
+    for i in range(300):
+        write_csv(f"{tmp_path}/{i:03d}.csv", f"城市,n\n柏林,{i}\n", "gbk" if i % 2 else "utf-8")
+    raw = read_delimited(spark, str(tmp_path))
+    rows = raw.df.orderBy("_ordinal").collect()
+    assert [int(r["_c1"]) for r in rows] == list(range(300)) and {r["_c0"] for r in rows} == {"柏林"}
+
+
+def test_sessions_charset_setting_is_left_alone(spark, tmp_path):
+    key = "spark.sql.legacy.javaCharsets"
+    before = spark.conf.get(key, None)
+    spark.conf.unset(key)
+    try:
+        read_delimited(spark, write_csv(f"{tmp_path}/u.csv", "a,b\n1,2\n")).df.collect()
+        assert spark.conf.get(key, "false") == "false"
+    finally:
+        if before is not None:
+            spark.conf.set(key, before)
