@@ -72,6 +72,43 @@ def test_one_large_group_of_near_copies(docs):
     assert sorted(map(tuple, minhash.near_duplicates(docs(pairs), words=4).collect()), key=str) == brute(pairs, 4)
 
 
+def family(rnd, copies, base, most):
+    """Copies of a text of ``base`` words with up to ``most`` new, lost or added words."""
+    words, out = [f"w{i}" for i in range(base)], []
+    for _ in range(copies):
+        t = list(words)
+        for _ in range(rnd.randrange(most + 1)):
+            at, how = rnd.randrange(len(t)), rnd.random()
+            t[at:at + (how < .8)] = [] if how < .3 else [f"x{rnd.randrange(3000)}"]
+        out.append(" ".join(t))
+    return out
+
+
+@pytest.mark.parametrize("large,seed,threshold", [(2, 1, 80), (4, 4, 90)])
+def test_differences_from_hubs_against_brute_force(docs, monkeypatch, large, seed, threshold):
+    monkeypatch.setattr(minhash, "LARGE", large)
+    monkeypatch.setattr(minhash, "EASY", 0 if seed % 2 else 1 << 40)       # with and without chains
+    rnd = random.Random(seed)
+    texts = [t for base in (40, 47, 90) for t in family(rnd, 70, base, 16)] + pairs_of(rnd, 6, 12, words=50, edits=6)
+    pairs = list(enumerate(texts)) + [(None, texts[3])]
+    got = minhash.near_duplicates(docs(pairs), words=4, threshold=threshold).collect()
+    assert sorted(map(tuple, got), key=str) == brute(pairs, 4, threshold)
+
+
+def test_pairs_made_do_not_grow_with_the_square_of_a_group(docs, monkeypatch):
+    made, verified = [], minhash._verified
+
+    def counted(pairs, *others):
+        made.append(pairs.count())
+        return verified(pairs, *others)
+
+    monkeypatch.setattr(minhash, "_verified", counted)
+    texts = family(random.Random(6), 400, 150, 14)
+    pairs = list(enumerate(texts))
+    assert sorted(map(tuple, minhash.near_duplicates(docs(pairs), words=4).collect()), key=str) == brute(pairs, 4)
+    assert sum(made) < 12 * len(texts), made
+
+
 def test_minima_estimate_similarity():
     rnd = np.random.default_rng(2)
     with np.errstate(over="ignore"):
