@@ -10,7 +10,8 @@
    than the overlap and no boundary is common, matching goes on from the last
    true boundary until the boundaries agree again.
 3. Each pre-token is encoded by itself; ids of pre-tokens met before in the
-   task come from a bounded memo.
+   task come from a bounded memo. The new ones of some texts are merged together,
+   a merge of each in one round.
 4. Decoding looks every id up and concatenates raw bytes.
 
 Defined results. Null text counts as empty and gives no ids; repeated rows give
@@ -35,7 +36,9 @@ from pyspark.sql import functions as F
 CHUNK = 1 << 15      # characters
 OVERLAP = 1 << 10
 SENT = 32            # chunks with their boundaries that a task returns at once
-MEMO = 1 << 18       # pre-tokens remembered by a task
+MEMO = 1 << 18       # pre-tokens remembered by a task, about
+TOGETHER = 128       # texts whose new pre-tokens are merged together
+NONE = 1 << 30       # above any rank: a pair that does not merge
 LOOK = 2             # characters that a match reads past its end
 LONG_PIECE = 64      # bytes from which merges go through a heap
 
@@ -51,17 +54,18 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
         return [whole]
     if len(piece) >= LONG_PIECE:
         return _merge_long(piece, ranks)
-    parts = [piece[i:i + 1] for i in range(len(piece))]
-    while len(parts) > 1:
-        best, at = None, -1
-        for i in range(len(parts) - 1):
-            r = ranks.get(parts[i] + parts[i + 1])
-            if r is not None and (best is None or r < best):
-                best, at = r, i
-        if best is None:
-            break
-        parts[at:at + 2] = [parts[at] + parts[at + 1]]
-    return [ranks[p] for p in parts]
+    # Only the two pairs that a merge touches are looked up again.
+    rank, none = ranks.get, len(ranks) << 32
+    starts = list(range(len(piece) + 1))
+    pairs = [rank(piece[i:i + 2], none) for i in range(len(piece) - 1)]
+    while pairs and (best := min(pairs)) != none:
+        i = pairs.index(best)
+        del pairs[i], starts[i + 1]
+        if i < len(pairs):
+            pairs[i] = rank(piece[starts[i]:starts[i + 2]], none)
+        if i:
+            pairs[i - 1] = rank(piece[starts[i - 1]:starts[i + 1]], none)
+    return [ranks[piece[a:b]] for a, b in zip(starts, starts[1:])]
 
 
 def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -90,11 +94,61 @@ def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+def load_pairs(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Which two tokens make a third: sorted ``left << 32 | right``, and its rank."""
+    found = {a << 32 | b: r for whole, r in ranks.items() for i in range(1, len(whole))
+             if (a := ranks.get(whole[:i])) is not None and (b := ranks.get(whole[i:])) is not None}
+    keys = np.array(sorted(found), np.int64)
+    return keys, np.array([found[k] for k in keys.tolist()], np.int64)
+
+
+def merge_together(pieces: list[bytes], ranks: dict[bytes, int], pairs: tuple[np.ndarray, np.ndarray]) -> list[list[int]]:
+    """``merge`` of many pieces of two bytes or more at once: a round merges the leftmost
+    pair of lowest rank of each piece, and pieces without such a pair leave."""
+    keys, values = pairs
+    if not pieces or not len(keys):
+        return [[ranks[p[i:i + 1]] for i in range(len(p))] for p in pieces]
+
+    def rank(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = left << 32 | right
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        return np.where(keys[at] == key, values[at], NONE)
+
+    single = np.array([ranks.get(bytes([i]), -1) for i in range(256)], np.int64)
+    ids = single[np.frombuffer(b"".join(pieces), np.uint8)]
+    owner = np.repeat(np.arange(len(pieces)), [len(p) for p in pieces])
+    joins = np.where(owner[1:] == owner[:-1], rank(ids[:-1], ids[1:]), NONE)
+    joins = np.append(joins, NONE)                   # by the left one of the pair
+    out = []
+    while len(ids):
+        first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+        least = np.minimum.reduceat(joins << 32 | np.arange(len(ids)), first)
+        open_ = least >> 32 < NONE
+        stay = np.repeat(open_, np.diff(np.append(first, len(ids))))
+        out.append((owner[~stay], ids[~stay]))
+        at = least[open_] & 0xFFFFFFFF
+        ids[at] = least[open_] >> 32
+        stay[at + 1] = False
+        at = (np.cumsum(stay) - 1)[at]
+        ids, owner, joins = ids[stay], owner[stay], joins[stay]
+        if not len(ids):
+            break
+        after = np.minimum(at + 1, len(ids) - 1)
+        joins[at] = np.where((after > at) & (owner[after] == owner[at]), rank(ids[at], ids[after]), NONE)
+        before = np.maximum(at - 1, 0)
+        inside = (before < at) & (owner[before] == owner[at])
+        joins[before[inside]] = rank(ids[before[inside]], ids[at[inside]])
+    owner, ids = (np.concatenate(x) for x in zip(*out))
+    ids = ids[np.argsort(owner, kind="stable")].tolist()
+    ends = np.cumsum(np.bincount(owner, minlength=len(pieces))).tolist()
+    return [ids[a:b] for a, b in zip([0, *ends], ends)]
+
+
 class Codec:
     """Encoder and decoder of one task."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.pattern = ranks, regex.compile(pattern)
+    def __init__(self, ranks: dict[bytes, int], pattern: str, pairs: tuple[np.ndarray, np.ndarray] | None = None):
+        self.ranks, self.pattern, self.pairs = ranks, regex.compile(pattern), pairs
         self.memo: dict[str, list[int]] = {}
         self.raw: list[bytes] = [b""] * (max(ranks.values()) + 1)
         for b, i in ranks.items():
@@ -112,6 +166,20 @@ class Codec:
     def pieces(self, text: str) -> list[str]:
         return self.pattern.findall(text)
 
+    def learn(self, texts: list[list[str]]) -> None:
+        """Merge what is new in the pieces of some texts together, into the memo."""
+        if len(self.memo) >= MEMO:
+            self.memo.clear()
+        new, raws = [], []
+        for p in set().union(*texts).difference(self.memo):
+            raw = p.encode()
+            if (whole := self.ranks.get(raw)) is not None:
+                self.memo[p] = [whole]
+            elif len(raw) < LONG_PIECE:
+                new.append(p)
+                raws.append(raw)
+        self.memo.update(zip(new, merge_together(raws, self.ranks, self.pairs)))
+
     def encode(self, pieces: list[str]) -> list[int]:
         memo, piece = self.memo, self.piece
         return list(chain.from_iterable([memo.get(p) or piece(p) for p in pieces]))
@@ -168,7 +236,8 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id"
     """One row per document: ``id_col`` and what ``finish(codec)(ids)`` makes of
     its ids, of ``schema``; without ``finish``, the ids."""
     spark = docs.sparkSession
-    ranks = spark.sparkContext.broadcast(load_ranks(rank_path))
+    table = load_ranks(rank_path)
+    ranks, pairs = spark.sparkContext.broadcast(table), spark.sparkContext.broadcast(load_pairs(table))
     names = [c.split()[0] for c in schema.split(",")]
     key_type = docs.schema[id_col].dataType.simpleString()
 
@@ -176,18 +245,23 @@ def encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id"
         return finish(codec) if finish else (lambda ids: (np.asarray(ids, np.int32),))
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = Codec(ranks.value, pattern)
+        codec = Codec(ranks.value, pattern, pairs.value)
         done = finisher(codec)
         for b in batches:
-            rows = [done(codec.encode(codec.pieces(t))) for t in b["text"]]
+            rows = []
+            for i in range(0, len(b), TOGETHER):
+                pieces = [codec.pieces(t) for t in b["text"].iloc[i:i + TOGETHER]]
+                codec.learn(pieces)
+                rows += [done(codec.encode(p)) for p in pieces]
             yield pd.DataFrame(rows, columns=names).assign(id=b["id"].array)[["id", *names]]
 
     def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codec = Codec(ranks.value, pattern)
+        codec = Codec(ranks.value, pattern, pairs.value)
         for b in (batch[i:i + SENT] for batch in batches for i in range(0, len(batch), SENT)):
             rows = []
-            for k, t in zip(b["k"], b["text"]):
-                pieces = codec.pieces(t)
+            split = [codec.pieces(t) for t in b["text"]]
+            codec.learn(split)
+            for k, pieces in zip(b["k"], split):
                 ids = [codec.piece(p) for p in pieces]
                 rows.append((boundaries(pieces, int(k) * chunk).tobytes(),
                              np.concatenate(([0], np.cumsum([len(i) for i in ids]))).astype(np.int64).tobytes(),

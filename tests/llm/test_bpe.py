@@ -28,6 +28,22 @@ def test_merge_equals_library():
         assert codec.decode(ids) == t.encode()
 
 
+def test_merge_together_equals_merge():
+    rnd = random.Random(8)
+    pieces = [bytes(rnd.choices(b"aehinorst d\xc3\xa9", k=rnd.randrange(2, 40))) for _ in range(3000)] + [b"aa", b"\xff\xfe", b"z" * 63]
+    pairs = bpe.load_pairs(ranks)
+    assert bpe.merge_together([p for p in pieces if p not in ranks], ranks, pairs) == [bpe.merge(p, ranks) for p in pieces if p not in ranks]
+    assert bpe.merge_together([], ranks, pairs) == []
+
+
+def test_new_pieces_of_texts_are_merged_together():
+    codec = bpe.Codec(ranks, public_tokenizers.PATTERN, bpe.load_pairs(ranks))
+    split = [codec.pieces(t) for t in sample_texts()]
+    codec.learn(split)
+    assert [codec.encode(p) for p in split] == [ENC.encode_ordinary(t) for t in sample_texts()]
+    assert all(len(p.encode()) >= bpe.LONG_PIECE for x in split for p in x if p not in codec.memo)
+
+
 @pytest.mark.parametrize("chunk,overlap", [(64, 16), (50, 3), (200, 100)])
 def test_chunks_stitch_to_whole(spark, docs, chunk, overlap):
     texts = sample_texts() + [None, "the same", "the same"]
