@@ -358,13 +358,16 @@ def c_rules(spark, d):
     none and remarks that hold commas or end in one, through each table's own rules."""
     out = None
     status, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
+    orders = catalog(spark, d).table("orders").select("o_orderkey", status, priority)
+    # A file of the table may be one row group, which one task reads: it would be one file of each export.
+    orders = orders.repartition(max(orders.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism))
     for name, (cells, prefixes) in EXPORTS.items():
         number = F.concat(F.when(priority == "5-LOW", F.lit("WX")).otherwise(F.lit((*prefixes, "W")[0])), "o_orderkey")
         beyond = F.when(status == "F", F.lit(",left,over")).when(status == "O", F.lit(", ")).otherwise(F.lit(""))
         rest = F.when(priority == "4-NOT SPECIFIED", F.lit(",x")).otherwise(
             F.concat(F.repeat(F.lit(",x"), F.lit(cells - 2)), F.lit(","), priority, beyond))
         path = scratch_path(spark, name)
-        catalog(spark, d).table("orders").select(F.concat(number, rest).alias(",".join(f"h{i}" for i in range(cells)))) \
+        orders.select(F.concat(number, rest).alias(",".join(f"h{i}" for i in range(cells)))) \
             .write.option("header", True).option("sep", ";").csv(path)
         raw = read_delimited(spark, path)
         got = C.apply_rules(raw.df, name, C.CleaningReport())

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from ..operators.cleaning import MORE, ORDINAL, RAW_CELLS, py_strip
+from ..operators.cleaning import MORE, ORDINAL, RAW_CELLS, WS_CHARS, py_strip
 from .split_scan import cells_of, records
 
 SOURCE_FILE = "_source_file"
@@ -225,9 +225,9 @@ def read_delimited(spark: SparkSession, paths, encoding: str | None = None, head
     for f in frames[1:]:
         raw = raw.unionByName(f)
     # Drop rows whose cells are all blank
-    filled = [F.coalesce(F.length(py_strip(F.col(f"_c{i}"))), F.lit(0)) for i in range(width)]
+    filled = F.ltrim(F.concat_ws("", *[f"_c{i}" for i in range(width)]), F.lit(WS_CHARS)) != ""     # one test, up to the first character that is not blank
     beyond = F.coalesce(F.exists(MORE, lambda c: F.length(py_strip(c)) > 0), F.lit(False))
-    return RawFrame(raw.filter((F.greatest(*filled, F.lit(0), F.lit(0)) > 0) | beyond), list(headers) if header else [])
+    return RawFrame(raw.filter(filled | beyond), list(headers) if header else [])
 
 
 def _parsed(spark, paths: list[str], charset: str, schema: StructType, header: bool) -> DataFrame:
@@ -269,9 +269,11 @@ def _scan(spark, group: list[tuple[int, str]], encoding: str, names: tuple, head
     cells = [F.translate(F.col(f"_f{places[h].pop(0)}"), "\t", "").alias(f"_c{k}") for k, h in enumerate(headers)]
     # Never less than 0; the reader refuses to be asked for raw records alone.
     nothing = (F.length(F.coalesce(F.col("_f0"), F.lit(""))) < 0).cast("int")
-    every = F.when(F.col(_RAW).isNotNull(), cells_of(F.col(_RAW)))
-    more = F.when(F.size("__every") > n, F.transform(F.slice("__every", n + 1, F.greatest(F.size("__every") - n, F.lit(1))),
-                                                     lambda c: F.translate(c, "\t", "")))
-    return df.withColumn("__every", every).select(
-        *cells, (F.coalesce(F.array_size("__every"), F.lit(n)) + nothing).alias(RAW_CELLS), more.alias(MORE), SOURCE_FILE,
+    # The cells of a raw record are cut out once a row: the generator keeps filters on them from cutting them again.
+    cut = F.transform(F.array(F.when(F.col(_RAW).isNotNull(), cells_of(F.col(_RAW)))), lambda every: F.struct(
+        F.array_size(every).alias("__n"),
+        F.when(F.size(every) > n, F.transform(F.slice(every, n + 1, F.greatest(F.size(every) - n, F.lit(1))),
+                                              lambda c: F.translate(c, "\t", ""))).alias(MORE)))
+    return df.select("*", F.inline(cut)).select(
+        *cells, (F.coalesce("__n", F.lit(n)) + nothing).alias(RAW_CELLS), MORE, SOURCE_FILE,
         (F.shiftleft("__file", FILE_BITS) + F.col("__row")).alias(ORDINAL))

@@ -77,8 +77,7 @@ def cells_of(record: Column) -> Column:
     alternate = F.transform(pieces, lambda p, i: F.when(i % 2 == 1, masked(p)).otherwise(text(p)))
     by_state = F.transform(F.arrays_zip(pieces.alias("p"), F.split(states, "").alias("s")),
                            lambda z: F.when(z["s"] == str(OPEN), masked(z["p"])).otherwise(text(z["p"])))
-    marked = (F.when(~F.contains(record, F.lit('"')), text(record))
-              .otherwise(F.array_join(F.when(bare_quotes, by_state).otherwise(alternate), '"')))
+    marked = F.array_join(F.when(bare_quotes, by_state).otherwise(alternate), '"')
 
     def value(c: Column) -> Column:
         inner = F.substring(c, F.lit(2), F.length(c) - 2)
@@ -86,7 +85,8 @@ def cells_of(record: Column) -> Column:
         plain = F.when(quoted, F.replace(inner, F.lit('""'), F.lit('"'))).when(c != "", c)
         return F.replace(F.replace(plain, F.lit(MASK + "1"), F.lit(",")), F.lit(MASK + "0"), F.lit(MASK))
 
-    return F.transform(F.split(marked, ","), value)
+    bare = F.transform(F.split(record, ","), lambda c: F.when(c != "", c))
+    return F.when(F.contains(record, F.lit('"')), F.transform(F.split(marked, ","), value)).otherwise(bare)
 
 
 def rule_of(line: Column) -> Column:

@@ -115,3 +115,18 @@ def test_date_parsing_ignores_session_time_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
     assert got == [dt.datetime(2024, 3, 10, 2, 30), None, dt.datetime(2024, 1, 5)]
+
+
+def test_exports_of_a_table_in_one_file_are_written_by_all_tasks(spark, tmp_path):
+    from tessera.queries.cleaning import c_rules
+    rows = [(i, "OFP"[i % 3], ("1-URGENT", "2-HIGH", "4-NOT SPECIFIED", "5-LOW")[i % 4]) for i in range(60)]
+    spark.createDataFrame(rows, "o_orderkey long, o_orderstatus string, o_orderpriority string") \
+        .coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    out = c_rules(spark, str(tmp_path))
+    files = [f for f in out.inputFiles() if "refund_orders-" in f and "service" not in f]
+    assert len(files) == spark.sparkContext.defaultParallelism
+    more = {k: p + (",left,over" if s == "F" else "") for k, s, p in rows}
+    want = [("refund_orders", f"RB{k}", more[k]) for k, _, p in rows if p[0] in "12"]
+    want += [("service_refund_work_orders", f"GD{k}", more[k]) for k, _, p in rows if p[0] in "12"]
+    want += [("wallet_withdrawals", f"{'WX' if p[0] == '5' else 'W'}{k}", more[k] if p[0] != "4" else None) for k, _, p in rows]
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)

@@ -129,3 +129,18 @@ def test_overflow_merges_cells_beyond_the_header(spark, tmp_path):
     out = C.merge_overflow(raw.df, C.CleaningReport(), 2, raw.data_columns)
     assert "_more" not in out.columns
     assert {r["_c0"]: r["_c1"] for r in out.collect()} == {"1": "x,y,,z", "2": ",k", "3": "v", "4": "w"}
+
+
+def test_a_record_is_cut_once_whatever_filters_follow(spark, tmp_path):
+    p = tmp_path / "once.csv"
+    p.write_text('a,b\n1,2\n3\n4,5,6\n\t,　\n,, \n,,z\n"", ,"\t"\n')
+
+    def cuts(df):
+        return df._jdf.queryExecution().optimizedPlan().toString().count("split(")
+
+    raw = read_delimited(spark, str(p))
+    once = cuts(spark.createDataFrame([("a,b",)], "r string").select(cells_of(F.col("r")).alias("c")))
+    few = raw.df.filter("_cells <> 2 AND size(_more) > 0")
+    assert cuts(few) == once
+    assert [(r["_c0"], r["_c1"], r["_more"]) for r in few.orderBy("_ordinal").collect()] == [("4", "5", ["6"]), (None, None, ["z"])]
+    assert [r["_cells"] for r in raw.df.orderBy("_ordinal").collect()] == [2, 1, 3, 3]
